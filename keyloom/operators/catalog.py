@@ -157,9 +157,11 @@ def search_frameworks(components: DataFrame, language: str, terms: list[str]) ->
 def _matches(rows: DataFrame, terms: list[str], with_category: bool) -> DataFrame:
     fields = ["component_id", "display_name"] + (["category"] if with_category else [])
     text = F.array(*[F.lower(F.coalesce(f, F.lit(""))) for f in fields])
-    hits = F.array_compact(F.array(*[
-        F.when(F.exists(text, lambda x, t=t: x.contains(t.lower())), F.lit(t)) for t in terms
-    ]))
+
+    def has(term: str) -> Column:
+        return F.exists(text, lambda x: x.contains(term.lower()))
+
+    hits = F.array_compact(F.array(*[F.when(has(t), F.lit(t)) for t in terms]))
     return rows.select("*", F.explode(hits).alias("term"))
 
 

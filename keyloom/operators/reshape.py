@@ -136,7 +136,7 @@ def export(
     variables are read once and there is no cross join. JSON objects hold a key once
     (last value); line formats repeat colliding keys, as the formats' users expect.
     """
-    names = [format_name(f) for f in formats]
+    names = list(dict.fromkeys(format_name(f) for f in formats))
     renamed = rename(vars_, prefix, style, base64).select("file_id", "pos", "new_key", "new_value")
     parts = []
     for rows, wanted in (

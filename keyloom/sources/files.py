@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,26 +70,101 @@ def find_files(files: DataFrame, part: str) -> DataFrame:
     return files.filter(F.col("path").contains(part))
 
 
+# Rows of file content per Arrow batch end at this many bytes.
+_BATCH_BYTES = 32 << 20
+
+
+def _walk(root: str) -> Iterator[str]:
+    """Files below a path, linked folders not entered. Runs inside tasks."""
+    from pyarrow import fs
+
+    if "://" not in root:
+        if os.path.isfile(root):
+            yield root
+        for folder, _, names in os.walk(root, followlinks=False):
+            yield from (os.path.join(folder, n) for n in names if os.path.isfile(os.path.join(folder, n)))
+        return
+    system, base = fs.FileSystem.from_uri(root)
+    scheme = root.split("://", 1)[0]
+    pending = [base]
+    while pending:
+        folder = pending.pop()
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.type == fs.FileType.Directory:
+                pending.append(info.path)
+            else:
+                yield f"{scheme}://{info.path}"
+
+
+def _list_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        found = []
+        for root in frame["path"]:
+            for path in _walk(root):
+                found.append(path)
+                if len(found) == 10_000:
+                    yield pd.DataFrame({"path": found})
+                    found = []
+        yield pd.DataFrame({"path": found}, dtype="object")
+
+
+def _read_bytes(path: str) -> bytes:
+    from pyarrow import fs
+
+    if "://" not in path:
+        with open(path, "rb") as handle:
+            return handle.read()
+    system, base = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(base) as handle:
+        return handle.read()
+
+
+def _read_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole texts; a file that is not UTF-8 or cannot be read is left out."""
+    for frame in frames:
+        paths, texts, size = [], [], 0
+        for path in frame["path"]:
+            try:
+                raw = _read_bytes(path)
+                text = raw.decode("utf-8")
+            except (OSError, UnicodeDecodeError):
+                continue
+            paths.append(path)
+            texts.append(text)
+            size += len(raw)
+            if size >= _BATCH_BYTES:
+                yield pd.DataFrame({"path": paths, "content": texts})
+                paths, texts, size = [], [], 0
+        yield pd.DataFrame({"path": paths, "content": texts}, dtype="object")
+
+
+def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Every file below the given folders, one listing task per folder given.
+
+    Spark's own file sources skip names that start with a dot, which are the very
+    files wanted here, so the tasks list the folders themselves.
+    """
+    roots = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1))
+    return roots.mapInPandas(_list_batches, "path string")
+
+
 def read_files(
     spark: SparkSession,
     paths: str | list[str],
     exclude: list[str] | None = None,
     scannable_only: bool = True,
     dotenv_variants: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """``(file_id, path, content)`` of the text files below ``paths``.
 
-    The path predicates are on file metadata, so excluded files are dropped while
-    listing and never opened.
+    Path rules run on the listing, so excluded files are never opened; the remaining
+    paths are spread evenly before reading, wherever they were found.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    path = F.col("_metadata.file_path")
-    keep = ~is_excluded(path, exclude)
+    listing = list_files(spark, [paths] if isinstance(paths, str) else paths)
+    keep = ~is_excluded("path", exclude)
     if scannable_only:
-        keep = keep & is_scannable(path, dotenv_variants)
-    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-    return (
-        raw.filter(keep)
-        .filter(is_text("content"))
-        .select(plain.alias("file_id"), plain.alias("path"), F.col("content").cast("string").alias("content"))
-    )
+        keep = keep & is_scannable("path", dotenv_variants)
+    width = tasks or spark.sparkContext.defaultParallelism
+    read = listing.filter(keep).repartition(width).mapInPandas(_read_batches, "path string, content string")
+    return read.select(F.col("path").alias("file_id"), "path", "content")
