@@ -1,0 +1,295 @@
+"""Operator inputs derived from the driver tables.
+
+Each input is a projection (or a grouped projection) of a whole table, written in
+SQL that Spark and the checking database both read.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Derived:
+    source: str | Derived
+    columns: dict[str, str]
+    group_by: list[str] = field(default_factory=list)
+
+    def df(self, spark: SparkSession, sf: str) -> DataFrame:
+        base = table(spark, sf, self.source) if isinstance(self.source, str) else self.source.df(spark, sf)
+        if not self.group_by:
+            return base.selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+        keys = {n: self.columns[n] for n in self.group_by}
+        aggs = [F.expr(e).alias(n) for n, e in self.columns.items() if n not in keys]
+        return base.groupBy(*[F.expr(e).alias(n) for n, e in keys.items()]).agg(*aggs).select(*self.columns)
+
+    def sql(self) -> str:
+        source = self.source if isinstance(self.source, str) else f"({self.source.sql()})"
+        body = f"SELECT {', '.join(f'{e} AS {n}' for n, e in self.columns.items())} FROM {source}"
+        return body + (f" GROUP BY {', '.join(self.columns[n] for n in self.group_by)}" if self.group_by else "")
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def text(n: str) -> str:
+    return f"cast({n} as string)"
+
+
+def floor_div(n: str, by: int) -> str:
+    return f"cast(floor({n} / {by}) as int)"
+
+
+def pick(n: str, options: list[str]) -> str:
+    """CASE over ``n % len(options)``."""
+    whens = " ".join(f"WHEN {i} THEN {o}" for i, o in enumerate(options))
+    return f"(CASE {n} % {len(options)} {whens} END)"
+
+
+NL, TAB, DOLLAR, SLASH, QUOTE, APOS = "chr(10)", "chr(9)", "chr(36)", "chr(92)", "chr(34)", "chr(39)"
+
+
+# -- corpora -------------------------------------------------------------------
+
+DOCS = Derived("documents", {
+    "project_id": "source", "file_id": text("doc_id"),
+    "path": f"concat('corpus/', {text('doc_id')}, {pick('doc_id', [repr('.env'), repr('.txt')])})",
+    "content": "text",
+})
+DOCS_ENV = Derived("documents", {
+    "project_id": "source", "file_id": text("doc_id"),
+    "path": f"concat('corpus/', {text('doc_id')}, '.env')", "content": "text",
+})
+PAGES = Derived("pages", {
+    "project_id": "concat('site', cast(page_id % 7 as string))", "file_id": text("page_id"), "path": "url",
+    "content": "html",
+})
+
+
+def _secret_value(n: str) -> str:
+    h = f"md5({text(n)})"
+    mixed = (
+        f"concat(upper(substr({h}, 1, 10)), substr(md5({h}), 1, 10), "
+        f"translate(substr({h}, 11, 10), '0123456789abcdef', 'ghijklmnopqrstuv'), "
+        f"translate(substr({h}, 21, 10), '0123456789abcdef', 'WXYZGHIJKLMNOPQR'))"
+    )
+    return pick(n, [
+        f"concat('AKIA', upper(substr({h}, 1, 16)), 'Z')",
+        f"concat('sk_live_', {h})",
+        f"concat('sk_test_', {h})",
+        f"concat('ghp_', {h}, substr({h}, 1, 4))",
+        f"concat('sk-', {h}, substr({h}, 1, 16))",
+        f"concat('sk-ant-api03-', substr(concat({h}, {h}, {h}), 1, 95))",
+        "concat('-----BEGIN RSA ', 'PRIVATE KEY-----')",
+        mixed, mixed,
+        "'changeme'",
+        f"concat('example', {text(n)})",
+        "'xxxxxxxxxxxxxxxxxxxxxxxxxxxx'",
+        "'plain value'",
+        f"concat('pw', {h})",
+        "'abc123'",
+    ])
+
+
+def _secret_key(n: str) -> str:
+    return pick(n, [f"'{k}'" for k in (
+        "ACCESS_ID", "PAY_LIVE", "PAY_TEST", "GIT", "MODEL_A", "MODEL_B", "PEM", "AWS_ID", "OTHER", "API_KEY",
+        "DB_PASSWORD", "TOKEN", "NAME", "db_password", "CODE")])
+
+
+def _secret_line(n: str) -> str:
+    return f"concat({_secret_key(n)}, '=', {_secret_value(n)})"
+
+
+# Credential-shaped texts, built from hashes; every other block of ids is free text.
+SECRETS = Derived("documents", {
+    "project_id": "source", "file_id": text("doc_id"),
+    "path": f"concat('vault/', {text('doc_id')}, {pick(floor_div('doc_id', 15), [repr('.env'), repr('.txt')])})",
+    "content": f"concat({_secret_line('doc_id')}, {NL}, {_secret_line('(doc_id * 7 + 3)')}, {NL}, '# ', {_secret_line('doc_id')})",
+})
+SECRET_VALUES = Derived("documents", {"doc_id": "doc_id", "secret_key": _secret_key("doc_id"), "secret_value": _secret_value("doc_id")})
+PLACEHOLDER_VALUES = Derived("customer", {"id": "c_custkey", "v": pick("c_custkey", [
+    "'changeme'", "' ToDo '", f"concat('example', {text('c_custkey')})", "'dev_key'", "'testing1'", "'your_x'",
+    "'your-x'", "'xxxx'", "'####'", f"concat('abc', {text('c_custkey % 1000')})", "'1a2b3c'", "c_name",
+    "'please-CHANGE_ME-now'", "'examples'", "'éé'", "''", "'xx'", "c_mktsegment", "concat('AKIA', 'IOSFODNN7EXAMPLE')",
+    f"concat({TAB}, 'fake', {TAB})", f"md5({text('c_custkey')})",
+])})
+
+# -- variables of projects -----------------------------------------------------
+
+ENV_KEYS = ["SECRET_KEY", "AWS_ACCESS_KEY", "DEBUG", "DB_HOST", "API_URL", "SERVER_PORT", "MAIL_FROM", "stripe_token",
+            "REDIS_URL", "APP_NAME"]
+_P = floor_div("c_custkey", 10)
+_H = f"md5({text('c_custkey')})"
+_ENV_VALUES = [
+    pick(_P, ["'changeme'", "'short'", _H, f"concat('dev', {_H})", f"concat({_H}, {_H})", "''"]),
+    pick(_P, ["'your_key_here'", f"concat('AKIA', upper(substr({_H}, 1, 16)))", _H, "'xxx'", "c_name", "''"]),
+    pick(_P, ["'True'", "'False'", "'true'", "'false'", "'1'", "'True '"]),
+    pick(_P, ["'localhost'", "'127.0.0.1'", "'db.internal'", "'db'", "'LOCALHOST'", "'<host>'"]),
+    pick(_P, [f"concat('https://api.', {text(_P)}, '.io/v1')", "'http://localhost:3000'", "'ftp://x.y'", "'not a url'", "''",
+              "'https://example.com'"]),
+    pick(_P, ["'80'", "'0'", "'65536'", "'abc'", "'8080'", "'999999'"]),
+    pick(_P, ["'a@b.co'", "'a@b'", "'ops+x@corp.example.org'", "''", "'none'", "'x.y@z.io'"]),
+    pick(_P, ["'todo'", _H, "'replace_me'", "c_name", "''", "'abc123'"]),
+    pick(_P, ["'redis://h:6379'", "'http://x.co'", "''", "'todo'", "'https://cache.io'", "'localhost:6379'"]),
+    pick(_P, ["c_name", "'placeholder'", "'YOUR_APP'", "'true'", "'8000'", "c_mktsegment"]),
+]
+ENV = Derived("customer", {
+    "project_id": f"concat('p', {text(_P)})", "file_id": f"concat('p', {text(_P)}, '/.env')",
+    "pos": "cast(c_custkey % 10 + 1 as int)", "key": pick("c_custkey", [f"'{k}'" for k in ENV_KEYS]),
+    "value": pick("c_custkey", _ENV_VALUES),
+})
+_EX_P = f"concat('p', {text('(' + floor_div('o_custkey', 10) + ' + 5)')})"
+_EX_KEY = pick("o_orderkey", [f"'{k}'" for k in ENV_KEYS] + [f"'OPT_{k}'" for k in (
+    "A", "B_URL", "C_SECRET", "D_MAIL", "E_PORT", "F_DEBUG", "G_SERVER", "H_PASS", "I", "J", "K", "L", "M")])
+EXAMPLE = Derived("orders", {
+    "project_id": _EX_P, "file_id": f"concat({_EX_P}, '/.env.example')", "pos": "cast(min(o_orderkey % 23) as int)",
+    "key": _EX_KEY, "value": "max(o_orderpriority)",
+}, group_by=["project_id", "file_id", "key"])
+
+# -- file inventory (one order, one file of its customer's project) ------------
+
+_ENV_TEXT = pick("o_orderkey", [
+    f"concat('A=1', {NL}, '# note', {NL}, 'B_2 = x', {NL})", f"concat('A=1', {NL}, 'export B=2')",
+    f"concat('A=1', {NL}, {NL}, 'this line is far too long to be shown in full by any report ', o_orderpriority)",
+])
+_INVENTORY = [
+    ("'.env'", _ENV_TEXT),
+    ("'.env.example'", "'A='"),
+    ("'.gitignore'", pick("o_custkey", [f"concat('# x', {NL}, ' .env ')", f"concat('target', {NL}, '/.env*')", "'#.env'"])),
+    ("'package.json'", pick("o_custkey", ["'{\"dependencies\":{\"dotenv\":\"1\"}}'", "'{\"devDependencies\":{\"dotenv-cli\":\"1\"}}'",
+                                          "'{\"dependencies\":{\"a\":\"1\"},\"devDependencies\":{\"dotenv\":\"1\"}}'", "'{}'"])),
+    ("'Dockerfile'", "'FROM x'"),
+    ("'requirements.txt'", pick("o_custkey", [f"concat('flask', {NL}, 'python-dotenv==1')", "'#python-dotenv'", "'django-dotenv'"])),
+    ("'pyproject.toml'", pick("o_custkey", ["'[tool.poetry]'", "'pydantic-settings'", "'[project]'"])),
+    ("'Cargo.toml'", pick("o_custkey", ["'dotenvy = 1'", "'serde = 1'"])),
+    ("'go.mod'", "'module x'"),
+    ("'composer.json'", "'{}'"),
+    ("'docker-compose.yaml'", "'services:'"),
+    ("'src/app.py'", "'import os'"),
+    ("'Pipfile'", "'[packages]'"),
+    ("'docs/.env.local'", "'A=1'"),
+    ("'build/out.log'", "'x'"),
+    ("'node_modules/m/index.js'", "'x'"),
+    ("'notes.MD'", "'x'"),
+    ("'poetry.lock'", "'x'"),
+    ("'conf/app.yml'", "'x'"),
+    ("'Makefile'", "'all:'"),
+    ("'logs/a.json'", "'{}'"),
+]
+INVENTORY = Derived("orders", {
+    "project_id": f"concat('c', {text('o_custkey')})", "file_id": f"concat('f', {text('o_orderkey')})",
+    "path": pick("o_orderkey", [p for p, _ in _INVENTORY]), "content": pick("o_orderkey", [c for _, c in _INVENTORY]),
+    "mode": pick("o_custkey", ["384", "33188", "256", "493"]),
+})
+# Container files of the projects that ENV describes.
+ENV_FILES = Derived("orders", {
+    "project_id": f"concat('p', {text(floor_div('o_custkey', 10))})", "file_id": text("o_orderkey"),
+    "path": pick("o_custkey", ["'Dockerfile'", "'README'", "'a/Containerfile'", "'x.yml'", "'setup.py'"]),
+})
+
+# -- configuration files (one per order) ---------------------------------------
+
+_K = "o_orderkey"
+_STATUS = pick(_K, [
+    f"concat('export STATUS=', {QUOTE}, o_orderstatus, {QUOTE})", "concat('STATUS=', o_orderstatus, ' # note')",
+    f"concat('  STATUS = ', o_orderstatus, {TAB})", f"concat('STATUS=', {APOS}, o_orderstatus, ' #1', {APOS})",
+    "'STATUS=`x y`'",
+])
+_ODD = pick(_K, [
+    "'BAD-KEY=1'", "'no separator here'", "''", f"concat('NOTE=', {QUOTE}, o_orderpriority, '  ')",
+    f"concat('NOTE=', {QUOTE}, 'a', {QUOTE}, ' # c')", "'9LIVES=1'", "'exporter=yes'", f"concat('NOTE=', {APOS})",
+])
+_NEXT = pick(_K, [f"concat('middle line', {QUOTE}, '  ')", f"concat(' X=1 ', {APOS})", "'# comment?'"])
+_DUP = pick(_K, ["'ORDER_ID=again'", "'lower_key=v'", "'EMPTY='"])
+_ESC = f"concat('ESC=', {QUOTE}, 'a', {SLASH}, 'nb', {SLASH}, {SLASH}, 'n ', {SLASH}, {QUOTE}, 'q', {SLASH}, 'x', {QUOTE})"
+_TAIL = pick(_K, ["'TAIL=end'"] * 8 + [f"concat('TAIL=', {APOS}, 'never')"])
+CONFIGS = Derived("orders", {
+    "project_id": f"concat('c', {text('o_custkey')})", "file_id": f"concat('o', {text(_K)})", "path": "'.env'",
+    "content": f"concat_ws({NL}, concat('# order ', {text(_K)}), concat('ORDER_ID=', {text(_K)}), {_STATUS}, {_ODD}, {_NEXT}, "
+               f"{_DUP}, {_ESC}, concat('REF=', {DOLLAR}, '{{ORDER_ID}}/', {DOLLAR}, 'STATUS'), {_TAIL}, '')".replace("{{", "{").replace("}}", "}"),
+})
+# New values for the files above; OTHER_ID is not in any, ID= is part of another key.
+CONFIG_VALUES = Derived("orders", {
+    "file_id": f"concat('o', {text(_K)})", "pos": f"cast({_K} % 5 as int)",
+    "key": pick(_K, ["'STATUS'", "'ORDER_ID'", "'OTHER_ID'", "'ID'", "'EMPTY'"]), "value": "o_orderpriority",
+})
+
+# -- reference chains ----------------------------------------------------------
+
+_I = "(p_partkey % 1024)"
+_REF = (
+    f"(CASE WHEN {_I} = 0 THEN '' WHEN {_I} = 7 THEN concat({DOLLAR}, '{{NOWHERE}}') "
+    f"WHEN {_I} = 9 THEN concat({DOLLAR}, 'UNSET') "
+    f"WHEN {_I} = 11 THEN concat({DOLLAR}, '{{K13}}') WHEN {_I} = 13 THEN concat({DOLLAR}, '{{K11}}') "
+    f"WHEN {_I} >= 1000 THEN concat({DOLLAR}, '{{K', {text(_I + ' - 1')}, '}}') "
+    f"ELSE concat({DOLLAR}, '{{K', {text(floor_div(_I, 2))}, '}}') END)"
+).replace("{{", "{").replace("}}", "}")
+CHAINS = Derived("part", {
+    "project_id": f"concat('f', {text(floor_div('p_partkey', 1024))})", "file_id": f"concat('f', {text(floor_div('p_partkey', 1024))})",
+    "pos": f"cast({_I} as int)", "key": f"concat('K', {text(_I)})", "value": f"concat(p_name, '/', {_REF})",
+})
+
+# -- templates (one per order, rendered with the variables of ENV) --------------
+
+_T_REFS = pick(_K, [
+    f"concat('url=', {DOLLAR}, '{{API_URL}}; name={{{{APP_NAME|upper}}}}')",
+    f"concat({DOLLAR}, 'DB_HOST:', {DOLLAR}, 'SERVER_PORT/', {DOLLAR}, 'DB_HOSTNAME')",
+    "'{{{{DEBUG|bool}}}} {{{{SERVER_PORT|int}}}}'",
+    "'{{{{APP_NAME|json}}}}, {{{{MAIL_FROM|default:nobody at all}}}}'",
+    f"concat('{{{{MISSING}}}} ', {DOLLAR}, '{{GONE}} {{{{stripe_token|title}}}} ', {DOLLAR}, 'MISSING')",
+    "'{{{{APP_NAME|lower}}}} {{{{APP_NAME|what}}}} {{ }} plain'",
+]).replace("{{", "{").replace("}}", "}")
+TEMPLATES = Derived("orders", {
+    "project_id": f"concat('p', {text(floor_div('o_custkey', 10))})", "template_id": f"concat('t', {text(_K)})",
+    "body": f"concat(o_orderpriority, ': ', {_T_REFS})",
+})
+
+# -- two snapshots of event counters per user ----------------------------------
+
+
+def _snapshot(wanted: str) -> Derived:
+    name = "concat(upper(event_type), CASE WHEN event_type IN ('error', 'view') THEN '_TOKEN_' ELSE '_' END, " \
+           "replace(replace(props, '{\"k\": ', ''), '}', ''))"
+    marked = Derived("events", {
+        "project_id": f"concat('u', {text('user_id')})", "key": name,
+        "hit": f"(CASE WHEN day(ts) {wanted} THEN 1 ELSE 0 END)", "event_id": "event_id",
+    })
+    counted = Derived(marked, {
+        "project_id": "project_id", "key": "key", "n": "sum(hit)", "pos": "min(event_id)",
+    }, group_by=["project_id", "key"])
+    return counted
+
+
+# Keys of the other half count zero here; the snapshots below drop them.
+SNAP_A, SNAP_B = _snapshot("<= 15"), _snapshot("> 15")
+
+# -- versions of conversations -------------------------------------------------
+
+VERSIONS = Derived("conversations", {"file_id": text("conv_id"), "ver": "turn", "content": "text"})
+
+# -- a catalog out of nations, suppliers and parts -----------------------------
+
+_SID = text("s_suppkey")
+_SERVICE_GROUPS = ["databases", "messaging_queues", "auth_providers", "storage", "monitoring_logging", "payments",
+                   "ai_ml", "email_sms"]
+_SERVICE_ID = f"concat({pick('s_suppkey', [repr(x) for x in ('postgres', 'redis', 's3', 'clerk', 'stripe', 'sentry', 'openai', 'mailer')])}, {_SID})"
+SERVICES = Derived("supplier", {
+    "scope": pick("s_suppkey", [f"'{g}'" for g in _SERVICE_GROUPS]), "id": _SERVICE_ID, "display": "s_name",
+    "v0": f"concat('SVC_', {text('s_suppkey % 37')}, '_URL')", "v1": f"concat('SVC_', {_SID}, '_SECRET')",
+    "v2": f"concat('SHARED_', {text('s_nationkey')})",
+    "category": f"(CASE WHEN s_suppkey % 3 = 0 THEN concat('Group ', {text('s_nationkey % 4')}) END)",
+    "nation": "s_nationkey",
+})
+FRAMEWORKS = Derived("nation", {
+    "scope": f"concat('lang', {text('n_regionkey')})", "id": f"concat('fw', {text('n_nationkey')})", "display": "n_name",
+    "v0": f"concat('FW_', {text('n_nationkey')}, '_PORT')", "v1": f"concat('SHARED_', {text('n_nationkey')})", "v2": "'APP_KEY'",
+})
+INFRA = Derived("region", {
+    "scope": "''", "id": f"concat('infra', {text('r_regionkey')})", "display": "r_name",
+    "v0": f"concat('INFRA_', {text('r_regionkey')})", "v1": "'APP_KEY'", "v2": f"concat('SHARED_', {text('r_regionkey * 5')})",
+})
