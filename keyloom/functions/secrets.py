@@ -86,7 +86,7 @@ def entropy(c: Column | str) -> Column:
 
 def is_placeholder(c: Column | str) -> Column:
     """The scan's placeholder test (three other operators have their own)."""
-    v = F.lower(trim(c))
+    v = F.lower(trim(col(c)))
     n = F.octet_length(v)
     return (
         v.isin(PLACEHOLDER_EXACT)
@@ -171,12 +171,6 @@ def rules_detector(rules: list[dict], name: str = "rules") -> Detector:
 DEFAULT_DETECTORS: list[Detector] = [pattern_detector, config_key_detector]
 
 
-def detections(key: Column, value: Column, detectors: list[Detector] | None = None) -> Column:
-    """Array of every detector's hit: all detectors see every value."""
-    hits = [d(key, value) for d in (detectors or DEFAULT_DETECTORS)]
-    return F.array_compact(F.array(*hits))
-
-
 def severity_level(confidence: Column | str) -> Column:
     c = col(confidence)
     return F.when(c == "high", "error").when(c == "medium", "warning").otherwise("note")

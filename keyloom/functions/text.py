@@ -22,18 +22,30 @@ def col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    """Trim every Unicode white-space character, not only U+0020."""
-    return F.btrim(col(c), F.lit(WHITESPACE))
+    """Trim every Unicode white-space character, not only U+0020.
+
+    Most texts have none at their ends, which the first and last character show; that
+    short cut is for named columns only, so that nested expressions stay small.
+    """
+    if not isinstance(c, str):
+        return F.btrim(c, F.lit(WHITESPACE))
+    return F.when(_is_space(F.left(c, F.lit(1))) | _is_space(F.right(c, F.lit(1))), trim(F.col(c))).otherwise(F.col(c))
 
 
 def ltrim(c: Column | str) -> Column:
-    return F.ltrim(col(c), F.lit(WHITESPACE))
+    if not isinstance(c, str):
+        return F.ltrim(c, F.lit(WHITESPACE))
+    return F.when(_is_space(F.left(c, F.lit(1))), ltrim(F.col(c))).otherwise(F.col(c))
 
 
 def rtrim(c: Column | str) -> Column:
     return F.rtrim(col(c), F.lit(WHITESPACE))
 
 
+def _is_space(one: Column) -> Column:
+    return F.contains(F.lit(WHITESPACE), one)
+
+
 def any_contains(c: Column, needles: list[str]) -> Column:
     """True if the string holds any needle. Plain substring search, no regex."""
     found = F.lit(False)

@@ -104,12 +104,12 @@ def selections(stacks: DataFrame) -> DataFrame:
 def resolve(selected: DataFrame, catalog_vars: DataFrame) -> DataFrame:
     """Variables of every stack; the first source of a variable wins.
 
-    First-wins is ``min_by`` on (stage, ord, pos): it combines before the shuffle, and
+    First-wins is ``min_by`` on (stage, ord, pos, id): it combines before the shuffle, and
     a component chosen by most stacks only makes the probe side of the join longer.
     """
     scope_ok = (F.col("source_kind") != "framework") | (F.col("language") == F.col("scope"))
     joined = selected.join(catalog_vars, ["catalog_id", "source_kind", "source_id"]).filter(scope_ok)
-    order = F.struct("stage", "ord", "pos")
+    order = F.struct("stage", "ord", "pos", "source_id")
     first = joined.groupBy("catalog_id", "stack_id", "var").agg(F.min_by(F.struct(*_META), order).alias("_m"))
     return first.select("catalog_id", "stack_id", "var", "_m.*")
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.secrets import Detector, detections, is_placeholder
-from keyloom.functions.text import WS_CLASS, after_first, preview, trim
+from keyloom.functions.secrets import DEFAULT_DETECTORS, Detector, is_placeholder
+from keyloom.functions.text import WS_CLASS, after_first, ltrim, preview, trim
 from keyloom.operators.extract import line_array, to_lines
 
 TOKEN_SPLIT = rf"""[{WS_CLASS}=:"']"""
@@ -22,19 +22,38 @@ def tokens(line: Column | str) -> Column:
     return F.filter(F.split(line, TOKEN_SPLIT), lambda t: F.octet_length(t) > MIN_TOKEN_BYTES)
 
 
+_UNITS = "array<struct<key:string,value:string>>"
+
+
 def unit_array(line: Column, is_kv: Column) -> Column:
     """What the detectors look at in a line: one pair in KV mode, else every long token."""
     key = trim(F.regexp_replace(trim(F.substring_index(line, "=", 1)), r"\A(?:export)+", ""))
-    pair = F.struct(key.alias("key"), trim(after_first(line, "=")).alias("value"), key.alias("variable"))
-    none = F.array().cast("array<struct<key:string,value:string,variable:string>>")
-    no_name = F.lit(None).cast("string").alias("variable")
-    singles = F.transform(tokens(line), lambda t: F.struct(F.lit("").alias("key"), t.alias("value"), no_name))
-    return F.when(is_kv, F.when(line.contains("="), F.array(pair)).otherwise(none)).otherwise(singles)
+    pair = F.array(F.struct(key.alias("key"), trim(after_first(line, "=")).alias("value")))
+    singles = F.transform(tokens(line), lambda t: F.struct(F.lit("").alias("key"), t.alias("value")))
+    return F.when(is_kv, F.when(line.contains("="), pair).otherwise(F.array().cast(_UNITS))).otherwise(singles)
 
 
 def line_units(lines: DataFrame, is_kv: Column) -> DataFrame:
+    """Units as rows; ``variable`` is the key of a pair and null for a token."""
     rest = [c for c in lines.columns if c != "line"]
-    return lines.select(*rest, F.explode(unit_array(F.col("line"), is_kv)).alias("_u")).select(*rest, "_u.*")
+    exploded = lines.select(*rest, is_kv.alias("_pair"), F.explode(unit_array(F.col("line"), is_kv)).alias("_u"))
+    return exploded.select(*rest, "_u.*", F.when(F.col("_pair"), F.col("_u.key")).alias("variable"))
+
+
+def detect_units(
+    units: DataFrame, detectors: list[Detector] | None = None, key: Column | None = None, value: str = "value",
+    keep_clean: bool = False,
+) -> DataFrame:
+    """One row per hit of any detector, as ``_d``; with ``keep_clean`` also rows without one.
+
+    The detectors are columns of one projection, which shares their common parts
+    (lower-casing, trimming, the placeholder test) between all of them.
+    """
+    key = F.col("key") if key is None else key
+    hits = [d(key, F.col(value)).alias(f"_hit{i}") for i, d in enumerate(detectors or DEFAULT_DETECTORS)]
+    names = [f"_hit{i}" for i in range(len(hits))]
+    explode = F.explode_outer if keep_clean else F.explode
+    return units.select("*", *hits).select(*units.columns, explode(F.array_compact(F.array(*names))).alias("_d"))
 
 
 def scan(
@@ -56,9 +75,7 @@ def scan(
         lines = lines.repartition(spread)
     units = line_units(lines, F.col("_kv"))
     rest = [c for c in units.columns if c not in ("key", "value", "variable", "_kv")]
-    hits = units.select(
-        *rest, "value", "variable", F.explode(detections(F.col("key"), F.col("value"), detectors)).alias("_d")
-    )
+    hits = detect_units(units, detectors)
     if ignore_placeholders:
         # The built-in detectors already skip placeholders; this covers added ones.
         hits = hits if detectors is None else hits.filter(~is_placeholder("value"))
@@ -81,8 +98,8 @@ def location(path: str, line_no: str, variable: str) -> Column:
 def scan_lines(lines: DataFrame, rules: list[Detector]) -> DataFrame:
     """Opt-in rules over whole lines, for shapes that contain blanks (key headers)."""
     rest = [c for c in lines.columns if c != "line"]
-    found = F.explode(detections(F.lit(""), F.col("line"), rules)).alias("_d")
-    return lines.select(*rest, "line", found).select(*rest, "_d.*", preview("line").alias("value_preview"))
+    hits = detect_units(lines, rules, key=F.lit(""), value="line")
+    return hits.select(*rest, "_d.*", preview("line").alias("value_preview"))
 
 
 def _counts(confidence: Column) -> list[Column]:
@@ -119,13 +136,11 @@ def scan_rollup(
     mode = F.col("path").contains(".env") if is_kv is None else is_kv
     lines = files.select(*by, mode.alias("_kv"), F.explode(line_array("content")).alias("line"))
     line = F.col("line")
-    none = F.array().cast("array<struct<key:string,value:string,variable:string>>")
-    units = F.when(trim(line).startswith("#"), none).otherwise(unit_array(line, F.col("_kv")))
-    found = detections(F.col("_u.key"), F.col("_u.value"), detectors)["confidence"]
-    hits = lines.select(*by, F.explode_outer(units).alias("_u")).select(
-        *by, F.explode_outer(found).alias("confidence")
-    )
-    out = hits.groupBy(*by).agg(*_counts(F.col("confidence")))
+    comment = ltrim("line").startswith("#")
+    units = F.when(comment, F.array().cast(_UNITS)).otherwise(unit_array(line, F.col("_kv")))
+    exploded = lines.select(*by, F.explode_outer(units).alias("_u")).select(*by, "_u.key", "_u.value")
+    hits = detect_units(exploded, detectors, keep_clean=True)
+    out = hits.groupBy(*by).agg(*_counts(F.col("_d.confidence")))
     return out.withColumn("critical", (F.col("high_confidence") + F.col("medium_confidence")) > 0)
 
 

@@ -21,7 +21,9 @@ _SPANS = "array<struct<first:int,last:int>>"
 
 def line_array(content: Column | str) -> Column:
     """Lines of a text; a final line break does not start another line."""
-    return F.split(content, "\r?\n")
+    content = F.col(content) if isinstance(content, str) else content
+    # One-character separators take the fast path of split; most texts have no CR.
+    return F.when(content.contains("\r"), F.split(content, "\r?\n")).otherwise(F.split(content, "\n"))
 
 
 def _drop_last_empty(lines: Column) -> Column:
@@ -40,7 +42,7 @@ def to_lines(files: DataFrame, keep: str = "data", content: str = "content") ->
     )
     if keep == "all":
         return lines
-    text = trim("line")
+    text = ltrim("line")
     return lines.filter((text != "") & ~text.startswith("#"))
 
 
@@ -76,7 +78,7 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
         marks = F.transform(
             F.col("_lines"),
             lambda line, i: F.struct(
-                i.alias("i"), rtrim(line).alias("text"), F.nullif(F.regexp_extract(line, _OPENS, 1), F.lit("")).alias("q")
+                i.alias("i"), rtrim(line).alias("text"), F.regexp_extract(line, _OPENS, 1).alias("q")
             ),
         )
         zero = F.struct(
@@ -94,7 +96,7 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
             )
             opened = F.struct(mark["i"].alias("open"), mark["q"].alias("q"), acc["spans"].alias("spans"))
             return (
-                F.when(acc["open"].isNull() & mark["q"].isNull(), acc)
+                F.when(acc["open"].isNull() & (mark["q"] == ""), acc)
                 .when(acc["open"].isNull(), opened)
                 .when(F.endswith(mark["text"], acc["q"]), closed)
                 .otherwise(acc)
@@ -144,13 +146,12 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
 
     final = F.element_at("_spans", -1)
     tail_start = F.when(F.size("_spans") == 0, F.lit(0)).otherwise(F.coalesce(final["last"] + 1, total))
-    rows = rows.select(
-        *others,
-        F.concat(
-            F.flatten(F.transform(F.col("_spans"), gap_and_value)), single(tail_start, total - tail_start)
-        ).alias("_s"),
+    # Exploded as an expression: over a plain column Spark would infer a not-empty
+    # filter and push copies of the whole fold below it.
+    pieces = F.concat(
+        F.flatten(F.transform(F.col("_spans"), gap_and_value)), single(tail_start, total - tail_start)
     )
-    rows = rows.select(*others, F.explode("_s").alias("_s")).select(*others, "_s.*")
+    rows = rows.select(*others, F.explode(pieces).alias("_s")).select(*others, "_s.*")
     text = trim("text")
     return rows.filter((text != "") & (F.col("multi") | ~text.startswith("#")))
 
@@ -173,7 +174,13 @@ def parse_rows(
     gap = "*" if loose_export else "+"
     rows = (
         _statements(files, multiline)
-        .withColumn("_body", F.regexp_replace(trim("text"), rf"\Aexport[{WS_CLASS}]{gap}", ""))
+        .withColumn("_text", trim("text"))
+        .withColumn(
+            "_body",
+            F.when(
+                F.col("_text").startswith("export"), F.regexp_replace("_text", rf"\Aexport[{WS_CLASS}]{gap}", "")
+            ).otherwise(F.col("_text")),
+        )
         .withColumn("_has_eq", F.col("_body").contains("="))
         .withColumn("key", F.when(F.col("_has_eq"), trim(F.substring_index("_body", "=", 1))))
         .withColumn("raw_value", F.when(F.col("_has_eq"), after_first(F.col("_body"), "=")))
@@ -195,9 +202,12 @@ def parse_rows(
         .when(F.col("multi") | (quote != '"'), inner)
         .otherwise(unescape(inner))
     )
-    return rows.withColumn("error", error).select(
-        *others, "line_no", "key", "raw_value",
-        F.when(F.col("error").isNull(), value).alias("value"), "quote", "error",
+    parsed = F.struct(
+        "line_no", "key", "raw_value", F.when(F.col("error").isNull(), value).alias("value"), "quote", "error"
+    )
+    # The one-element explode keeps filters on the result above the parsing.
+    return rows.withColumn("error", error).select(*others, F.explode(F.array(parsed)).alias("_r")).select(
+        *others, "_r.*"
     )
 
 
@@ -257,21 +267,20 @@ def syntax_error(content: Column | str) -> Column:
         F.transform(line_array(content), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line"))),
         lambda x: ~x["line"].rlike(SYNTAX_RE),
     )
-    first = F.get(bad, F.lit(0))
-    snippet = F.concat(
-        F.left(first["line"], F.lit(50)), F.when(F.octet_length(first["line"]) > 50, "...").otherwise("")
-    )
-    return F.when(F.size(bad) > 0, F.struct(first["line_no"].alias("line_no"), snippet.alias("snippet")))
+
+    def report(x: Column) -> Column:
+        dots = F.when(F.octet_length(x["line"]) > 50, "...").otherwise("")
+        return F.struct(
+            x["line_no"].alias("line_no"), F.concat(F.left(x["line"], F.lit(50)), dots).alias("snippet")
+        )
+
+    return F.get(F.transform(F.slice(bad, 1, 1), report), F.lit(0))
 
 
 def first_syntax_error(files: DataFrame) -> DataFrame:
-    return (
-        files.select(
-            *[c for c in files.columns if c != "content"], syntax_error("content").alias("_e")
-        )
-        .filter(F.col("_e").isNotNull())
-        .select(*[c for c in files.columns if c != "content"], "_e.*")
-    )
+    others = [c for c in files.columns if c != "content"]
+    found = F.array_compact(F.array(syntax_error("content")))
+    return files.select(*others, F.explode(found).alias("_e")).select(*others, "_e.*")
 
 
 # Variables of the operating system, never exported.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import ModuleType
 
-MODULES = ["scan", "compare"]
+MODULES = ["scan", "compare", "rules", "extract", "reshape", "catalog", "health"]
 
 
 def load() -> ModuleType:

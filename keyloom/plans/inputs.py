@@ -32,8 +32,19 @@ class Derived:
         return body + (f" GROUP BY {', '.join(self.columns[n] for n in self.group_by)}" if self.group_by else "")
 
 
+_FULL_SPLIT = 128 << 20
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; one smaller than a split per core is dealt out to all cores.
+
+    Such a table is often one row group, that is one task. Large tables bring their
+    own splits and are never shuffled here.
+    """
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * _FULL_SPLIT else df
 
 
 def text(n: str) -> str:
@@ -254,7 +265,7 @@ TEMPLATES = Derived("orders", {
 
 def _snapshot(wanted: str) -> Derived:
     name = "concat(upper(event_type), CASE WHEN event_type IN ('error', 'view') THEN '_TOKEN_' ELSE '_' END, " \
-           "replace(replace(props, '{\"k\": ', ''), '}', ''))"
+           "cast(cast(floor(cast(replace(replace(props, '{\"k\": ', ''), '}', '') as int) / 10) as int) as string))"
     marked = Derived("events", {
         "project_id": f"concat('u', {text('user_id')})", "key": name,
         "hit": f"(CASE WHEN day(ts) {wanted} THEN 1 ELSE 0 END)", "event_id": "event_id",
