@@ -47,12 +47,13 @@ def lookup_service(components: DataFrame, service_id: str) -> DataFrame:
 
 def first_groups(components: DataFrame) -> DataFrame:
     """One entry per service id: the first group in lookup order holds it."""
-    services = components.filter(F.col("kind") == "service")
-    rest = [c for c in components.columns if c not in ("catalog_id", "component_id", "group_rank")]
-    first = services.groupBy("catalog_id", "component_id").agg(
-        F.min("group_rank").alias("group_rank"), F.min_by(F.struct(*rest), "group_rank").alias("_s")
-    ).select("catalog_id", "component_id", "group_rank", "_s.*")
-    return components.filter(F.col("kind") != "service").unionByName(first)
+    keys = ["catalog_id", "kind", "_scope", "component_id"]
+    scope = F.when(F.col("kind") == "service", "").otherwise(F.col("scope"))
+    rest = [c for c in components.columns if c not in keys]
+    first = components.withColumn("_scope", scope).groupBy(*keys).agg(
+        F.min_by(F.struct(*rest), "group_rank").alias("_s")
+    )
+    return first.select("catalog_id", "kind", "component_id", "_s.*")
 
 
 def flatten(components: DataFrame) -> DataFrame:

@@ -233,26 +233,26 @@ def rewrite_lines(files: DataFrame, values: DataFrame) -> DataFrame:
     lines = to_lines(files.select("file_id", "content"), keep="all")
     line, text = F.col("line"), trim("line")
     assigns = (text != "") & ~text.startswith("#") & line.contains("=")
-    keyed = lines.withColumn("_k", F.when(assigns, trim(F.substring_index(line, "=", 1))))
-    new = values.select("file_id", F.col("key").alias("_k"), F.col("value").alias("_v"))
-    # Lines without a key must not meet in one null bucket: they skip the join.
-    plain = keyed.filter(F.col("_k").isNull()).select(
-        "file_id", F.lit(0).alias("section"), "line_no", line.alias("text")
-    )
-    updated = keyed.filter(F.col("_k").isNotNull()).join(new, ["file_id", "_k"], "left").select(
+    name = trim(F.substring_index(line, "=", 1))
+    # Lines without a key take one no variable can have, so they neither match nor
+    # pile up under one null.
+    own = F.concat(F.lit("\n"), F.col("line_no").cast("string"))
+    keyed = lines.withColumn("_k", F.when(assigns, name).otherwise(own))
+    new = values.select("file_id", F.col("key").alias("_k"), F.col("value").alias("_v"), F.col("pos").cast("int").alias("_p"))
+    both = keyed.join(new, ["file_id", "_k"], "full_outer")
+    assignment = F.concat("_k", F.lit("="), "_v")
+    kept = both.filter(F.col("line_no").isNotNull()).select(
         "file_id", F.lit(0).alias("section"), "line_no",
-        F.when(F.col("_v").isNull(), line).otherwise(F.concat("_k", F.lit("="), "_v")).alias("text"),
+        F.when(F.col("_v").isNull(), line).otherwise(assignment).alias("text"),
     )
     # Values without a line of their own are few; only these are looked up in the whole text.
-    written = keyed.filter(F.col("_k").isNotNull()).select("file_id", F.col("_k").alias("key"))
-    absent = values.select("file_id", "key", "value", "pos").join(written, ["file_id", "key"], "left_anti")
     appended = (
-        absent.join(files.select("file_id", "content"), "file_id")
-        .filter(~F.contains(F.col("content"), F.concat("key", F.lit("="))))
-        .select("file_id", F.lit(1).alias("section"), F.col("pos").cast("int").alias("line_no"),
-                F.concat("key", F.lit("="), "value").alias("text"))
+        both.filter(F.col("line_no").isNull())
+        .join(files.select("file_id", "content"), "file_id")
+        .filter(~F.contains(F.col("content"), F.concat("_k", F.lit("="))))
+        .select("file_id", F.lit(1).alias("section"), F.col("_p").alias("line_no"), assignment.alias("text"))
     )
-    return plain.unionByName(updated).unionByName(appended)
+    return kept.unionByName(appended)
 
 
 def summarise(

@@ -33,18 +33,19 @@ class Derived:
 
 
 _FULL_SPLIT = 128 << 20
+_WORTH_DEALING = 1 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A driver table; one smaller than a split per core is dealt out to all cores.
 
     Such a table is often one row group, that is one task. Large tables bring their
-    own splits and are never shuffled here.
+    own splits and are never shuffled here; tiny ones are not worth it.
     """
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * _FULL_SPLIT else df
+    return df.repartition(cores) if _WORTH_DEALING < size < cores * _FULL_SPLIT else df
 
 
 def text(n: str) -> str:

@@ -61,50 +61,46 @@ def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
 def parse_catalogs(texts: DataFrame, text: str = "json") -> DataFrame:
     """Catalogs kept as JSON text in a table column."""
     rest = [c for c in texts.columns if c != text]
-    return texts.select(*rest, F.from_json(text, CATALOG_SCHEMA).alias("_c")).select(*rest, "_c.*")
-
-
-_COMPONENT_COLUMNS = [
-    "catalog_id", "kind", "scope", "component_id", "display_name", "category", "group_rank",
-    "vars", "defaults", "descriptions", "categories", "required",
-]
+    # The one-element explode makes Spark parse each text once, not once per field.
+    parsed = F.explode(F.array(F.from_json(text, CATALOG_SCHEMA)))
+    return texts.select(*rest, parsed.alias("_c")).select(*rest, "_c.*")
 
 
 def components(catalogs: DataFrame) -> DataFrame:
-    """One row per framework, service and infrastructure entry.
+    """One row per framework, service and infrastructure entry, in one pass.
 
     ``scope`` is the language of a framework and the group of a service; an id found
     in several service groups belongs to the first (``group_rank``).
     """
     no_map = F.lit(None).cast("map<string,string>")
     no_list = F.lit(None).cast("array<string>")
-
-    def rows(df: DataFrame, kind: str, scope: Column, rank: Column, categories: Column, required: Column, category: Column):
-        return df.select(
-            "catalog_id", F.lit(kind).alias("kind"), scope.alias("scope"), F.col("id").alias("component_id"),
-            F.coalesce("c.display_name", "id").alias("display_name"), category.alias("category"),
-            rank.alias("group_rank"), "c.vars", "c.defaults", "c.descriptions",
-            categories.alias("categories"), required.alias("required"),
-        )
-
-    zero, no_text = F.lit(0), F.lit(None).cast("string")
-    languages = catalogs.select("catalog_id", F.explode("languages").alias("scope", "l"))
-    frameworks = languages.select("catalog_id", "scope", F.explode("l.frameworks").alias("id", "c"))
-    groups = F.array(*[
-        F.struct(F.lit(g).alias("scope"), F.lit(i).alias("rank"), F.col(f"services.{g}").alias("entries"))
+    no_text = F.lit(None).cast("string")
+
+    def entries(of: Column, kind: str, scope: Column, rank: int, categories=None, required=None, category=None) -> Column:
+        def entry(e: Column) -> Column:
+            c = e["value"]
+            return F.struct(
+                F.lit(kind).alias("kind"), scope.alias("scope"), e["key"].alias("component_id"),
+                F.coalesce(c["display_name"], e["key"]).alias("display_name"),
+                (c[category] if category else no_text).alias("category"), F.lit(rank).alias("group_rank"),
+                c["vars"].alias("vars"), c["defaults"].alias("defaults"), c["descriptions"].alias("descriptions"),
+                (c[categories] if categories else no_map).alias("categories"),
+                (c[required] if required else no_list).alias("required"),
+            )
+
+        return F.transform(F.map_entries(of), entry)
+
+    frameworks = F.flatten(F.transform(
+        F.map_entries("languages"),
+        lambda l: entries(l["value"]["frameworks"], "framework", l["key"], 0, categories="categories"),
+    ))
+    services = [
+        entries(F.col(f"services.{g}"), "service", F.lit(g), i, required="required", category="category")
         for i, g in enumerate(SERVICE_GROUPS)
-    ])
-    services = (
-        catalogs.select("catalog_id", F.explode(groups).alias("g"))
-        .select("catalog_id", "g.scope", "g.rank", F.explode("g.entries").alias("id", "c"))
-    )
-    infra = catalogs.select("catalog_id", F.explode("infrastructure").alias("id", "c"))
-    return (
-        rows(frameworks, "framework", F.col("scope"), zero, F.col("c.categories"), no_list, no_text)
-        .unionByName(rows(services, "service", F.col("scope"), F.col("rank"), no_map, F.col("c.required"), F.col("c.category")))
-        .unionByName(rows(infra, "infrastructure", F.lit(""), zero, no_map, no_list, F.col("c.category")))
-        .select(*_COMPONENT_COLUMNS)
-    )
+    ]
+    infra = entries(F.col("infrastructure"), "infrastructure", F.lit(""), 0, category="category")
+    found = F.flatten(F.array_compact(F.array(frameworks, *services, infra)))
+    return catalogs.select("catalog_id", F.explode(found).alias("_e")).select("catalog_id", "_e.*")
 
 
 def stacks(catalogs: DataFrame) -> DataFrame:
