@@ -80,7 +80,7 @@ def entropy(c: Column | str) -> Column:
         )
 
     zero = F.struct(F.lit("").alias("ch"), F.lit(0.0).alias("run"), F.lit(0.0).alias("h"))
-    folded = F.aggregate(F.array_sort(F.split(c, "")), zero, step, lambda a: a["h"] - term(a["run"]))
+    folded = F.aggregate(F.sort_array(F.split(c, "")), zero, step, lambda a: a["h"] - term(a["run"]))
     return F.when(c == "", F.lit(0.0)).otherwise(folded)
 
 

@@ -48,8 +48,8 @@ def _is_space(one: Column) -> Column:
 
 def any_contains(c: Column, needles: list[str]) -> Column:
     """True if the string holds any needle. Plain substring search, no regex."""
-    found = F.lit(False)
-    for needle in needles:
+    found = c.contains(needles[0])
+    for needle in needles[1:]:
         found = found | c.contains(needle)
     return found
 

@@ -111,7 +111,8 @@ def resolve(selected: DataFrame, catalog_vars: DataFrame) -> DataFrame:
     scope_ok = (F.col("source_kind") != "framework") | (F.col("language") == F.col("scope"))
     joined = selected.join(catalog_vars, ["catalog_id", "source_kind", "source_id"]).filter(scope_ok)
     order = F.struct("stage", "ord", "pos", "source_id")
-    first = joined.groupBy("catalog_id", "stack_id", "var").agg(F.min_by(F.struct(*_META), order).alias("_m"))
+    # The stack leads the grouping keys: it tells rows apart best when they are sorted.
+    first = joined.groupBy("stack_id", "var", "catalog_id").agg(F.min_by(F.struct(*_META), order).alias("_m"))
     return first.select("catalog_id", "stack_id", "var", "_m.*")
 
 

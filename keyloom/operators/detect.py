@@ -151,26 +151,43 @@ def history(
     order: str = "ver",
     bucket_size: int = 4096,
 ) -> DataFrame:
-    """Versions that change how often ``needle`` occurs in a file.
-
-    Only the count travels. The previous count comes from a window over
-    (file, bucket of versions), so a file holding most versions is split; the first
-    row of a bucket takes the last count of the file's previous non-empty bucket.
-    """
+    """Versions that change how often ``needle`` occurs in a file; only the count travels."""
     count = (F.char_length("content") - F.char_length(F.replace("content", F.lit(needle), F.lit("")))) / len(needle)
-    counted = versions.select(
-        *by, order, count.cast("int").alias("occurrences"), F.floor(F.col(order) / bucket_size).alias("_b")
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy(order)
-    lagged = counted.withColumn("_prev", F.lag("occurrences").over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    ).withColumn("_end", F.lead("occurrences").over(inside).isNull())
-    ends = lagged.filter(F.col("_end")).withColumnRenamed("occurrences", "_last")
-    across = Window.partitionBy(*by).orderBy("_b")
-    carried = ends.select(*by, "_b", F.lag("_last").over(across).alias("_carry"))
-    joined = lagged.join(carried, [*by, "_b"], "left")
-    previous = F.coalesce(F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev")), F.lit(0))
+    counted = versions.select(*by, order, count.cast("int").alias("occurrences"))
+    with_previous = previous_value(counted, list(by), order, "occurrences", bucket_size)
+    previous = F.coalesce("_previous", F.lit(0))
     return (
-        joined.select(*by, order, previous.alias("previous"), "occurrences")
+        with_previous.select(*by, order, previous.alias("previous"), "occurrences")
         .filter(F.col("occurrences") != F.col("previous"))
     )
+
+
+def previous_value(
+    df: DataFrame, by: list[str], order: str, value: str, bucket_size: int, levels: int = 2
+) -> DataFrame:
+    """``_previous``: the value of the row before in ``order``, for groups of any size.
+
+    A plain window would put a whole group in one task. Here windows run over
+    (group, bucket of the integer order); the first row of a bucket takes the last
+    value of the group's previous non-empty bucket, found in the same way one level
+    up, where there is one row per bucket.
+    """
+    if levels == 0:
+        whole = Window.partitionBy(*by).orderBy(order)
+        return df.withColumn("_previous", F.lag(value).over(whole))
+    bucket = f"_bucket{levels}"
+    inside = Window.partitionBy(*by, bucket).orderBy(order)
+    marked = (
+        df.withColumn(bucket, F.floor(F.col(order) / bucket_size))
+        .withColumn("_lag", F.lag(value).over(inside))
+        .withColumn("_first", F.row_number().over(inside) == 1)
+        .withColumn("_end", F.lead(F.lit(1)).over(inside).isNull())
+    )
+    # Same shuffle as above, so Spark reuses it.
+    ends = marked.filter(F.col("_end")).select(*by, bucket, F.col(value).alias("_last"))
+    carried = previous_value(ends, by, bucket, "_last", bucket_size, levels - 1).select(
+        *by, bucket, F.col("_previous").alias("_carry")
+    )
+    joined = marked.join(carried, [*by, bucket], "left")
+    previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
+    return joined.select(*df.columns, previous.alias("_previous"))

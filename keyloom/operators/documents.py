@@ -27,7 +27,7 @@ def assemble(
     """
     sep = F.lit(separator) if isinstance(separator, str) else separator
     chunk = F.floor(F.col(pos) / chunk_lines).cast("int")
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     chunks = rows.withColumn("chunk_no", chunk).groupBy(*keys, "chunk_no").agg(ordered.alias("_rows"))
     rest = F.transform(F.slice("_rows", 2, F.size("_rows")), lambda r: F.concat(F.col("_sep"), r["t"]))
     bodies = chunks.withColumn("_sep", sep).select(

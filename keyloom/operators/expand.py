@@ -131,6 +131,6 @@ def _round(state: DataFrame, table: DataFrame, depth: int, max_depth: int) -> Da
     )
     # The group is one value's own segments, never a file or a project.
     gathered = refs.unionByName(kept).groupBy(*_FILE, "key").agg(
-        F.array_sort(F.collect_list(F.struct("at", "new"))).alias("_g")
+        F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_g")
     )
     return gathered.select(*_FILE, "key", _cut_after_error(F.flatten(F.col("_g.new"))).alias("parts"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.checks import is_valid_key
-from keyloom.functions.text import WS_CLASS, after_first, ltrim, rtrim, trim, unescape
+from keyloom.functions.text import WS_CLASS, after_first, any_contains, ltrim, rtrim, trim, unescape
 
 QUOTES = ["\"", "'", "`"]
 # A line that starts a quoted value and does not close it: the text after the
@@ -71,14 +71,16 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
     the open value began and emits one (first, last) span when its quote ends a line.
     """
     others = [c for c in files.columns if c != "content"]
-    rows = files.select(*others, line_array("content").alias("_lines"))
+    rows = files.select(
+        *others, line_array("content").alias("_lines"), any_contains(F.col("content"), QUOTES).alias("_quoted")
+    )
     if not multiline:
         rows = rows.withColumn("_spans", F.array().cast(_SPANS))
     else:
         marks = F.transform(
             F.col("_lines"),
             lambda line, i: F.struct(
-                i.alias("i"), rtrim(line).alias("text"), F.regexp_extract(line, _OPENS, 1).alias("q")
+                i.alias("i"), rtrim(line).alias("text"), F.when(any_contains(line, QUOTES), F.regexp_extract(line, _OPENS, 1)).otherwise("").alias("q"),
             ),
         )
         zero = F.struct(
@@ -107,7 +109,7 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
             dangling = F.array(F.struct(acc["open"].alias("first"), F.lit(None).cast("int").alias("last")))
             return F.when(acc["open"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], dangling))
 
-        needs_fold = F.exists("_lines", lambda line: line.rlike(_OPENS))
+        needs_fold = F.col("_quoted") & F.exists("_lines", lambda line: any_contains(line, QUOTES) & line.rlike(_OPENS))
         rows = rows.withColumn("_marks", F.when(needs_fold, marks)).withColumn(
             "_spans",
             F.when(F.col("_marks").isNull(), F.array().cast(_SPANS)).otherwise(

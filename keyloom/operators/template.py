@@ -78,7 +78,7 @@ def render(templates: DataFrame, vars_: DataFrame, default_when_absent: bool = F
     )
     # The group is one template's own pieces.
     whole = refs.unionByName(plain).groupBy("project_id", "template_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_g"),
+        F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_g"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"),
     )
     text = F.when(F.col("error").isNull(), F.array_join(F.col("_g.text"), ""))

@@ -58,7 +58,7 @@ def sarif_documents(findings: DataFrame, by: str = "project_id", max_results: in
         f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}",'
         '"runs":[{"tool":{"driver":{"name":"keyloom scan","version":"1"}},"results":['
     )
-    ordered = F.array_sort(F.collect_list(F.struct("file_id", "line_no", "result")))
+    ordered = F.sort_array(F.collect_list(F.struct("file_id", "line_no", "result")))
     return spread.groupBy(by, "part").agg(ordered.alias("_r")).select(
         by, "part", F.concat(F.lit(head), F.array_join(F.col("_r.result"), ","), F.lit("]}]}")).alias("sarif")
     )

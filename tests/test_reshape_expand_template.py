@@ -134,6 +134,15 @@ def test_expand_against_brute_force(make_vars):
     assert len({e for _, e in want.values()}) >= 3
 
 
+def test_expand_hot_reference(spark):
+    """A third of all references point at one key of one file."""
+    rows = spark.range(6000).selectExpr(
+        "if(id % 3 = 0, 'hot', concat('p', id % 50)) as project_id", "if(id % 3 = 0, 'hot', concat('p', id % 50)) as file_id",
+        "concat('K', id) as key", "if(id % 3 = 0 and id > 0, concat('<$', '{K0}>'), 'plain') as value")
+    out = expand.expand(rows)
+    assert out.count() == 6000 and out.filter("value = '<plain>'").count() == 1999
+
+
 def test_undefined_references(make_vars):
     v = make_vars({"p": {"A": "${B} $C ${A}", "B": "1"}})
     got = sorted((r.key, r.name, r.braced, r.error) for r in expand.undefined_references(v).collect())

@@ -56,6 +56,25 @@ def test_custom_detector_and_line_rules(make_files, spark):
     assert [r.pattern for r in on_lines] == ["Private Key"]
 
 
+def test_pandas_udf_as_detector(make_files):
+    import pandas as pd
+
+    @F.pandas_udf(secrets.DETECTION_TYPE)
+    def shouting(key: pd.Series, value: pd.Series) -> pd.DataFrame:
+        hit = value.str.isupper()
+        return pd.DataFrame({
+            "detector": "shout", "pattern": value.where(hit), "confidence": "low", "action_url": None,
+        }).where(hit, None)
+
+    def detector(key, value):
+        found = shouting(key, value)
+        return F.when(found["pattern"].isNotNull(), found)
+
+    files = make_files([("p", ".env", "A=LOUD\nB=quiet\nTOKEN=abcdefgh")])
+    found = detect.scan(files, [*secrets.DEFAULT_DETECTORS, detector]).collect()
+    assert sorted(r.pattern for r in found) == ["LOUD", "Sensitive config key: TOKEN"]
+
+
 def test_history_with_split_files(spark):
     rnd = random.Random(2)
     rows, want = [], set()
@@ -68,8 +87,9 @@ def test_history_with_split_files(spark):
                 want.add((f, ver, prev, n))
             prev = n
     versions = spark.createDataFrame(rows, "file_id string, ver bigint, content string")
-    got = detect.history(versions, "key", bucket_size=64)
-    assert {tuple(r) for r in got.collect()} == want
+    for size in (8, 64, 4096):
+        got = detect.history(versions, "key", bucket_size=size)
+        assert {tuple(r) for r in got.collect()} == want
 
 
 def test_diff(make_vars):
