@@ -69,12 +69,17 @@ def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     is reported: UndefinedVariable, CircularExpansion or ExpansionDepthExceeded.
     """
     has_ref = F.col("value").contains("$")
-    plain = vars_.filter(~has_ref).select(
-        *_FILE, "key", "value", F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("detail")
-    )
-    state = cut(vars_.filter(has_ref).select(*_FILE, "key", segments("value").alias("parts")))
-    # References can point at any variable, also at plain ones.
-    table = cut(vars_.select(*_FILE, F.col("key").alias("name"), segments("value").alias("target")))
+    no_text = F.lit(None).cast("string")
+    # Parsing the texts behind the variables is the expensive part: do it once.
+    base = cut(vars_.select(*_FILE, "key", "value"))
+    plain = base.filter(~has_ref).select(*_FILE, "key", "value", no_text.alias("error"), no_text.alias("detail"))
+    state = base.filter(has_ref).select(*_FILE, "key", segments("value").alias("parts"))
+    # Only variables that something refers to are looked up, in every round.
+    names = F.transform(F.filter("parts", lambda s: s["kind"] == "ref"), lambda s: s["name"])
+    wanted = state.select(*_FILE, F.explode(names).alias("name")).distinct()
+    named = base.select(*_FILE, F.col("key").alias("name"), segments("value").alias("target"))
+    table = cut(named.join(wanted, [*_FILE, "name"], "left_semi"))
+    deeper, last = _splice(False), _splice(True)
     done = []
     open_ref = F.exists("parts", lambda s: s["kind"] == "ref")
     for depth in range(max_depth + 1):
@@ -82,7 +87,7 @@ def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         state = state.filter(open_ref)
         if state.isEmpty():
             break
-        state = cut(_round(state, table, depth, max_depth))
+        state = cut(_round(state, table, last if depth == max_depth else deeper))
     else:
         done.append(state)
     closed = reduce(DataFrame.unionByName, done)
@@ -95,39 +100,43 @@ def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return plain.unionByName(resolved)
 
 
-def _round(state: DataFrame, table: DataFrame, depth: int, max_depth: int) -> DataFrame:
-    """Replace every open reference of this depth by the segments it stands for."""
-    flat = state.select(*_FILE, "key", F.posexplode("parts").alias("at", "s")).select(*_FILE, "key", "at", "s.*")
-    path, name, text = F.col("path"), F.col("name"), F.col("text")
+def _splice(last: bool) -> Column:
+    """What a joined reference becomes: an error, a literal, or its target's segments."""
+    path, name, text, target = F.col("path"), F.col("name"), F.col("text"), F.col("target")
 
     def one(kind: str, text_: Column, name_: Column) -> Column:
-        return F.array(F.struct(F.lit(kind).alias("kind"), text_.alias("text"), name_.alias("name"), path.alias("path")))
+        return F.array(
+            F.struct(F.lit(kind).alias("kind"), text_.alias("text"), name_.alias("name"), path.alias("path"))
+        )
 
     def err(kind: str, detail: Column) -> Column:
         return one("err", detail, F.lit(kind))
 
     cycle = F.concat(F.array_join(path, " → "), F.lit(" → "), name)
-    deeper = F.transform(
-        "target",
+    spliced = F.transform(
+        target,
         lambda s: F.struct(
             s["kind"].alias("kind"), s["text"].alias("text"), s["name"].alias("name"),
             F.concat(path, F.array(name)).alias("path"),
         ),
     )
-    spliced = (
+    return (
         F.when(F.array_contains(path, name), err("CircularExpansion", cycle))
-        .when(F.col("target").isNull() & text.startswith("${"), err("UndefinedVariable", name))
-        .when(F.col("target").isNull(), one("lit", text, F.lit(None).cast("string")))
-        .when(F.lit(depth >= max_depth), err("ExpansionDepthExceeded", name))
-        .otherwise(deeper)
+        .when(target.isNull() & text.startswith("${"), err("UndefinedVariable", name))
+        .when(target.isNull(), one("lit", text, F.lit(None).cast("string")))
+        .otherwise(err("ExpansionDepthExceeded", name) if last else spliced)
     )
+
+
+def _round(state: DataFrame, table: DataFrame, spliced: Column) -> DataFrame:
+    """Replace every open reference by what it stands for."""
+    flat = state.select(*_FILE, "key", F.posexplode("parts").alias("at", "s")).select(*_FILE, "key", "at", "s.*")
     # Literals do not need the join, so they do not pile up under a null key.
     refs = flat.filter(F.col("kind") == "ref").join(table, [*_FILE, "name"], "left").select(
         *_FILE, "key", "at", spliced.alias("new")
     )
     kept = flat.filter(F.col("kind") != "ref").select(
-        *_FILE, "key", "at",
-        F.array(F.struct("kind", "text", "name", "path")).alias("new"),
+        *_FILE, "key", "at", F.array(F.struct("kind", "text", "name", "path")).alias("new")
     )
     # The group is one value's own segments, never a file or a project.
     gathered = refs.unionByName(kept).groupBy(*_FILE, "key").agg(
