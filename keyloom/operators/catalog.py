@@ -132,6 +132,18 @@ def list_frameworks(components: DataFrame, language: str | None = None) -> DataF
     return rows.select("catalog_id", F.col("scope").alias("language"), "component_id", "display_name")
 
 
+def lookup_framework(components: DataFrame, language: str, framework_id: str) -> DataFrame:
+    return list_frameworks(components, language).filter(F.col("component_id") == framework_id)
+
+
+def list_stacks(stacks: DataFrame) -> DataFrame:
+    return stacks.select("catalog_id", "stack_id", "name")
+
+
+def lookup_stack(stacks: DataFrame, stack_id: str) -> DataFrame:
+    return stacks.filter(F.col("stack_id") == stack_id)
+
+
 # Titles a search reports per service group; databases are reported
 # under two titles and message queues are not searched.
 SEARCH_TITLES = {

@@ -183,7 +183,7 @@ def previous_value(
         .withColumn("_first", F.row_number().over(inside) == 1)
         .withColumn("_end", F.lead(F.lit(1)).over(inside).isNull())
     )
-    # Same shuffle as above, so Spark reuses it.
+    # The same shuffle as above, which Spark can reuse.
     ends = marked.filter(F.col("_end")).select(*by, bucket, F.col(value).alias("_last"))
     carried = previous_value(ends, by, bucket, "_last", bucket_size, levels - 1).select(
         *by, bucket, F.col("_previous").alias("_carry")

@@ -52,3 +52,12 @@ def write_lines(rows: DataFrame, path: str, order: list[str], text: str = "text"
     by = [F.col(c) for c in order]
     spread = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
     spread.sortWithinPartitions(*by).select(F.col(text).alias("value")).write.text(path)
+
+
+def write_documents(documents: DataFrame, path: str, keys: list[str], partition_by: str | None = None) -> None:
+    """Write assembled chunks as text, chunks of a document in order and side by side."""
+    by = [F.col(c) for c in dict.fromkeys([*([partition_by] if partition_by else []), *keys, "chunk_no"])]
+    ordered = documents.repartitionByRange(*by).sortWithinPartitions(*by)
+    columns = [F.col("text").alias("value"), *([F.col(partition_by)] if partition_by else [])]
+    writer = ordered.select(*columns).write
+    (writer.partitionBy(partition_by) if partition_by else writer).text(path)

@@ -208,6 +208,16 @@ def tags(spark, sf):
     return C.list_tags(_TAGGED.df(spark, sf)).select("tag")
 
 
+@query("stack_listing", f"SELECT stack_id, name FROM ({_TAGS})")
+def stack_listing(spark, sf):
+    return C.list_stacks(_TAGGED.df(spark, sf)).drop("catalog_id")
+
+
+@query("framework_lookup", f"SELECT scope AS language, id AS component_id, display AS display_name FROM ({I.FRAMEWORKS.sql()}) WHERE scope = 'lang3' AND id = 'fw8'")
+def framework_lookup(spark, sf):
+    return C.lookup_framework(_components(spark, sf), "lang3", "fw8").drop("catalog_id")
+
+
 @query("stacks_by_tag", f"SELECT stack_id, name, description FROM ({_TAGS}) WHERE list_contains(tags, 'red')")
 def stacks_by_tag(spark, sf):
     return C.stacks_by_tag(_TAGGED.df(spark, sf), "red").drop("catalog_id")

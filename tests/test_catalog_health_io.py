@@ -68,6 +68,9 @@ def test_search_list_tags(spark):
     titles = {r.group_title for r in catalog.list_services(comps).collect()}
     assert titles == {"Databases", "Storage", "Messaging"}
     assert catalog.list_frameworks(comps, "ruby").count() == 2
+    assert catalog.lookup_framework(comps, "ruby", "rails").collect()[0].display_name == "rails"
+    assert sorted(r.name for r in catalog.list_stacks(stacks).collect()) == ["One", "Two"]
+    assert catalog.lookup_stack(stacks, "s2").collect()[0].language == "perl"
     assert catalog.lookup_service(comps, "pg_postgres").collect()[0].scope == "databases"
 
 
@@ -175,6 +178,18 @@ def test_reports(make_files, make_vars, spark):
         assert text.split() == [f"l{i}" for i in range(100)]
 
 
+def test_write_payloads(spark, make_vars):
+    from keyloom.operators.documents import write_documents
+    from keyloom.operators.reshape import export
+
+    docs = export(make_vars({"p": {"A": "1"}, "q": {"B": "2"}}), ["json", "tf"])
+    with tempfile.TemporaryDirectory() as d:
+        out = os.path.join(d, "out")
+        write_documents(docs, out, ["file_id"], partition_by="format")
+        back = spark.read.text(out)
+        assert sorted(r.value for r in back.filter("format = 'json'").collect()) == ['{"A":"1"}', '{"B":"2"}']
+
+
 def test_stream_scan(spark, make_files):
     from keyloom.streaming.scan import start_scan, watch_table
 
