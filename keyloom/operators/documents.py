@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.joins import SALTS
+
 CHUNK_LINES = 10_000
 
 
@@ -23,7 +25,7 @@ def assemble(
     A document longer than ``chunk_lines`` positions becomes several chunks whose
     texts, in order, concatenate to the whole document; so no task ever gathers a
     whole hot document. Header and footer go to the first and last chunk, found by a
-    join against one small (first, last) row per document.
+    salted join against one small (first, last) row per document.
     """
     sep = F.lit(separator) if isinstance(separator, str) else separator
     chunk = F.floor(F.col(pos) / chunk_lines).cast("int")
@@ -35,9 +37,14 @@ def assemble(
     )
     # Reads only the keys and positions again; one row per document.
     ends = rows.groupBy(*keys).agg(F.min(chunk).alias("_first"), F.max(chunk).alias("_last"))
+    # A document of many chunks meets one copy of its row per salt, so its chunks spread;
+    # a document of one chunk has one copy.
+    some = F.sequence("_first", F.least(F.col("_last"), F.col("_first") + (SALTS - 1)))
+    ends = ends.withColumn("_salt", F.explode(F.transform(some, lambda c: F.pmod(c, F.lit(SALTS)))))
+    bodies = bodies.withColumn("_salt", F.pmod("chunk_no", F.lit(SALTS)))
     first, last = F.col("chunk_no") == F.col("_first"), F.col("chunk_no") == F.col("_last")
     empty = F.lit("")
-    return bodies.join(ends, keys).select(
+    return bodies.join(ends, [*keys, "_salt"]).select(
         *keys, "chunk_no",
         F.concat(
             F.when(first, header if header is not None else empty).otherwise(F.col("_sep")),

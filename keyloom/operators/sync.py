@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.checks import follows_naming
 from keyloom.functions.placeholders import DEFAULT_PLACEHOLDER, is_placeholder_value, make_placeholder
+from keyloom.operators.joins import join_per_group
 
 PLAN_COLUMNS = [
     "project_id", "target", "action", "key", "old_value", "new_value", "is_placeholder", "naming_violation",
@@ -58,14 +59,14 @@ def reverse(
     """Keys to add to the env side.
 
     Projects that have an env get placeholders built with the default rules; projects
-    without one get a copy, marked where a value is a placeholder already. Both are
-    one full outer join; having an env is a distinct list of projects.
+    without one get a copy, marked where a value is a placeholder already. Having an
+    env is a distinct list of projects.
     """
     absent = example.select("project_id", "key", "value").join(
         env.select("project_id", "key"), ["project_id", "key"], "left_anti"
     )
     known = env.select("project_id").distinct().withColumn("_has_env", F.lit(True))
-    rows = absent.join(known, "project_id", "left")
+    rows = join_per_group(absent, known, "project_id", "left")
     has_env = F.coalesce("_has_env", F.lit(False))
     value = F.when(has_env & F.lit(placeholders), make_placeholder("key", "value")).otherwise(F.col("value"))
     flag = F.when(has_env, F.lit(placeholders)).otherwise(is_placeholder_value("value", default))

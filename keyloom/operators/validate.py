@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import checks
 from keyloom.functions.text import any_contains, trim
 from keyloom.operators.extract import to_lines
+from keyloom.operators.joins import join_per_group
 
 # Files that mark a project as containerised.
 CONTAINER_FILES = ["docker-compose.yml", "docker-compose.yaml", "Dockerfile", "Containerfile"]
@@ -109,7 +110,8 @@ def validate(
     if containers is not None and "localhost_in_docker" in checks_:
         cond, issue = checks_["localhost_in_docker"]
         rows = env.filter(cond).select("project_id", F.col("key").alias("variable"), issue.alias("i"))
-        parts.append(rows.join(containers, "project_id", "left_semi").select("project_id", "variable", "i.*"))
+        inside = join_per_group(rows, containers, "project_id", "left_semi")
+        parts.append(inside.select("project_id", "variable", "i.*"))
 
     want_missing = "missing_variable" not in ignore
     want_extra = strict and "extra_variable" not in ignore

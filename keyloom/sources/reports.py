@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.secrets import severity_level
+from keyloom.operators.joins import join_per_group
 
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
 MAX_RESULTS = 5000
@@ -51,7 +52,7 @@ def sarif_documents(findings: DataFrame, by: str = "project_id", max_results: in
     """
     rows = sarif_rows(findings, [by, "file_id", "line_no"])
     parts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / max_results).alias("_parts"))
-    spread = rows.join(parts, by).withColumn(
+    spread = join_per_group(rows, parts, by).withColumn(
         "part", F.pmod(F.xxhash64("file_id", "line_no", "result"), F.col("_parts")).cast("int")
     )
     head = (
