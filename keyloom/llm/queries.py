@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
+from . import licenses, ngram_join
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -15,3 +17,19 @@ __all__ = ["ORACLES", "QUERIES"]
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contamination.contaminated().alias("contaminated"), "spans")
+
+
+@query("op6_license_scans")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union("base_labels", "template_labels")), ",").alias("labels"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.col("containment")).alias("score"),
+    )
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
