@@ -308,6 +308,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("asks"))
     place = ["region", "block", "turn"]
     asked = loose.join(asks, "region").select("region", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.pmod(F.xxhash64("doc"), F.col("blocks")))).alias("block"), turn.alias("turn"), "doc", "elements")
+    asked = cut(asked)
     held = placed.where("blocks > 1").join(asks, "region").select("region", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("turn"), "doc", "elements")
     across = held.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(_across(percent), "a long, b long")
 
