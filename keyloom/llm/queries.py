@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import licenses, lm_score, ngram_join
+from . import licenses, lm_score, ngram_join, packing
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -38,3 +38,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(read(spark, sf_dir, "documents"))
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
