@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import licenses, lm_score, ngram_join, packing
+from . import licenses, lm_score, ngram_join, packing, quality
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -43,3 +43,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules", quality.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
