@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import licenses, lm_score, ngram_join, packing, quality
+from . import licenses, line_dedup, lm_score, ngram_join, packing, quality, sentence_dedup
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -48,3 +48,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules", quality.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
+
+
+def _with_spans(deduped: DataFrame) -> DataFrame:
+    n = F.aggregate("_removed", F.lit(0).cast("long"), lambda a, x: a + x["last"] - x["first"] + 1)
+    return deduped.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), n.alias("n_removed"), F.col("_removed").alias("removed"))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_spans(line_dedup.dedup(read(spark, sf_dir, "documents")))
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_spans(sentence_dedup.dedup(read(spark, sf_dir, "documents")))
