@@ -64,3 +64,25 @@ def components(edges: DataFrame) -> DataFrame:
         if same:
             break
     return stars.select(F.col("v").alias("node"), F.col("u").alias("component")).union(stars.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
+
+
+MARK_WORDS = 1 << 20
+
+
+def marked(rows: DataFrame, key: str, ids: DataFrame, name: str = "_marked") -> DataFrame:
+    """``rows`` with a boolean that is true wherever ``key`` is in the only column of ``ids``.
+
+    It may be true for a few others too: the ids become a bitmap of at most ``MARK_WORDS``
+    words of 64 bits, a table with that bound on its rows, which is broadcast. It serves to
+    keep most rows, with their texts, out of a shuffle; an exact join has to follow.
+    """
+    h = F.xxhash64(F.col(ids.columns[0]))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    words = ids.select(F.pmod(F.shiftright(h, 6), F.lit(MARK_WORDS)).alias("_mark_word"), mask.alias("_mark_bits")).groupBy("_mark_word").agg(F.bit_or("_mark_bits").alias("_mark_bits"))
+    own = F.xxhash64(F.col(key))
+    bit = F.call_function("shiftright", F.col("_mark_bits"), F.pmod(own, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    return (
+        rows.withColumn("_mark_word", F.pmod(F.shiftright(own, 6), F.lit(MARK_WORDS)))
+        .join(F.broadcast(words), "_mark_word", "left")
+        .withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop("_mark_word", "_mark_bits")
+    )
