@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, cut, spread
+from .tables import components, cut, marked, spread
 from .textbytes import SPACES, blocks, combine, mix, texts, words
 
 SHINGLE = 3
@@ -294,7 +294,9 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
     roots = printed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     met = roots.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(_meetings, "a long, b long")
     regions = components(met).select(F.col("node").alias("doc"), F.col("component").alias("region"))
-    found = cut(_sets(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(regions, "doc"), size))
+    regions = cut(regions)
+    likely = marked(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", regions.select("doc")).where("_marked")
+    found = cut(_sets(likely.join(regions, "doc"), size))
     split = found.groupBy("region").agg(F.ceil(F.sum("n") / block_elements).alias("blocks"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")
     placed = found.join(split, "region")
