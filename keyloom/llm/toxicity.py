@@ -1,15 +1,15 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick after folding look-alike characters.
 
-Folding lower-cases, drops accents, and maps homoglyphs, digits and symbols inside words
-to the letters they stand for; letters that one look-alike stands for (i, l, 1) become
-one. A lexicon entry is a whole word or the beginning of words. A hit adds the entry's
-weight unless it stands in an exception phrase; the sum, also divided by the logarithm
-of the text's length, goes through a logistic calibration.
+Folding lower-cases, maps homoglyphs, digits and symbols inside words to the letters they
+stand for, and drops what has no width; letters that one look-alike stands for (i, l, 1)
+become one. A lexicon entry is a whole word or the beginning of words. Each distinct word
+that it hits adds its weight unless it stands in an exception phrase; the sum, also
+divided by the logarithm of the text's length, goes through a logistic calibration.
 
 The lexicon, the exception phrases and the calibration are learned from labelled rows: a
-sample of at most ``SAMPLE`` documents of each label, chosen by the hash of their ids.
-Entries are chosen greedily, each by the toxic documents that none before it explains, so
-that the other words of often copied documents do not enter.
+sample of at most ``SAMPLE`` documents of each label, chosen by the hash of their ids, of
+which near copies count once. Entries are chosen greedily by the toxic documents that
+hold them, until each such document is covered ``COVER`` times or nothing likely is left.
 
 Defined results: null and empty texts have no hit and get the score of such texts; a
 document with several labels is toxic if one of them says so; without labelled rows
@@ -29,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ngram_join import shingle_sets
 from .tables import crc_mod, cut
+from .textbytes import blocks, signed
+from .textbytes import texts as text_bytes
 
 SAMPLE = 10_000
 MAX_CANDIDATES = 20_000
 MAX_EXCEPTIONS = 1_000
 MIN_SUPPORT = 5
-MIN_WEIGHT = 3.0
+MIN_WEIGHT = 2.0
+COVER = 3
 STEMS = range(4, 9)
 THRESHOLD = 0.7
 
@@ -51,7 +55,7 @@ LOOKALIKES = {
 def _table() -> dict[int, str | None]:
     table: dict[int, str | None] = {ord(c): LOOKALIKES.get(c, c if c.isalnum() else " ") for c in map(chr, range(128))}
     table.update({ord(c): LOOKALIKES[c] for c in LOOKALIKES})
-    table.update({c: None for c in (*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF)})  # accents and what has no width
+    table.update({c: None for c in (*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF)})  # loose marks and what has no width
     table.update({ord(c): " " for c in "@$!|"})
     return table
 
@@ -62,7 +66,7 @@ INSIDE = re.compile(r"(?<=\w)[@$!|](?=\w)|(?<![^\W_])[@$](?=[^\W_])")
 
 def fold(text: str) -> str:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFKC", text)
     text = text.lower()
     if "$" in text or "@" in text or "!" in text or "|" in text:
         text = INSIDE.sub(lambda m: LOOKALIKES[m[0]], text)
@@ -79,7 +83,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     each = labels.where(trained_on() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     picked = [each.where(F.col("_toxic") == t).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample) for t in (0, 1)]
     chosen = picked[0].union(picked[1])
-    return cut(docs.select(F.col("doc_id").alias("_doc_id"), "text").join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select(F.col("_toxic").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")))
+    texts = docs.select(F.col("doc_id").alias("_doc_id"), "text").join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select(F.col("_toxic").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    return cut(texts.mapInArrow(_with_key, "key long, toxic int, text string").dropDuplicates(["key", "toxic"]).select("toxic", "text"))
+
+
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the least hash of a text's word shingles, which near copies mostly share."""
+    for batch in batches:
+        data, offsets = text_bytes(batch.column(1))
+        keys = [int(signed(s[:1])[0]) if len(s) else 0 for _, _, part, bounds in blocks(data, offsets) for s in shingle_sets(part, bounds)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *batch.columns], names=["key", "toxic", "text"])
 
 
 def _features(text: str) -> set[str]:
@@ -122,18 +135,23 @@ def learn_lexicon(sample: DataFrame, toxic_docs: int, clean_docs: int) -> dict[s
             docs_of[f].add(d)
     odd_of = {f: _odds(*counts[names[f]], toxic_docs, clean_docs) for f in docs_of}
     lexicon: dict[str, float] = {}
+    open_docs = Counter({d: COVER for ds in docs_of.values() for d in ds})
     while docs_of:
         best = max(docs_of, key=lambda f: (len(docs_of[f]) * odd_of[f], not names[f].endswith("*"), len(names[f]), names[f]))
         explained = docs_of.pop(best)
         if len(explained) < MIN_SUPPORT:
             break
         lexicon[names[best]] = odd_of[best]
-        docs_of = {f: rest for f, d in docs_of.items() if len(rest := d - explained) >= MIN_SUPPORT}
+        open_docs.subtract(explained)
+        done = {d for d in explained if open_docs[d] <= 0}
+        word = names[best].rstrip("*")
+        same = {f for f in docs_of if names[f].rstrip("*").startswith(word) and odd_of[f] <= odd_of[best] + 0.5}
+        docs_of = {f: rest for f, d in docs_of.items() if f not in same and len(rest := d - done) >= MIN_SUPPORT}
     return lexicon
 
 
 def matcher(lexicon: dict[str, float], exceptions: frozenset[str] = frozenset()):
-    """folded text -> [(weight, word before and word, word and word after)] of the hits that count."""
+    """folded text -> [(weight, word before and word, word and word after)] of the distinct words that count."""
     import ahocorasick
 
     entries: dict[str, list[tuple[bool, float]]] = defaultdict(list)
@@ -154,7 +172,7 @@ def matcher(lexicon: dict[str, float], exceptions: frozenset[str] = frozenset())
             for stem, weight in kinds:
                 if stem or whole:
                     best[start] = max(weight, best.get(start, weight))
-        found = []
+        found: dict[str, tuple[float, str, str]] = {}
         for start, weight in best.items():
             end = start
             while end < len(text) and text[end].isalnum():
@@ -163,8 +181,8 @@ def matcher(lexicon: dict[str, float], exceptions: frozenset[str] = frozenset())
             before = f"{''.join(text[max(0, start - 64):start].split()[-1:])} {word}"
             after = f"{word} {''.join(text[end:end + 64].split()[:1])}"
             if before not in exceptions and after not in exceptions:
-                found.append((weight, before, after))
-        return found
+                found[word] = (weight, before, after)
+        return list(found.values())
 
     return hits if entries else lambda text: []
 
