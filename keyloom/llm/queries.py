@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import licenses, line_dedup, lm_score, ngram_join, packing, quality, sentence_dedup, toxicity
+from . import licenses, line_dedup, lm_score, ngram_join, packing, quality, sentence_dedup, site_style, toxicity
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -70,3 +70,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", (~toxicity.trained_on()).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "hits")
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
