@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keyloom.llm import line_dedup, ngram_join, packing, quality
 from keyloom.llm.decontaminate import decontaminate
 from keyloom.llm.tables import cut, read
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and lines that too many documents of a source share."""
+    return quality.clean(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and with them documents of which nothing is left."""
+    kept = line_dedup.dedup(docs)
+    changed = F.size("_removed") > 0
+    return kept.where(~changed | (F.size(quality.words(F.col("text"))) > 0)).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each piece of a document, with its place in a sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_near),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", pack),
+]
 ORACLE_SQL = None
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, marked
 
 MAX_DOCS = 50
 MIN_SHARE = 0.3
@@ -94,29 +94,38 @@ def _kept(min_share: float) -> Column:
     return ~F.col("_q_failed") & (left >= min_share * F.col("_q_n"))
 
 
+def _judged(rows: DataFrame, host: str, max_docs: int, min_share: float) -> DataFrame:
+    """The counts and the verdict of each row, and the hashes of its frequent lines (null for none)."""
+    removed = frequent_lines(rows, host, max_docs).groupBy("_q_row").agg(F.sum("n").alias("_q_removed"), F.collect_set("h").alias("_q_hashes"))
+    digest = measured(rows.select("_q_row", "doc_id", "text")).drop("text")
+    return digest.join(removed, "_q_row", "left").withColumn("_q_kept", _kept(min_share))
+
+
 def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document: the counts, base_failed and kept."""
-    rows = _numbered(docs)
-    removed = frequent_lines(rows, host, max_docs).groupBy("_q_row").agg(F.sum("n").alias("_q_removed"))
-    digest = measured(rows.select("_q_row", "doc_id", "text")).drop("text")
-    return digest.join(removed, "_q_row", "left").select(
+    return _judged(_numbered(docs), host, max_docs, min_share).select(
         "doc_id", F.col("_q_n").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_failed").alias("base_failed"),
-        _kept(min_share).alias("kept"), F.coalesce("_q_removed", F.lit(0)).cast("long").alias("n_removed_words"),
+        F.col("_q_kept").alias("kept"), F.coalesce("_q_removed", F.lit(0)).cast("long").alias("n_removed_words"),
     )
 
 
 def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The kept documents without their frequent lines; ``n_chars``, where there is one, is counted anew."""
+    """The kept documents without their frequent lines; ``n_chars``, where there is one, is counted anew.
+
+    The verdicts are stored first: a filter on them would be pushed below the steps that
+    share the words of a text. Only documents that go or change are shuffled.
+    """
     rows = _numbered(docs)
-    removed = frequent_lines(rows, host, max_docs).groupBy("_q_row").agg(F.sum("n").alias("_q_removed"), F.collect_set("h").alias("_q_hashes"))
-    kept = measured(rows).join(removed, "_q_row", "left").where(_kept(min_share))
+    touched = cut(_judged(rows, host, max_docs, min_share).select("_q_row", "_q_kept", "_q_hashes")).where("not _q_kept or _q_hashes is not null")
+    likely = marked(rows, "_q_row", touched.select("_q_row"))
+    changed = likely.where("_marked").join(touched, "_q_row", "left").where("_q_kept is null or _q_kept")
     hashes = F.col("_q_hashes")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: (_without(x, " " + WHITE) == "") | ~F.array_contains(hashes, F.xxhash64(_normal(x)))), "\n")
-    kept = kept.withColumn("text", F.when(hashes.isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(hashes.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return kept.select(*docs.columns)
+        changed = changed.withColumn("n_chars", F.when(hashes.isNull(), F.col("n_chars")).otherwise(F.length(left).cast(dict(docs.dtypes)["n_chars"])))
+    changed = changed.withColumn("text", F.when(hashes.isNull(), F.col("text")).otherwise(left))
+    return likely.where("not _marked").select(*docs.columns).union(changed.select(*docs.columns))
 
 
 SQL = rf"""
