@@ -134,7 +134,7 @@ def scan_rollup(
     shuffle moves one short row per file at most.
     """
     mode = F.col("path").contains(".env") if is_kv is None else is_kv
-    lines = files.select(*by, mode.alias("_kv"), F.explode(line_array("content")).alias("line"))
+    lines = files.select(*by, mode.alias("_kv"), F.explode_outer(line_array("content")).alias("line"))
     line = F.col("line")
     comment = ltrim("line").startswith("#")
     units = F.when(comment, F.array().cast(_UNITS)).otherwise(unit_array(line, F.col("_kv")))

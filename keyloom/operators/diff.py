@@ -93,6 +93,6 @@ def patch_lines(changes: DataFrame, projects: DataFrame) -> DataFrame:
         F.struct(F.lit(i).alias("section"), F.lit(t).alias("text")) for i, t in enumerate(PATCH_TITLES, 1)
     ])
     heads = projects.select("project_id", F.explode(titles).alias("t")).select(
-        "project_id", "t.section", F.lit(-1).alias("pos"), F.lit(0).alias("sub"), "t.text"
+        "project_id", "t.section", F.lit(-1).cast("bigint").alias("pos"), F.lit(0).alias("sub"), "t.text"
     )
-    return body.withColumn("pos", F.col("pos").cast("int")).unionByName(heads)
+    return body.withColumn("pos", F.col("pos").cast("bigint")).unionByName(heads)

@@ -1,57 +1,48 @@
-"""Assembly of ordered text rows into documents of bounded size."""
+"""Documents as ordered rows: a header, the entries, a footer."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.joins import SALTS
+from keyloom.operators.joins import join_per_group
 
-CHUNK_LINES = 10_000
+HEADER, ENTRY, FOOTER = 0, 1, 2
 
 
-def assemble(
+def document_rows(
     rows: DataFrame,
     keys: list[str],
-    pos: str,
+    order: list[str],
     text: str = "text",
     header: Column | None = None,
-    separator: str | Column = "\n",
+    separator: str | Column = "",
     footer: Column | None = None,
-    chunk_lines: int = CHUNK_LINES,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Join rows in ``pos`` order into ``(keys, chunk_no, text)``.
+    """``(keys, section, order, text)``: the rows of each document, of any size.
 
-    A document longer than ``chunk_lines`` positions becomes several chunks whose
-    texts, in order, concatenate to the whole document; so no task ever gathers a
-    whole hot document. Header and footer go to the first and last chunk, found by a
-    salted join against one small (first, last) row per document.
+    Texts in the order of ``section`` and ``order`` concatenate to the document. No task
+    gathers a document: the first entry, which alone has no separator before it, is found
+    by one small row per document that meets the entries in a salted join. Header and
+    footer rows have null order columns; empty ones are left out.
     """
+    place = F.struct(*order, text)
+    first = rows.groupBy(*keys).agg(F.min(place).alias("_first"))
     sep = F.lit(separator) if isinstance(separator, str) else separator
-    chunk = F.floor(F.col(pos) / chunk_lines).cast("int")
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
-    chunks = rows.withColumn("chunk_no", chunk).groupBy(*keys, "chunk_no").agg(ordered.alias("_rows"))
-    rest = F.transform(F.slice("_rows", 2, F.size("_rows")), lambda r: F.concat(F.col("_sep"), r["t"]))
-    bodies = chunks.withColumn("_sep", sep).select(
-        *keys, "chunk_no", "_sep", F.concat(F.element_at("_rows", 1)["t"], F.array_join(rest, "")).alias("_body")
+    joined = join_per_group(rows.select(*keys, *order, text), first, keys, salts=salts)
+    entries = joined.select(
+        *keys, F.lit(ENTRY).alias("section"), *order,
+        F.concat(F.when(place == F.col("_first"), "").otherwise(sep), F.col(text)).alias("text"),
     )
-    # Reads only the keys and positions again; one row per document.
-    ends = rows.groupBy(*keys).agg(F.min(chunk).alias("_first"), F.max(chunk).alias("_last"))
-    # A document of many chunks meets one copy of its row per salt, so its chunks spread;
-    # a document of one chunk has one copy.
-    some = F.sequence("_first", F.least(F.col("_last"), F.col("_first") + (SALTS - 1)))
-    ends = ends.withColumn("_salt", F.explode(F.transform(some, lambda c: F.pmod(c, F.lit(SALTS)))))
-    bodies = bodies.withColumn("_salt", F.pmod("chunk_no", F.lit(SALTS)))
-    first, last = F.col("chunk_no") == F.col("_first"), F.col("chunk_no") == F.col("_last")
-    empty = F.lit("")
-    return bodies.join(ends, [*keys, "_salt"]).select(
-        *keys, "chunk_no",
-        F.concat(
-            F.when(first, header if header is not None else empty).otherwise(F.col("_sep")),
-            F.col("_body"),
-            F.when(last, footer if footer is not None else empty).otherwise(empty),
-        ).alias("text"),
+    ends = F.array(*[
+        F.struct(F.lit(n).alias("section"), (F.lit("") if c is None else c).alias("text")) for n, c in ((HEADER, header), (FOOTER, footer))
+    ])
+    types = dict(rows.dtypes)
+    outer = first.select(*keys, F.explode(ends).alias("_e")).filter(F.col("_e.text") != "").select(
+        *keys, "_e.section", *[F.lit(None).cast(types[c]).alias(c) for c in order], "_e.text"
     )
+    return entries.unionByName(outer)
 
 
 def write_lines(rows: DataFrame, path: str, order: list[str], text: str = "text", partitions: int | None = None) -> None:
@@ -61,10 +52,10 @@ def write_lines(rows: DataFrame, path: str, order: list[str], text: str = "text"
     spread.sortWithinPartitions(*by).select(F.col(text).alias("value")).write.text(path)
 
 
-def write_documents(documents: DataFrame, path: str, keys: list[str], partition_by: str | None = None) -> None:
-    """Write assembled chunks as text, chunks of a document in order and side by side."""
-    by = [F.col(c) for c in dict.fromkeys([*([partition_by] if partition_by else []), *keys, "chunk_no"])]
-    ordered = documents.repartitionByRange(*by).sortWithinPartitions(*by)
-    columns = [F.col("text").alias("value"), *([F.col(partition_by)] if partition_by else [])]
-    writer = ordered.select(*columns).write
+def write_documents(rows: DataFrame, path: str, keys: list[str], order: list[str], partition_by: str | None = None) -> None:
+    """Write the rows of :func:`document_rows` as text lines, a document's rows in order."""
+    by = [F.col(c) for c in dict.fromkeys([*([partition_by] if partition_by else []), *keys, "section", *order])]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    line = F.regexp_replace("text", r"\n\z", "").alias("value")  # the writer ends each line
+    writer = ordered.select(line, *([F.col(partition_by)] if partition_by else [])).write
     (writer.partitionBy(partition_by) if partition_by else writer).text(path)

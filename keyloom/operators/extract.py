@@ -247,7 +247,7 @@ def parse_vars(files: DataFrame, **options) -> DataFrame:
 
 def classify_kv(files: DataFrame) -> DataFrame:
     """Row-local file classifier: ``is_kv`` if blank or at least 80 % good lines; ``n_vars`` too."""
-    lines = F.filter(F.transform(line_array("content"), lambda x: trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(line_array(F.coalesce("content", F.lit(""))), lambda x: trim(x)), lambda x: x != "")
     key_ok = rf"(?U)\A[{WS_CLASS}]*[\p{{Alpha}}\p{{N}}_]+[{WS_CLASS}]*="
     staged = files.withColumn("_lines", lines)
     good = F.filter("_lines", lambda x: x.startswith("#") | x.rlike(key_ok))

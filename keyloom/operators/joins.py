@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SALTS = 16
 
+def shuffle_width(spark: SparkSession) -> int:
+    """How many tasks an exchange of the session has, so how far a hot group can spread."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def join_per_group(rows: DataFrame, groups: DataFrame, on: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+
+def join_per_group(
+    rows: DataFrame, groups: DataFrame, on: str | list[str], how: str = "inner", salts: int | None = None
+) -> DataFrame:
     """Join ``rows`` with ``groups`` (one row per ``on``); a hot group meets ``salts`` copies.
 
     The copies are of the small side only, so each part of a hot group finds its row in
-    another partition. Where Spark broadcasts the groups, the salt costs nothing.
+    another partition. Where Spark broadcasts the groups, the salt costs nothing. By
+    default there are as many salts as an exchange has tasks.
     """
+    salts = salts or shuffle_width(rows.sparkSession)
     salted = rows.withColumn("_salt", F.pmod(F.hash(*rows.columns), F.lit(salts)))
     copies = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+    return salted.join(copies, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.text import (
     affix_match, base64_text, camel_case, json_string, snake_case, wildcard_regex,
 )
-from keyloom.operators.documents import CHUNK_LINES, assemble
+from keyloom.operators.documents import document_rows
 
 STYLES = {"upper": F.upper, "lower": F.lower, "camel": camel_case, "snake": snake_case}
 
@@ -128,9 +128,9 @@ def export(
     prefix: str | None = None,
     style: str | None = None,
     base64: bool = False,
-    chunk_lines: int = CHUNK_LINES,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Documents ``(file_id, format, chunk_no, text)`` for several formats at once.
+    """Document rows ``(file_id, format, section, pos, text)`` for several formats at once.
 
     Each variable explodes into one entry per format (a fixed, short list), so the
     variables are read once and there is no cross join. JSON objects hold a key once
@@ -152,12 +152,12 @@ def export(
         parts.append(rows.select("file_id", "pos", F.explode(entries).alias("e")).select("file_id", "pos", "e.*"))
     entries = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     is_json = F.col("format").isin(JSON_FORMATS)
-    return assemble(
-        entries, ["file_id", "format"], "pos",
+    return document_rows(
+        entries, ["file_id", "format"], ["pos"],
         header=payload_header(F.col("format"), base64),
         separator=F.when(is_json, ",").otherwise(""),
         footer=F.when(is_json, "}").otherwise(""),
-        chunk_lines=chunk_lines,
+        salts=salts,
     )
 
 

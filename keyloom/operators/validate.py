@@ -240,7 +240,7 @@ def rewrite_lines(files: DataFrame, values: DataFrame) -> DataFrame:
     # pile up under one null.
     own = F.concat(F.lit("\n"), F.col("line_no").cast("string"))
     keyed = lines.withColumn("_k", F.when(assigns, name).otherwise(own))
-    new = values.select("file_id", F.col("key").alias("_k"), F.col("value").alias("_v"), F.col("pos").cast("int").alias("_p"))
+    new = values.select("file_id", F.col("key").alias("_k"), F.col("value").alias("_v"), F.col("pos").cast("bigint").alias("_p"))
     both = keyed.join(new, ["file_id", "_k"], "full_outer")
     assignment = F.concat("_k", F.lit("="), "_v")
     kept = both.filter(F.col("line_no").isNotNull()).select(

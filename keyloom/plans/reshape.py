@@ -96,7 +96,7 @@ def _snake(k: str) -> str:
 
 
 _STYLED = I.Derived("orders", {
-    "file_id": I.text("o_custkey"), "pos": "cast(o_orderkey as int)",
+    "file_id": I.text("o_custkey"), "pos": "cast(o_orderkey as bigint)",
     "key": I.pick("o_orderkey", ["'DATABASE_URL'", "'databaseUrl'", "'APIKey'", "'_lead__X_'", "'HTTPServerURL'", "'port'", "'Port'"]),
     "value": "concat(o_orderpriority, ' \"', o_orderstatus, '\" ', o_orderpriority, chr(92), o_orderpriority, o_orderpriority, o_orderpriority, o_orderpriority)",
 })
@@ -120,8 +120,10 @@ def restrip_keys(spark, sf):
 
 
 def _document(fmt: str, entry: str, header: str, footer: str, sep: str, rows: str) -> str:
-    return (f"SELECT file_id, {O.lit(fmt)} AS format, 0 AS chunk_no, {O.lit(header)} || string_agg({entry}, {O.lit(sep)} ORDER BY pos) || {O.lit(footer)} AS text "
-            f"FROM {rows} GROUP BY file_id")
+    parts = [f"SELECT file_id, {O.lit(fmt)} AS format, 1 AS section, pos, CASE WHEN row_number() OVER (PARTITION BY file_id ORDER BY pos, {entry}) = 1 "
+             f"THEN '' ELSE {O.lit(sep)} END || {entry} AS text FROM {rows}"]
+    parts += [f"SELECT DISTINCT file_id, {O.lit(fmt)}, {n}, NULL, {O.lit(text)} FROM {rows}" for n, text in ((0, header), (2, footer)) if text]
+    return " UNION ALL ".join(parts)
 
 
 _Q = lambda x: f"CAST(to_json({x}) AS VARCHAR)"

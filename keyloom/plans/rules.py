@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keyloom.functions import checks
 from keyloom.operators import validate as V
 from keyloom.plans import inputs as I
 from keyloom.plans import oracle as O
 from keyloom.plans.registry import query
 from keyloom.sources import reports
 
-_PLACEHOLDER = f"(value = '' OR {O.any_in('lower(value)', ['your_key_here', 'your_secret_here', 'your_token_here', 'change_me', 'changeme', 'replace_me', 'example', 'xxx', 'todo', 'generate-with', 'placeholder', '<', '>'])})"
-_WEAK = f"(key = 'SECRET_KEY' AND (strlen(value) < 32 OR {O.any_in('lower(value)', ['secret', 'password', 'dev', 'test', '1234', 'abcd', 'changeme', 'example'])}))"
+_PLACEHOLDER = f"(value = '' OR {O.any_in('lower(value)', checks.PLACEHOLDER_PARTS)})"
+_WEAK = f"(key = 'SECRET_KEY' AND (strlen(value) < 32 OR {O.any_in('lower(value)', checks.WEAK_PARTS)}))"
 _SECRETISH = O.any_in("upper(key)", ["SECRET", "KEY"])
 _IN_BOX = f"project_id IN (SELECT project_id FROM ({I.ENV_FILES.sql()}) WHERE regexp_extract(path, '[^/]*$') IN ('Dockerfile', 'Containerfile', 'docker-compose.yml', 'docker-compose.yaml'))"
 

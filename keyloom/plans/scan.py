@@ -45,9 +45,9 @@ def scan_findings_kv(spark, sf):
     return detect.scan(I.DOCS_ENV.df(spark, sf)).select(*FINDING)
 
 
-@query("scan_findings_token", _found(I.PAGES))
+@query("scan_findings_token", _found(I.TOKEN_PAGES))
 def scan_findings_token(spark, sf):
-    return detect.scan(I.PAGES.df(spark, sf)).select(*FINDING)
+    return detect.scan(I.TOKEN_PAGES.df(spark, sf)).select(*FINDING)
 
 
 @query("scan_tokens", f"""SELECT file_id, line_no, CAST(count(*) AS BIGINT) AS n_tokens, max(value) AS last_token
@@ -126,6 +126,20 @@ def sarif_rows(spark, sf):
     return reports.sarif_rows(detect.scan(I.SECRETS.df(spark, sf)), ["file_id"])
 
 
+_SARIF_HEAD = ('{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"keyloom scan","version":"1"}},"results":[')
+
+
+@query("sarif_documents", f"""WITH r AS (SELECT project_id, file_id, line_no, '{{"ruleId":' || to_json('secret/' || replace(lower(pattern), ' ', '-')) || ',"level":"'
+|| CASE confidence WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END || '","message":{{"text":'
+|| to_json(pattern || ' detected') || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(path)
+|| '}},"region":{{"startLine":' || line_no || '}}}}}}]}}' AS result FROM ({_found(I.SECRETS)})),
+f AS (SELECT *, min(struct_pack(a := file_id, b := line_no, c := result)) OVER (PARTITION BY project_id) AS first FROM r)
+SELECT project_id, 1 AS section, file_id, line_no, CASE WHEN struct_pack(a := file_id, b := line_no, c := result) = first THEN '' ELSE ',' END || result AS text FROM f
+UNION ALL SELECT DISTINCT project_id, 0, NULL, NULL, {O.lit(_SARIF_HEAD)} FROM r UNION ALL SELECT DISTINCT project_id, 2, NULL, NULL, ']}}]}}' FROM r""")
+def sarif_documents(spark, sf):
+    return reports.sarif_documents(detect.scan(I.SECRETS.df(spark, sf)))
+
+
 @query("report_json", f"""SELECT file_id, '{{"pattern":' || to_json(pattern) || ',"confidence":"' || confidence || '","value_preview":' || to_json(value_preview)
 || ',"location":' || to_json(location) || ',"variable":' || coalesce(to_json(variable), 'null') || ',"action_url":' || coalesce(to_json(action_url), 'null')
 || '}}' AS json FROM ({_found(I.SECRETS)})""")
@@ -159,8 +173,7 @@ def string_helpers(spark, sf):
 
 
 _EXCLUDE = ["logs/*.json", "notes", "c?nf/*"]
-_BUILT_IN = [".git/", "node_modules/", "target/", "dist/", "build/", ".env.example", ".env.sample", ".env.template"]
-_EXT = ["env", "txt", "sh", "bash", "zsh", "py", "js", "ts", "rs", "go", "java", "rb", "php", "yml", "yaml", "json", "toml", "xml", "conf", "config", "ini", "properties"]
+_BUILT_IN, _EXT = paths.ALWAYS_EXCLUDED, paths.SCANNABLE_EXTENSIONS
 
 
 @query("path_filter", f"""WITH p AS (SELECT file_id, path, regexp_extract(path, '[^/]*$') AS name FROM ({I.INVENTORY.sql()})),
@@ -181,13 +194,22 @@ def scan_targets(spark, sf):
     return paths.scan_targets(I.INVENTORY.df(spark, sf)).select("file_id")
 
 
-@query("text_gate", """SELECT page_id, TRY(decode(unhex(h))) IS NOT NULL AND NOT regexp_matches(h, '^(..)*00') AS is_text FROM (
-SELECT page_id, substr(md5(url), 1, 4) AS h FROM pages)""")
+# Every page's bytes; some get a byte that UTF-8 never has, or a NUL, behind them.
+_RAW = f"concat(hex(encode(html)), {I.pick('page_id', [repr(''), repr('FF'), repr('00'), repr('C3'), repr('C3A9')])})"
+
+
+@query("text_gate", f"""SELECT page_id, TRY(decode(unhex(h))) IS NOT NULL AND NOT regexp_matches(h, '^(..)*00') AS is_text FROM (
+SELECT page_id, {_RAW} AS h FROM pages)""")
 def text_gate(spark, sf):
-    raw = F.unhex(F.substr(F.md5("url"), F.lit(1), F.lit(4)))
+    raw = F.unhex(F.expr(_RAW.replace("encode(html)", "encode(html, 'UTF-8')")))
     return I.table(spark, sf, "pages").select("page_id", paths.is_text(raw).alias("is_text"))
 
 
+@query("find_files", f"SELECT file_id, path FROM ({I.INVENTORY.sql()}) WHERE contains(path, 'app')")
+def find_files(spark, sf):
+    return paths.find_files(I.INVENTORY.df(spark, sf), "app").select("file_id", "path")
+
+
 @query("history_pickaxe", """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS file_id, turn AS ver, CAST((length(text) - length(replace(text, 'en', ''))) / 2 AS INTEGER) AS occurrences FROM conversations),
 l AS (SELECT *, coalesce(lag(occurrences) OVER (PARTITION BY file_id ORDER BY ver), 0) AS previous FROM c)
 SELECT file_id, ver, previous, occurrences FROM l WHERE occurrences <> previous""")

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.secrets import severity_level
-from keyloom.operators.joins import join_per_group
+from keyloom.operators.documents import document_rows
 
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
-MAX_RESULTS = 5000
 
 
 def json_rows(df: DataFrame, keys: list[str], nulls: bool = True, name: str = "json") -> DataFrame:
@@ -44,25 +43,17 @@ def sarif_rows(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.select(*keys, to_json(result).alias("result"))
 
 
-def sarif_documents(findings: DataFrame, by: str = "project_id", max_results: int = MAX_RESULTS) -> DataFrame:
-    """SARIF documents ``(by, part, sarif)``, about ``max_results`` results in each.
+def sarif_documents(findings: DataFrame, by: str = "project_id", salts: int | None = None) -> DataFrame:
+    """One SARIF document per group as rows ``(by, section, file_id, line_no, text)``.
 
-    A group's results are spread over as many documents as its count asks for, so a
-    group with most findings never gathers in one task.
+    The rows in order concatenate to the document, however many results it has.
     """
-    rows = sarif_rows(findings, [by, "file_id", "line_no"])
-    parts = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / max_results).alias("_parts"))
-    spread = join_per_group(rows, parts, by).withColumn(
-        "part", F.pmod(F.xxhash64("file_id", "line_no", "result"), F.col("_parts")).cast("int")
-    )
     head = (
         f'{{"version":"2.1.0","$schema":"{SARIF_SCHEMA}",'
         '"runs":[{"tool":{"driver":{"name":"keyloom scan","version":"1"}},"results":['
     )
-    ordered = F.sort_array(F.collect_list(F.struct("file_id", "line_no", "result")))
-    return spread.groupBy(by, "part").agg(ordered.alias("_r")).select(
-        by, "part", F.concat(F.lit(head), F.array_join(F.col("_r.result"), ","), F.lit("]}]}")).alias("sarif")
-    )
+    rows = sarif_rows(findings, [by, "file_id", "line_no"])
+    return document_rows(rows, [by], ["file_id", "line_no"], "result", F.lit(head), ",", F.lit("]}]}"), salts)
 
 
 def annotations(issues: DataFrame, fixes: DataFrame | None = None, env_path: str = ".env") -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.operators import sync, validate
-from keyloom.operators.documents import assemble
+from keyloom.operators.documents import document_rows
 
 
 def kinds(issues):
@@ -94,11 +94,10 @@ def test_sync_plans(make_vars):
     assert sync.masked_copy(env).filter("value = 'YOUR_PASSWORD_HERE'").count() == 1
 
 
-def test_assemble_in_chunks(spark):
-    rows = spark.range(0, 1000).selectExpr("if(id = 999, 'b', 'a') as k", "id as pos", "concat('r', id) as text")
-    out = assemble(rows, ["k"], "pos", header=F.lit("<"), separator=",", footer=F.lit(">"), chunk_lines=64)
+def test_document_rows(spark):
+    rows = spark.range(0, 1000).selectExpr("if(id = 999, 'b', 'a') as k", "id + 3000000000 as pos", "concat('r', id) as text")
+    out = document_rows(rows, ["k"], ["pos"], header=F.lit("<"), separator=",", footer=F.lit(">"))
     docs = {}
-    for r in out.orderBy("k", "chunk_no").collect():
+    for r in out.orderBy("k", "section", "pos").collect():
         docs[r.k] = docs.get(r.k, "") + r.text
     assert docs == {"a": "<" + ",".join(f"r{i}" for i in range(999)) + ">", "b": "<r999>"}
-    assert out.filter("k = 'a'").count() == 16
