@@ -7,13 +7,9 @@ named value, so the number of rounds is the nesting depth, not the number of key
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.checkpoints import cut
-
 MAX_DEPTH = 10
 # Plain runs, ${..} (to the end of the text if unclosed), $name, lone $.
 _SEGMENTS = r"(?s)[^$]+|\$\{[^}]*\}?|\$[A-Za-z0-9_]+|\$"
@@ -65,35 +61,24 @@ def _cut_after_error(parts: Column) -> Column:
 def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Expanded ``value`` per (file, key), or null with an ``error`` kind and its ``detail``.
 
-    ``vars_`` holds one row per (project, file, key). The first error in text order
-    is reported: UndefinedVariable, CircularExpansion or ExpansionDepthExceeded.
+    ``vars_`` holds one row per (project, file, key); a ``line_no`` stays beside its key.
+    The first error in text order is reported: UndefinedVariable, CircularExpansion or
+    ExpansionDepthExceeded. The plan is one chain of rounds without driver jobs; the
+    looked-up variables are the same exchange in all of them.
     """
+    keys = [*_FILE, "key", *(["line_no"] if "line_no" in vars_.columns else [])]
     has_ref = F.col("value").contains("$")
     no_text = F.lit(None).cast("string")
-    # Parsing the texts behind the variables is the expensive part: do it once.
-    base = cut(vars_.select(*_FILE, "key", "value"))
-    plain = base.filter(~has_ref).select(*_FILE, "key", "value", no_text.alias("error"), no_text.alias("detail"))
-    state = base.filter(has_ref).select(*_FILE, "key", segments("value").alias("parts"))
-    # Only variables that something refers to are looked up, in every round.
-    names = F.transform(F.filter("parts", lambda s: s["kind"] == "ref"), lambda s: s["name"])
-    wanted = state.select(*_FILE, F.explode(names).alias("name")).distinct()
-    named = base.select(*_FILE, F.col("key").alias("name"), segments("value").alias("target"))
-    table = cut(named.join(wanted, [*_FILE, "name"], "left_semi"))
+    base = vars_.select(*keys, "value")
+    plain = base.filter(~has_ref).select(*keys, "value", no_text.alias("error"), no_text.alias("detail"))
+    state = base.filter(has_ref).select(*keys, segments("value").alias("parts"))
+    table = base.select(*_FILE, F.col("key").alias("_k"), segments("value").alias("target"))
     deeper, last = _splice(False), _splice(True)
-    done = []
-    open_ref = F.exists("parts", lambda s: s["kind"] == "ref")
     for depth in range(max_depth + 1):
-        done.append(state.filter(~open_ref))
-        state = state.filter(open_ref)
-        if state.isEmpty():
-            break
-        state = cut(_round(state, table, last if depth == max_depth else deeper))
-    else:
-        done.append(state)
-    closed = reduce(DataFrame.unionByName, done)
+        state = _round(state, table, keys, last if depth == max_depth else deeper)
     first_error = F.get(F.filter("parts", lambda s: s["kind"] == "err"), F.lit(0))
-    resolved = closed.select(
-        *_FILE, "key",
+    resolved = state.select(
+        *keys,
         F.when(first_error.isNull(), F.array_join(F.col("parts.text"), "")).alias("value"),
         first_error["name"].alias("error"), first_error["text"].alias("detail"),
     )
@@ -128,18 +113,26 @@ def _splice(last: bool) -> Column:
     )
 
 
-def _round(state: DataFrame, table: DataFrame, spliced: Column) -> DataFrame:
-    """Replace every open reference by what it stands for."""
-    flat = state.select(*_FILE, "key", F.posexplode("parts").alias("at", "s")).select(*_FILE, "key", "at", "s.*")
-    # Literals do not need the join, so they do not pile up under a null key.
-    refs = flat.filter(F.col("kind") == "ref").join(table, [*_FILE, "name"], "left").select(
-        *_FILE, "key", "at", spliced.alias("new")
-    )
-    kept = flat.filter(F.col("kind") != "ref").select(
-        *_FILE, "key", "at", F.array(F.struct("kind", "text", "name", "path")).alias("new")
+def _merged(parts: Column) -> Column:
+    """A value without references or errors is one literal."""
+    none = F.lit(None).cast("string")
+    whole = F.struct(
+        F.lit("lit").alias("kind"), F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"),
+        none.alias("name"), F.array().cast("array<string>").alias("path"),
     )
+    return F.when(F.forall(parts, lambda s: s["kind"] == "lit"), F.array(whole)).otherwise(parts)
+
+
+def _round(state: DataFrame, table: DataFrame, keys: list[str], spliced: Column) -> DataFrame:
+    """Replace every open reference by what it stands for."""
+    flat = state.select(*keys, F.posexplode("parts").alias("at", "s")).select(*keys, "at", "s.*")
+    # A literal has a key no variable can have, so it neither matches nor piles up under null.
+    is_ref = F.col("kind") == "ref"
+    own = F.concat(F.lit("\n"), F.col("key"), F.lit("\n"), F.col("at").cast("string"))
+    joined = flat.withColumn("_k", F.when(is_ref, F.col("name")).otherwise(own)).join(table, [*_FILE, "_k"], "left")
+    new = F.when(is_ref, spliced).otherwise(F.array(F.struct("kind", "text", "name", "path")))
     # The group is one value's own segments, never a file or a project.
-    gathered = refs.unionByName(kept).groupBy(*_FILE, "key").agg(
+    gathered = joined.select(*keys, "at", new.alias("new")).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_g")
     )
-    return gathered.select(*_FILE, "key", _cut_after_error(F.flatten(F.col("_g.new"))).alias("parts"))
+    return gathered.select(*keys, _merged(_cut_after_error(F.flatten(F.col("_g.new")))).alias("parts"))

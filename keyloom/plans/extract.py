@@ -119,12 +119,13 @@ walk AS (
     CASE WHEN list_contains(w.path, w.ref) THEN 'CircularExpansion' WHEN t.key IS NULL AND w.braced THEN 'UndefinedVariable' WHEN t.key IS NULL THEN 'ok'
       WHEN len(w.path) >= 10 THEN 'ExpansionDepthExceeded' WHEN t.ref = '' THEN 'ok' END, w.value
   FROM walk w LEFT JOIN v t ON t.file_id = w.file_id AND t.key = w.ref WHERE w.state IS NULL)
-SELECT file_id, key, CASE WHEN state = 'ok' THEN done END AS value, nullif(state, 'ok') AS error FROM walk WHERE state IS NOT NULL"""
+SELECT file_id, key, CASE WHEN state = 'ok' THEN done END AS value, nullif(state, 'ok') AS error,
+  CASE WHEN state = 'CircularExpansion' THEN array_to_string(path, ' → ') WHEN state <> 'ok' THEN path[len(path)] END AS detail FROM walk WHERE state IS NOT NULL"""
 
 
 @query("expand_vars", _CHAIN)
 def expand_vars(spark, sf):
-    return X.expand(I.CHAINS.df(spark, sf)).select("file_id", "key", "value", "error")
+    return X.expand(I.CHAINS.df(spark, sf)).select("file_id", "key", "value", "error", "detail")
 
 
 @query("expand_configs", f"""{_PARSED}, {_VARS} SELECT v.file_id, v.key, replace(replace(v.value, '${{ORDER_ID}}', i.value), '$STATUS', coalesce(s.value, '$STATUS')) AS value
