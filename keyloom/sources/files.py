@@ -74,38 +74,54 @@ def find_files(files: DataFrame, part: str) -> DataFrame:
 _BATCH_BYTES = 32 << 20
 
 
-def _walk(root: str) -> Iterator[str]:
-    """Files below a path, linked folders not entered. Runs inside tasks."""
+def _children(folder: str) -> Iterator[tuple[str, bool]]:
+    """(path, is_folder) of what lies directly in a folder, or of the path itself if it is a file.
+
+    Linked folders are not entered. A folder that cannot be listed fails the task.
+    """
     from pyarrow import fs
 
-    if "://" not in root:
-        if os.path.isfile(root):
-            yield root
-        for folder, _, names in os.walk(root, followlinks=False):
-            yield from (os.path.join(folder, n) for n in names if os.path.isfile(os.path.join(folder, n)))
+    if "://" not in folder:
+        if os.path.isfile(folder):
+            yield folder, False
+            return
+        with os.scandir(folder) as entries:
+            for entry in sorted(entries, key=lambda e: e.name):
+                if entry.is_dir(follow_symlinks=False) or entry.is_file():
+                    yield os.path.join(folder, entry.name), entry.is_dir(follow_symlinks=False)
         return
-    system, base = fs.FileSystem.from_uri(root)
-    scheme = root.split("://", 1)[0]
-    pending = [base]
-    while pending:
-        folder = pending.pop()
-        for info in system.get_file_info(fs.FileSelector(folder)):
-            if info.type == fs.FileType.Directory:
-                pending.append(info.path)
-            else:
-                yield f"{scheme}://{info.path}"
+    plain, _, options = folder.partition("?")
+    system, base = fs.FileSystem.from_uri(folder)
+    before = plain.removesuffix(base)  # scheme and authority, as they were given
+    after = f"?{options}" if options else ""
+    info = system.get_file_info(base)
+    found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(base))
+    for child in found:
+        yield f"{before}{child.path}{after}", child.type == fs.FileType.Directory
+
+
+def _list_once(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One level down: folders become their children, files stay."""
+    for frame in frames:
+        for path, folder in zip(frame["path"], frame["folder"], strict=True):
+            found = list(_children(path)) if folder else [(path, False)]
+            yield pd.DataFrame(found, columns=["path", "folder"]).astype({"path": "object", "folder": "bool"})
 
 
-def _list_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_below(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All files of a folder's tree."""
     for frame in frames:
-        found = []
-        for root in frame["path"]:
-            for path in _walk(root):
+        pending = [*zip(frame["path"], frame["folder"], strict=True)]
+        found: list[str] = []
+        while pending:
+            path, folder = pending.pop()
+            if folder:
+                pending.extend(_children(path))
+            else:
                 found.append(path)
-                if len(found) == 10_000:
-                    yield pd.DataFrame({"path": found})
-                    found = []
-        yield pd.DataFrame({"path": found}, dtype="object")
+            if len(found) == 10_000 or not pending:
+                yield pd.DataFrame({"path": found}, dtype="object")
+                found = []
 
 
 def _read_bytes(path: str) -> bytes:
@@ -120,14 +136,14 @@ def _read_bytes(path: str) -> bytes:
 
 
 def _read_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole texts; a file that is not UTF-8 or cannot be read is left out."""
+    """Whole texts; a file that is not UTF-8 is left out, one that cannot be read fails the task."""
     for frame in frames:
         paths, texts, size = [], [], 0
         for path in frame["path"]:
+            raw = _read_bytes(path)
             try:
-                raw = _read_bytes(path)
                 text = raw.decode("utf-8")
-            except (OSError, UnicodeDecodeError):
+            except UnicodeDecodeError:
                 continue
             paths.append(path)
             texts.append(text)
@@ -138,14 +154,18 @@ def _read_batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"path": paths, "content": texts}, dtype="object")
 
 
-def list_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every file below the given folders, one listing task per folder given.
+def list_files(spark: SparkSession, paths: list[str], widen: int = 2) -> DataFrame:
+    """Every file below the given folders.
 
-    Spark's own file sources skip names that start with a dot, which are the very
-    files wanted here, so the tasks list the folders themselves.
+    The first ``widen`` levels are listed one by one and dealt out to all tasks, which
+    then list the trees below them. Spark's own file sources skip names that start with
+    a dot, which are the very files wanted here, so the tasks list the folders themselves.
     """
-    roots = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(len(paths), 1))
-    return roots.mapInPandas(_list_batches, "path string")
+    found = spark.createDataFrame([(p, True) for p in paths], "path string, folder boolean")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for _ in range(widen):
+        found = found.repartition(width, "path").mapInPandas(_list_once, "path string, folder boolean")
+    return found.repartition(width, "path").mapInPandas(_list_below, "path string")
 
 
 def read_files(

@@ -2,6 +2,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from keyloom.operators import catalog, detect, health, validate
 from keyloom.operators.documents import write_lines
 from keyloom.sources import catalog as source
@@ -201,3 +203,40 @@ def test_stream_scan(spark, make_files):
             start_scan(stream, out, chk).awaitTermination(120)
             make_files([("q", ".env", "PASSWORD=abcdefgh")]).write.mode("append").parquet(src)
         assert sorted(r.variable for r in spark.read.parquet(out).collect()) == ["PASSWORD", "TOKEN"]
+
+
+def test_reader_walks_levels_and_fails_on_unreadable(spark):
+    from keyloom.sources import files
+
+    with tempfile.TemporaryDirectory() as d:
+        wanted = ["a.env", "x/b.env", "x/y/c.env", "x/y/z/w/d.env"]
+        for name in wanted:
+            os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+            with open(os.path.join(d, name), "wb") as out:
+                out.write(b"A=1\n")
+        with open(os.path.join(d, "x/bad.env"), "wb") as out:
+            out.write(b"\xff\xfe")
+        os.makedirs(os.path.join(d, "empty"))
+        for root in (d, f"file://{d}"):
+            got = [r.path for r in files.read_files(spark, root).collect()]
+            assert sorted(os.path.relpath(p.removeprefix("file://"), d) for p in got) == sorted(wanted)
+        with pytest.raises(Exception, match="missing"):
+            files.list_files(spark, [os.path.join(d, "missing")]).collect()
+
+
+def test_null_content_keeps_its_file(spark):
+    from keyloom.operators import detect, extract
+
+    rows = spark.createDataFrame([("p", "f", "a.env", None), ("p", "g", "b.env", "DB_PASSWORD=hunter2hunter2xx")], "project_id string, file_id string, path string, content string")
+    out = {r.file_id: r.secrets_found for r in detect.scan_rollup(rows, ["file_id"]).collect()}
+    assert out == {"f": 0, "g": 1}
+    assert {r.file_id: (r.is_kv, r.n_vars) for r in extract.classify_kv(rows).collect()} == {"f": (True, 0), "g": (True, 1)}
+
+
+def test_patch_positions_beyond_32_bits(spark):
+    from keyloom.operators import diff
+
+    rows = [("p", "K", "missing", None, "v", 2147483653)]
+    changes = spark.createDataFrame(rows, "project_id string, key string, status string, left_value string, right_value string, pos long")
+    out = diff.patch_lines(changes, spark.createDataFrame([("p",)], "project_id string")).collect()
+    assert 2147483653 in {r.pos for r in out}
