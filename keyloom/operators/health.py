@@ -61,29 +61,34 @@ def project_flags(files: DataFrame) -> DataFrame:
     """Flags per project from ``files(project_id, path, content, mode)`` with paths from its root."""
     path, content = F.col("path"), F.col("content")
     is_ = lambda name: path == name
-    flag = lambda cond, name: F.coalesce(F.max(cond), F.lit(False)).alias(name)
     bits = F.col("mode").bitwiseAND(0o777)
-    problem = F.when(is_(".env"), syntax_error("content"))
-    return files.groupBy("project_id").agg(
-        flag(is_("poetry.lock") | (is_("pyproject.toml") & content.contains("[tool.poetry]")), "is_poetry"),
-        flag(is_("Pipfile"), "has_pipfile"),
-        flag(is_("pyproject.toml"), "has_pyproject"),
-        flag(is_("requirements.txt"), "has_requirements"),
-        flag(is_("package.json"), "has_package"),
-        flag(is_("Cargo.toml"), "has_cargo"),
-        flag(is_("go.mod"), "has_gomod"),
-        flag(is_("composer.json"), "has_composer"),
-        flag(is_(".env"), "has_env"),
-        flag(is_(".env.example"), "has_example"),
-        flag(path.isin(CONTAINER_FILES), "has_container"),
-        flag(F.when(is_(".gitignore"), ignores("content", ".env", prefixed=True)), "env_ignored"),
-        F.max(problem).alias("syntax_problem"),
-        flag(F.when(is_(".env"), bits.isin(0o600, 0o400)), "env_private"),
-        F.max(F.when(is_(".env"), bits)).alias("env_mode"),
-        flag(F.when(is_("requirements.txt"), requirements_has_dotenv("content")), "requirements_dotenv"),
-        flag(F.when(is_("pyproject.toml"), pyproject_has_dotenv(content)), "pyproject_dotenv"),
-        flag(F.when(is_("package.json"), package_has_dotenv("content")), "package_dotenv"),
-        flag(F.when(is_("Cargo.toml"), cargo_has_dotenv(content)), "cargo_dotenv"),
+    flags = {
+        "is_poetry": is_("poetry.lock") | (is_("pyproject.toml") & content.contains("[tool.poetry]")),
+        "has_pipfile": is_("Pipfile"),
+        "has_pyproject": is_("pyproject.toml"),
+        "has_requirements": is_("requirements.txt"),
+        "has_package": is_("package.json"),
+        "has_cargo": is_("Cargo.toml"),
+        "has_gomod": is_("go.mod"),
+        "has_composer": is_("composer.json"),
+        "has_env": is_(".env"),
+        "has_example": is_(".env.example"),
+        "has_container": path.isin(CONTAINER_FILES),
+        "env_ignored": F.when(is_(".gitignore"), ignores("content", ".env", prefixed=True)),
+        "env_private": F.when(is_(".env"), bits.isin(0o600, 0o400)),
+        "requirements_dotenv": F.when(is_("requirements.txt"), requirements_has_dotenv("content")),
+        "pyproject_dotenv": F.when(is_("pyproject.toml"), pyproject_has_dotenv(content)),
+        "package_dotenv": F.when(is_("package.json"), package_has_dotenv("content")),
+        "cargo_dotenv": F.when(is_("Cargo.toml"), cargo_has_dotenv(content)),
+    }
+    # Flags first: no text stands below the aggregate, whatever way it is computed.
+    per_file = files.select(
+        "project_id", *[c.alias(n) for n, c in flags.items()],
+        F.when(is_(".env"), syntax_error("content")).alias("syntax_problem"), F.when(is_(".env"), bits).alias("env_mode"),
+    )
+    return per_file.groupBy("project_id").agg(
+        *[F.coalesce(F.max(n), F.lit(False)).alias(n) for n in flags],
+        F.max("syntax_problem").alias("syntax_problem"), F.max("env_mode").alias("env_mode"),
     )
 
 
