@@ -213,6 +213,13 @@ def stack_listing(spark, sf):
     return C.list_stacks(_TAGGED.df(spark, sf)).drop("catalog_id")
 
 
+@query("stack_lookup", f"SELECT stack_id, name, description FROM ({_TAGS}) WHERE stack_id = (SELECT min(stack_id) FROM ({_TAGS}))")
+def stack_lookup(spark, sf):
+    stacks = _TAGGED.df(spark, sf)
+    wanted = stacks.agg(F.min("stack_id")).first()[0]
+    return C.lookup_stack(stacks, wanted).select("stack_id", "name", "description")
+
+
 @query("framework_lookup", f"SELECT scope AS language, id AS component_id, display AS display_name FROM ({I.FRAMEWORKS.sql()}) WHERE scope = 'lang3' AND id = 'fw8'")
 def framework_lookup(spark, sf):
     return C.lookup_framework(_components(spark, sf), "lang3", "fw8").drop("catalog_id")

@@ -8,6 +8,7 @@ from keyloom.operators import diff as D
 from keyloom.plans import inputs as I
 from keyloom.plans import oracle as O
 from keyloom.plans.registry import query
+from keyloom.sources.reports import json_rows
 
 
 def _side(spark, sf, d):
@@ -44,6 +45,17 @@ def diff_redacted(spark, sf):
     return changed.select("project_id", "key", "left_redacted", "right_redacted")
 
 
+_FIELD = lambda c: f"coalesce(',\"{c}\":' || to_json({c}), '')"
+
+
+@query("diff_json", _changes() + f""" SELECT project_id, key, '{{"status":' || to_json(status) || {_FIELD('left_value')} || {_FIELD('right_value')}
+|| {_FIELD('left_redacted')} || {_FIELD('right_redacted')} || '}}' AS json FROM changes""")
+def diff_json(spark, sf):
+    """Report entries; what does not apply to an entry is left out of it."""
+    fields = ["status", "left_value", "right_value", "left_redacted", "right_redacted"]
+    return json_rows(D.diff(*sides(spark, sf)).select("project_id", "key", *fields), ["project_id", "key"], nulls=False)
+
+
 @query("diff_ignore_reverse", _changes(I.SNAP_B, I.SNAP_A, "key NOT IN ('CLICK_1', 'VIEW_TOKEN_2', 'ERROR_TOKEN_3')")
        + " SELECT project_id, key, status FROM changes")
 def diff_ignore_reverse(spark, sf):

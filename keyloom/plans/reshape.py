@@ -212,3 +212,10 @@ CAST(count(*) AS BIGINT) AS skipped, {_ZERO} AS conflicts, {_ZERO} AS failed FRO
 def upsert_dry_run(spark, sf):
     planned = U.plan(*_upsert_inputs(spark, sf), dry_run=True)
     return U.summary(planned, dry_run=True, lists_existing=False)
+
+
+@query("upsert_dry_run_listing", f"""{_UPSERT} SELECT destination, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (NOT found) AS BIGINT) AS planned, {_ZERO} AS uploaded,
+CAST(count(*) FILTER (found) AS BIGINT) AS skipped, {_ZERO} AS conflicts, {_ZERO} AS failed FROM p GROUP BY destination""")
+def upsert_dry_run_listing(spark, sf):
+    """A dry run of destinations that list what they hold."""
+    return U.summary(U.plan(*_upsert_inputs(spark, sf)), dry_run=True)
