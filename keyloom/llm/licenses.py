@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import in_batches
 from .textbytes import NON_ALNUM, blocks, hashes, per_row, runs, texts, word_hashes
 
 # The phrases and labels of the contract.
@@ -97,7 +98,7 @@ def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[
                 total += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
         yield pa.RecordBatch.from_arrays([pa.array(vocabulary.view(np.int64)), pa.array(total)], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = in_batches(docs).select("text").mapInArrow(task, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r["word"]: r["n"] for r in counted.collect()}
 
 
@@ -176,4 +177,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
             for start, end, part, bounds in blocks(data, offsets):
                 yield shard(ids[start:end], part, bounds)
 
-    return docs.select("doc_id", "text").mapInArrow(task, SCAN)
+    return in_batches(docs).select("doc_id", "text").mapInArrow(task, SCAN)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, cut, marked, spread
+from .tables import components, cut, in_batches, marked, spread
 from .textbytes import SPACES, blocks, combine, mix, texts, words
 
 SHINGLE = 3
@@ -113,7 +113,7 @@ def prints(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
                     pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

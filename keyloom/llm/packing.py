@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, in_batches
 
 SEQUENCE = 1024
 END_ID = 2
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, files: tuple[str, str] | Non
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)][:6 if with_ids else 5], names=names[:6 if with_ids else 5])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, PIECES + ", ids array<int>" * with_ids)
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:

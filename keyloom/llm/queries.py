@@ -13,10 +13,10 @@ from .tables import read
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op4_benchmark_decontamination")
+@query("op4_benchmark_decontamination", contamination.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contamination.contaminated().alias("contaminated"), "spans")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contamination.contaminated().alias("contaminated"))
 
 
 @query("op6_license_scans")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, spread
+from .tables import cut, in_batches, spread
 
 MIN_PAGES = 8
 MIN_SHARE = 0.01
@@ -229,7 +229,7 @@ def _kept(page: Page, known: dict[int, float], common: dict[int, float]) -> list
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row."""
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", site_of(F.col("url")).alias("site"), "html")
+    rows = in_batches(pages).select("page_id", "url", site_of(F.col("url")).alias("site"), "html")
     trees, common = style_trees(rows)
     shared = spark.sparkContext.broadcast(common)
     salts = spread(spark)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import shingle_sets
-from .tables import crc_mod, cut
+from .tables import crc_mod, cut, in_batches
 from .textbytes import blocks, signed
 from .textbytes import texts as text_bytes
 
@@ -83,7 +83,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     each = labels.where(trained_on() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     picked = [each.where(F.col("_toxic") == t).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample) for t in (0, 1)]
     chosen = picked[0].union(picked[1])
-    texts = docs.select(F.col("doc_id").alias("_doc_id"), "text").join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select(F.col("_toxic").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = in_batches(docs).select(F.col("doc_id").alias("_doc_id"), "text").join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select(F.col("_toxic").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
     return cut(texts.mapInArrow(_with_key, "key long, toxic int, text string").dropDuplicates(["key", "toxic"]).select("toxic", "text"))
 
 
@@ -262,4 +262,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(fit @ _inputs(weight, length), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(n), pa.array(weight)], names=["doc_id", "score", "hits", "weight"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, score double, hits long, weight double")
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, score double, hits long, weight double")
