@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, marked
+from .tables import cut, in_batches, marked
 from .textbytes import SPACES, blocks, combine, hashes, runs, texts
 
 LONG_SENTENCE = 12
@@ -81,7 +81,7 @@ def found(docs: DataFrame, finder: Finder, emit: Callable[..., dict[str, np.ndar
                 columns = emit(ids[first:last][row], row, place, h, n)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), "text").mapInArrow(task, schema)
+    return in_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), "text").mapInArrow(task, schema)
 
 
 def without(docs: DataFrame, finder: Finder, ranges: DataFrame) -> DataFrame:
@@ -99,37 +99,37 @@ def without(docs: DataFrame, finder: Finder, ranges: DataFrame) -> DataFrame:
     changed_schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "text string", f"_removed {spans}"])
     at = len(names)
 
+    def shortened(data: np.ndarray, offsets: np.ndarray, asked: list) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+        start, row, _, _ = finder(data, offsets)
+        begin = np.searchsorted(row, np.arange(len(asked) + 1))
+        for i, wanted in enumerate(asked):
+            own, base, end = start[begin[i]:begin[i + 1]], int(offsets[i]), int(offsets[i + 1])
+            drop = np.zeros(len(own) + 1, np.int64)
+            for r in wanted or ():
+                drop[min(r["place"], len(own))] += 1
+                drop[min(r["place"] + r["n"], len(own))] -= 1
+            drop = np.cumsum(drop)[:-1] > 0
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
+            spans_of = [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            limits = np.append(own, end) - base
+            text, kept, last = data[base:end].tobytes(), [], 0
+            for a, b in spans_of:
+                kept.append(text[last:int(limits[a])])
+                last = int(limits[b + 1])
+            yield b"".join([*kept, text[last:]]), spans_of
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column(at))
-            asked = batch.column(at + 1).to_pylist()
-            start, row, _, _ = finder(data, offsets)
-            begin = np.searchsorted(row, np.arange(len(asked) + 1))
-            new_text, removed = [], []
-            for i, wanted in enumerate(asked):
-                own, base = start[begin[i]:begin[i + 1]], int(offsets[i])
-                drop = np.zeros(len(own) + 1, np.int64)
-                for r in wanted or ():
-                    drop[min(r["place"], len(own))] += 1
-                    drop[min(r["place"] + r["n"], len(own))] -= 1
-                drop = np.cumsum(drop)[:-1] > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
-                spans_of = [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-                limits = np.append(own, offsets[i + 1])
-                text, kept = data[base:int(offsets[i + 1])].tobytes(), []
-                last = 0
-                for a, b in spans_of:
-                    kept.append(text[last:int(limits[a]) - base])
-                    last = int(limits[b + 1]) - base
-                kept.append(text[last:])
-                new_text.append(b"".join(kept).decode() if spans_of else batch.column(at)[i].as_py())
-                removed.append([{"first": a, "last": b} for a, b in spans_of])
-            columns = [batch.column(i) for i in range(at)]
-            yield pa.RecordBatch.from_arrays([
-                *columns, pa.array(new_text, pa.string()), pa.array(removed, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-            ], names=[*names, "text", "_removed"])
-
-    changed = likely.select(*[F.col(f"`{c}`") for c in names], "text", "_ranges").mapInArrow(task, changed_schema)
+            for first, last, part, bounds in blocks(data, offsets):
+                piece = batch.slice(first, last - first)
+                new = list(shortened(part, bounds, piece.column(at + 1).to_pylist()))
+                removed = pa.array([[{"first": a, "last": b} for a, b in s] for _, s in new], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+                same_text = piece.column(at).to_pylist()
+                text = pa.array([t.decode() if s else old for (t, s), old in zip(new, same_text, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in range(at)), text, removed], names=[*names, "text", "_removed"])
+
+    changed = in_batches(likely).select(*[F.col(f"`{c}`") for c in names], "text", "_ranges").mapInArrow(task, changed_schema)
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.when(F.size("_removed") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return same.union(changed.select(*same.columns))

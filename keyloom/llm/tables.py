@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.operators.checkpoints import ensure_checkpoint_dir
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,13 +20,11 @@ def spread(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares for intermediate data; a temporary one only where none is set."""
+    """The folder the cluster shares for intermediate data; a temporary one only where none is set, in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        ensure_checkpoint_dir(spark)
         folder = spark.sparkContext.getCheckpointDir()
-        if not folder:
-            folder = "file://" + tempfile.mkdtemp(prefix="keyloom-")
-            spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -37,6 +35,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
+
+
+def in_batches(rows: DataFrame) -> DataFrame:
+    """``rows`` as they are; sees to it that Arrow batches hold ``TEXT_ROWS`` whole texts, not Spark's 10,000.
+
+    A session that has set its own number keeps it.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(ARROW_ROWS) == "10000":
+        conf.set(ARROW_ROWS, TEXT_ROWS)
+    return rows
+
+
 def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
