@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import in_batches
+from .tables import ROW, in_batches, keyed
 from .textbytes import NON_ALNUM, blocks, combine, per_row, texts, word_hashes, words
 
 WINDOW = 13
@@ -251,11 +251,11 @@ def contaminated() -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated documents; all columns stay as they are.
 
-    Rows with a null doc_id have no key to be judged by other than null itself; they are
-    judged together under it.
+    Every row is judged by itself, under a stored key; null and repeated ids do not matter.
     """
-    bad = hits(docs, benchmark, window).where(contaminated()).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    rows = keyed(docs)
+    bad = hits(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, window).where(contaminated()).select(F.col("doc_id").alias("_bad_key"))
+    return rows.join(bad, F.col(ROW) == F.col("_bad_key"), "left_anti").drop(ROW)
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

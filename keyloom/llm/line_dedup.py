@@ -9,13 +9,14 @@ on until no interval has two suffixes, so the longest repeated run is found in a
 rounds as its length has bits. Names are hashes instead of order ranks: an interval needs
 equality only, and no round has to sort the whole corpus.
 
-In each interval the first suffix (smallest document, then place) keeps its lines. Every
+In each interval the first suffix (smallest document, then row, then place) keeps its lines. Every
 other one is a later copy, and the lines of its depth are deleted when the run has two
 lines or more and ``MIN_WORDS`` words, or is one line of ``MIN_LINE_WORDS`` words.
 
 Defined results: null and empty texts stay; blank lines are no lines; the first document
-is the one with the smallest doc_id, null last; rows that share a doc_id are taken as one
-document, so equal rows with one id stay all; other columns pass through.
+is the one with the smallest doc_id, null last, and of rows that share a doc_id or have
+none the one read first: every row is a document of its own, named by a key that is stored
+with the rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -25,47 +26,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import found, lines, without
-from .tables import cut, marked
+from .tables import cut, keyed, marked
 from .textbytes import signed
 
 MIN_WORDS = 8
 MIN_LINE_WORDS = 20
 
 
-def _each_line(doc: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    return {"name": signed(h), "doc": doc, "place": place.astype(np.int32), "words": n.astype(np.int64)}
+def _each_line(key: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    return {"name": signed(h), "key": key, "doc": doc, "place": place.astype(np.int32), "words": n.astype(np.int64)}
 
 
 def _shared(suffixes: DataFrame) -> DataFrame:
-    """Suffixes (name, doc, place, words) whose name another has, with the interval's first place."""
-    first = suffixes.groupBy("name").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("times")).where("times > 1").select("name", "first")
+    """Suffixes (name, key, doc, place, words) whose name another has, with the interval's first place."""
+    first = suffixes.groupBy("name").agg(F.min(F.struct("doc", "key", "place")).alias("first"), F.count("*").alias("times")).where("times > 1").select("name", "first")
     return suffixes.join(first, "name")
 
 
 def intervals(docs: DataFrame) -> list[DataFrame]:
     """For each depth 1, 2, 4 ... the stored suffixes of intervals with two suffixes or more."""
-    every = found(docs, lines, _each_line, "name long, doc long, place int, words long")
+    every = found(docs, lines, _each_line, "name long, key long, doc long, place int, words long")
     again = cut(every.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name"))
-    likely = marked(every, "name", again).where("_marked").drop("_marked").distinct()
+    likely = marked(every, "name", again).where("_marked").drop("_marked")
     levels, depth = [cut(_shared(likely))], 1
     while not levels[-1].isEmpty():
-        known = levels[-1].select("name", "doc", "place", "words")
-        ahead = known.select(F.col("name").alias("next"), "doc", (F.col("place") - depth).alias("place"), F.col("words").alias("more"))
-        longer = known.join(ahead, ["doc", "place"]).select(F.xxhash64("name", "next").alias("name"), "doc", "place", (F.col("words") + F.col("more")).alias("words"))
+        known = levels[-1].select("name", "key", "doc", "place", "words")
+        ahead = known.select(F.col("name").alias("next"), "key", (F.col("place") - depth).alias("place"), F.col("words").alias("more"))
+        longer = known.join(ahead, ["key", "place"]).select(F.xxhash64("name", "next").alias("name"), "key", "doc", "place", (F.col("words") + F.col("more")).alias("words"))
         levels.append(cut(_shared(longer)))
         depth *= 2
     return levels[:-1]
 
 
 def later_runs(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
-    """(doc, place, n): the runs of lines that an earlier place has too."""
-    empty = docs.sparkSession.createDataFrame([], "doc long, place int, n int")
+    """(key, place, n): the runs of lines that an earlier place has too."""
+    empty = docs.sparkSession.createDataFrame([], "key long, place int, n int")
     for level, suffixes in enumerate(intervals(docs)):
-        later = suffixes.where(F.struct("doc", "place") > F.col("first")).where(F.col("words") >= (min_words if level else min_line_words))
-        empty = empty.union(later.select("doc", "place", F.lit(1 << level).alias("n")))
+        later = suffixes.where(F.struct("doc", "key", "place") > F.col("first")).where(F.col("words") >= (min_words if level else min_line_words))
+        empty = empty.union(later.select("key", "place", F.lit(1 << level).alias("n")))
     return empty
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """``docs`` without later copies of line runs, and the places of those as _removed."""
+    docs = keyed(docs)
     return without(docs, lines, later_runs(docs, min_words, min_line_words))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, in_batches, marked
+from .tables import ROW, cut, in_batches, keyed, marked
 from .textbytes import SPACES, blocks, combine, hashes, runs, texts
 
 LONG_SENTENCE = 12
@@ -66,35 +66,37 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def found(docs: DataFrame, finder: Finder, emit: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Rows that ``emit`` makes of the segments of each block of (doc, text) rows.
+    """Rows that ``emit`` makes of the segments of each block of (key, doc, text) rows.
 
-    ``emit`` gets doc, row, place in the row, hash and words of every segment.
+    ``emit`` gets key, doc, row, place in the row, hash and words of every segment: the key names
+    the row of the table, doc only orders rows, and row is the place in the block.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = texts(batch.column(1))
+            keys, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            data, offsets = texts(batch.column(2))
             for first, last, part, bounds in blocks(data, offsets):
                 _, row, h, n = finder(part, bounds)
                 place = np.arange(len(row)) - np.searchsorted(row, row)
-                columns = emit(ids[first:last][row], row, place, h, n)
+                columns = emit(keys[first:last][row], ids[first:last][row], row, place, h, n)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
-    return in_batches(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), "text").mapInArrow(task, schema)
+    return in_batches(keyed(docs)).select(ROW, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC)).alias("doc"), "text").mapInArrow(task, schema)
 
 
 def without(docs: DataFrame, finder: Finder, ranges: DataFrame) -> DataFrame:
-    """``docs`` with texts cut by ``ranges`` (doc, place, n), plus _removed: merged (first, last) segments.
+    """Keyed ``docs`` with texts cut by ``ranges`` (key, place, n), plus _removed: merged (first, last) segments.
 
-    Only documents that may have a range are shuffled; the others keep their texts as they are.
-    ``n_chars``, where there is one, is counted anew for texts that change.
+    Only rows that may have a range are shuffled; the others keep their texts as they are.
+    ``n_chars``, where there is one, is counted anew for texts that change. The keys go.
     """
-    per_doc = cut(ranges.groupBy(F.col("doc").alias("_range_doc")).agg(F.collect_set(F.struct("place", "n")).alias("_ranges")))
-    rows = marked(docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_DOC))), "_doc", per_doc.select("_range_doc"))
+    per_row = cut(ranges.groupBy(F.col("key").alias("_range_key")).agg(F.collect_set(F.struct("place", "n")).alias("_ranges")))
+    rows = marked(docs, ROW, per_row.select("_range_key"))
+    docs = docs.drop(ROW)
     spans = "array<struct<first:long,last:long>>"
     same = rows.where("not _marked").select(*docs.columns, F.array().cast(spans).alias("_removed"))
-    likely = rows.where("_marked").join(per_doc, F.col("_doc") == F.col("_range_doc"), "left")
+    likely = rows.where("_marked").join(per_row, F.col(ROW) == F.col("_range_key"), "left")
     names = [c for c in docs.columns if c != "text"]
     changed_schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c != "text"), "text string", f"_removed {spans}"])
     at = len(names)

@@ -9,8 +9,9 @@ Counting a hash's documents is pre-aggregated in the tasks, so a passage of very
 documents is no hot group. Only spans whose hash was met again are shuffled a second time.
 
 Defined results: null and empty texts stay as they are; the first document is the one
-with the smallest doc_id, null last; rows that share a doc_id are taken as one document,
-so equal rows with one id stay all; other columns pass through.
+with the smallest doc_id, null last, and of rows that share a doc_id or have none the one read
+first: every row is a document of its own, named by a key that is stored with the rows;
+other columns pass through.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .segments import found, sentences, without
-from .tables import cut, marked
+from .tables import cut, keyed, marked
 from .textbytes import combine, signed
 
 MIN_SENTENCES = 2
@@ -28,7 +29,7 @@ MIN_WORDS = 10
 
 
 def _spans(least: int, min_words: int):
-    def emit(doc: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    def emit(key: np.ndarray, doc: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
         total = np.concatenate([[0], np.cumsum(n)])
         index = np.arange(len(n))
         end = np.maximum(index + least, np.searchsorted(total, total[:-1] + min_words))
@@ -44,22 +45,23 @@ def _spans(least: int, min_words: int):
             name[live] = combine(name[live], powers[index[live] + step])
             step += 1
         # an earlier place of the same document has the same span
-        key = np.lexsort((index, name, row[index]))
+        order = np.lexsort((index, name, row[index]))
         again = np.zeros(len(index), bool)
-        again[key[1:]] = (name[key[1:]] == name[key[:-1]]) & (row[index][key[1:]] == row[index][key[:-1]])
-        return {"h": signed(name), "doc": doc[index], "place": place[index].astype(np.int32), "n": (end - index).astype(np.int32), "again": again}
+        again[order[1:]] = (name[order[1:]] == name[order[:-1]]) & (row[index][order[1:]] == row[index][order[:-1]])
+        return {"h": signed(name), "key": key[index], "doc": doc[index], "place": place[index].astype(np.int32), "n": (end - index).astype(np.int32), "again": again}
 
     return emit
 
 
 def repeated(docs: DataFrame, least: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, place, n): every span that is not the first with its text."""
-    spans = found(docs, sentences, _spans(least, min_words), "h long, doc long, place int, n int, again boolean")
-    first = cut(spans.select("h", "doc").groupBy("h").agg(F.min("doc").alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first"))
+    """(key, place, n): every span that is not the first with its text."""
+    spans = found(docs, sentences, _spans(least, min_words), "h long, key long, doc long, place int, n int, again boolean")
+    first = cut(spans.groupBy("h").agg(F.min(F.struct("doc", "key")).alias("first"), F.count("*").alias("times")).where("times > 1").select("h", "first"))
     likely = marked(spans, "h", first.select("h")).where("_marked").drop("_marked")
-    return likely.join(first, "h").where("again or doc > first").select("doc", "place", "n")
+    return likely.join(first, "h").where(F.col("again") | (F.struct("doc", "key") > F.col("first"))).select("key", "place", "n")
 
 
 def dedup(docs: DataFrame, least: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without repeated sentences, and their places as _removed."""
+    docs = keyed(docs)
     return without(docs, sentences, repeated(docs, least, min_words))

@@ -35,6 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "_row_key"
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a key of each row in ``ROW``, stored once: every later read finds the same keys.
+
+    Keys ascend in the order of the input. Rows that have keys already keep them.
+    """
+    return rows if ROW in rows.columns else cut(rows.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000
 

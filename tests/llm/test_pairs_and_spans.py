@@ -133,3 +133,28 @@ def test_line_runs(make_docs, edge_rows):
     assert result.count() == len(edge_rows) and line_dedup.dedup(make_docs([])).count() == 0
     depths = [level.select("name").distinct().count() for level in line_dedup.intervals(make_docs(rows))]
     assert depths == [3, 1]
+
+
+@pytest.mark.parametrize("same_id", [None, 9])
+def test_rows_without_an_id_of_their_own(spark, make_docs, same_id):
+    """Null and shared ids name no row: what one row repeats is cut there, and only there."""
+    run = "\n".join(invented(41, 36).strip().split("\n"))
+    own = [invented(42 + i, 72) for i in range(3)]
+    rows = [(1, run), (same_id, run + "\n" + own[0]), (same_id, own[1]), (same_id, own[2]), (same_id, own[2])]
+    wanted = sorted([run, own[0], own[1], own[2], ""])
+    for dedup in (line_dedup.dedup, sentence_dedup.dedup):
+        docs = make_docs(rows)
+        result = dedup(docs)
+        assert result.columns == [*docs.columns, "_removed"]
+        assert sorted(r.text for r in result.collect()) == wanted
+    benchmark = spark.createDataFrame([(1, own[1])], "item_id long, text string")
+    kept = decontaminate.decontaminate(make_docs(rows), benchmark)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(t for _, t in rows if t != own[1])
+
+
+def test_null_ids_do_not_multiply(make_docs):
+    """As many suffixes in an interval as there are rows, not all pairs of them."""
+    run = invented(51, 90)
+    docs = make_docs([(None, run)] * 12)
+    assert [level.where("place = 0").count() for level in line_dedup.intervals(docs)] == [12, 12, 12]
+    assert sum(r.text != "" for r in line_dedup.dedup(docs).collect()) == 1
