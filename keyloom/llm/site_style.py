@@ -51,7 +51,7 @@ CUT_NAMES = frozenset(
 KEEP_TAGS = frozenset("html body article main #root".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
 class Page:
@@ -110,11 +110,12 @@ class Page:
         role, hidden = "", False
         if attributes:
             for name, value in _ATTRIBUTE.findall(attributes):
-                if name.lower() == "hidden":
+                name = name.lower()
+                if name == "hidden":
                     hidden = True
-                elif name.lower() == "role":
+                elif name == "role":
                     role = value.strip("\"'").lower()
-                else:
+                elif name in ("class", "id"):
                     names += value.strip("\"'").lower().split()
         words = {w for n in names for w in (n, *re.split(r"[-_0-9]+", n))}
         drop = tag in CUT_TAGS or hidden or role in CUT_ROLES or bool(words & CUT_NAMES) and tag not in KEEP_TAGS or tag == "header" and not self.main[above]

@@ -93,6 +93,16 @@ def test_pages(spark):
     assert site_style.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attributes, kept", [
+    ('style="overflow:hidden"', True), ('aria-hidden="false"', True), ('href="/hidden-gem"', True), ("href=/hidden-gem", True), ("title='the hidden sea'", True),
+    ('data-role="banner"', True), ('data-id="search" data-class=menu', True), ('title="class=menu id=ad"', True), ('class="story"', True),
+    ("hidden", False), ('HIDDEN=""', False), ("x=1 hidden", False), ('title="a" role = "banner"', False), ('CLASS="ad"', False), ("id=search", False), ("x='y'class='menu'", False),
+])
+def test_attributes_are_whole(attributes, kept):
+    """Only class, id, role and hidden themselves count, not names and values that contain them."""
+    assert site_style.Page(f"<body><div {attributes}><p>Some text</p></div></body>").text() == ("Some text" if kept else "")
+
+
 def test_site_style_cuts_repeated_branches(spark):
     """A box without a telling name goes when all pages of the host repeat it; articles stay."""
     rows = [(i, f"http://h.x/{i}", f"<body><article><p>{invented(i, 30)}</p><div class=q7>Always the same words</div></article></body>") for i in range(30)]
