@@ -1,7 +1,7 @@
 """The stages against what their operators decide, on a small corpus."""
 
 import corpus_pipeline
-from keyloom.llm import registry
+from keyloom.llm import ngram_join, registry
 from keyloom.llm.queries import QUERIES
 
 from .conftest import invented
@@ -34,3 +34,12 @@ def test_stages(spark, make_docs, tmp_path):
 def test_registered():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
     assert set(registry.ORACLES) <= set(QUERIES)
+
+
+def test_near_copies_on_five_words(spark, make_docs):
+    """Two scattered changes in a hundred words: near on sets of five words at 0.8, not on three at 0.9."""
+    words = [f"word{i}" for i in range(100)]
+    edited = [*words[:30], "changed", *words[31:60], "again", *words[61:]]
+    docs = make_docs([(1, " ".join(words)), (2, " ".join(edited)), (3, invented(3, 100))])
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == {1, 3}
