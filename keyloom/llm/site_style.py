@@ -6,7 +6,8 @@ has a presentation importance, the entropy of the child sequences seen under it,
 content importance, one minus the mean entropy of its texts: a text that many pages repeat
 at the same node tells little, one that a single page has tells all. A branch is as
 important as its most important node, and branches of low importance are cut from each
-page. Nodes that too few pages of the host have are judged by the tree of all hosts.
+page. Nodes that fewer than ``MIN_PAGES`` pages of the host have are judged by the tree of
+all hosts, at every size of host; nodes that as few pages of all hosts have stay.
 
 Elements whose tag, role, class or id says what they are (menus, adverts, scripts ...) are
 cut on every page; text inside ``article`` or ``main`` is preferred to text outside. Should
@@ -23,15 +24,15 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, in_batches, spread
+from .tables import cut, in_batches, marked
 
 MIN_PAGES = 8
-MIN_SHARE = 0.01
 LOW = 0.3
 
 # Kinds of HTML elements, and names that say what an element is for.
@@ -199,55 +200,72 @@ def _importance(features: DataFrame, *site: str) -> DataFrame:
     return nodes.where(F.col("pages") >= MIN_PAGES).select(*site, "path", "pages", F.greatest(F.coalesce(content, F.lit(0.0)), 0.5 * F.coalesce(style, F.lit(0.0))).alias("importance"))
 
 
-def style_trees(pages: DataFrame) -> tuple[DataFrame, dict[int, float]]:
-    """(site, nodes) with the nodes that at least ``MIN_SHARE`` of a site's pages have, and such nodes of all sites.
+def low_nodes(pages: DataFrame) -> DataFrame:
+    """(node, path): the nodes of every site that are of low importance; node is a hash of site and path.
 
-    A page has a limited number of nodes, so either list has at most 1 / MIN_SHARE times as many.
+    A node is judged by its site's tree where ``MIN_PAGES`` pages of the site have it, else by
+    the tree of all sites where as many pages have it, else it is important.
     """
     counted = cut(pages.select("site", "html").mapInArrow(_features, "site string, path long, kind int, feature long").groupBy("site", "path", "kind", "feature").agg(F.count("*").alias("f")))
-    size = counted.where(F.col("kind") == PRESENT).groupBy("site").agg(F.max("f").alias("size"))
-    own = _importance(counted, "site").join(size, "site").where(F.col("pages") >= MIN_SHARE * F.col("size"))
-    trees = own.groupBy("site").agg(F.collect_list(F.struct("path", "importance")).alias("nodes"))
+    low = F.col("importance") < LOW
+    own = _importance(counted, "site").where(low).select("site", "path")
     every = counted.groupBy("path", "kind", "feature").agg(F.sum("f").alias("f"))
-    total = size.agg(F.sum("size")).first()[0] or 0
-    common = _importance(every).where(F.col("pages") >= MIN_SHARE * total)
-    return trees, {r["path"]: r["importance"] for r in common.select("path", "importance").collect()}
+    common = _importance(every).where(low).select("path")
+    thin = counted.where(F.col("kind") == PRESENT).where(F.col("f") < MIN_PAGES).select("site", "path")  # one row of this kind per site and path
+    return own.union(thin.join(common, "path").select("site", "path")).select(_node(F.col("site"), F.col("path")).alias("node"), "path")
 
 
-def _kept(page: Page, known: dict[int, float], common: dict[int, float]) -> list[bool]:
-    """Which elements stay: those with a node of enough importance in or below them, or above them nothing cut."""
-    paths = page.paths()
-    best = [known.get(p, common.get(p, 1.0)) for p in paths]
+def _node(site: Column, path: Column) -> Column:
+    return F.xxhash64(site, path)
+
+
+def _page_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, again, site, path): the distinct style nodes of each page."""
+    for batch in batches:
+        found = [np.unique(np.array(Page(html.as_py() or "").paths(), np.int64)) for html in batch.column(3)]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(p) for p in found]))
+        path = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), path], names=["key", "again", "site", "path"])
+
+
+def low_paths(rows: DataFrame) -> DataFrame:
+    """(key, again, low): the low nodes of each page that has any; only equal rows share a key.
+
+    Only nodes that are likely low leave their task; what is gathered for a page is at most its own nodes.
+    """
+    low = cut(low_nodes(rows))
+    each = rows.select("key", "again", "site", "html").mapInArrow(_page_paths, "key long, again long, site string, path long")
+    each = each.select("key", "again", _node(F.col("site"), F.col("path")).alias("node"), "path")
+    likely = marked(each, "node", low.select("node")).where("_marked").select("key", "again", "node", "path")
+    return likely.join(low, ["node", "path"], "left_semi").groupBy("key", "again").agg(F.collect_set("path").alias("low"))
+
+
+def _kept(page: Page, low: frozenset[int]) -> list[bool]:
+    """Which elements stay: those with a node that is not low in or below them, or above them nothing cut."""
+    best = [p not in low for p in page.paths()]
     for element in range(len(best) - 1, 0, -1):
         above = page.parent[element]
-        best[above] = max(best[above], best[element])
+        best[above] = best[above] or best[element]
     keep = [True] * len(best)
     for element in range(1, len(best)):
-        keep[element] = keep[page.parent[element]] and best[element] >= LOW
+        keep[element] = keep[page.parent[element]] and best[element]
     return keep
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) of every row."""
-    spark = pages.sparkSession
     rows = in_batches(pages).select("page_id", "url", site_of(F.col("url")).alias("site"), "html")
-    trees, common = style_trees(rows)
-    shared = spark.sparkContext.broadcast(common)
-    salts = spread(spark)
-    salted = trees.select("site", "nodes", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["site", "salt"], "left")
+    # two hashes of the row: its low nodes depend on no more, and copies under other ids are no hot key
+    rows = rows.withColumns({"key": F.xxhash64("page_id", "url", "html"), "again": F.xxhash64("html", F.length("html"), "url")})
+    joined = rows.join(low_paths(rows), ["key", "again"], "left")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, held = shared.value, {}
         for batch in batches:
             found = []
-            for i, (site, html) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
-                if site not in held:
-                    held.clear()  # rows come by site and salt; one site's nodes are enough
-                    held[site] = {n["path"]: n["importance"] for n in batch.column(4)[i].as_py() or ()}
+            for html, low in zip(batch.column(2), batch.column(3), strict=True):
                 page = Page(html.as_py() or "")
-                found.append(page.text(_kept(page, held[site], common)) or page.text())
+                found.append(page.text(_kept(page, frozenset(low.as_py() or ()))) or page.text())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
     types = dict(pages.dtypes)
-    return joined.select("page_id", "url", "site", "html", "nodes").mapInArrow(task, f"page_id {types['page_id']}, url string, text string")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(task, f"page_id {types['page_id']}, url string, text string")

@@ -110,6 +110,14 @@ def test_site_style_cuts_repeated_branches(spark):
     assert all(found[i] == " ".join(invented(i, 30).split()) for i in range(30))
 
 
+def test_rare_nodes_of_large_hosts_are_judged(spark):
+    """Eight pages that repeat a notice are enough, also where the host has a hundred times as many."""
+    notice = "<div class=q8>Always the same words</div>"
+    rows = [(i, f"http://h.x/{i}", f"<body><div class=s><p>{invented(i, 12)}</p>{notice if i < 8 else ''}</div></body>") for i in range(900)]
+    found = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == " ".join(invented(i, 12).split()) for i in range(900))
+
+
 def test_licenses(make_docs, edge_rows):
     rows = [(1, "Released under the MIT License.\nThe MIT license, again"), (2, "licensed under cc by-nc 4.0"), (3, "no licence"), (4, None), (5, ""),
             (6, "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files, to deal in the Software without limits\n\nother"),
