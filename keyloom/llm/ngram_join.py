@@ -7,6 +7,10 @@
    its hash is the key that sends a set to that tree. Sets that share a root with no
    other set have no link. A set size belongs to an interval, and a set serves its own
    interval and the one below, so both sets of a link use the same number of parts.
+   A part without elements is no root. There are as many spare parts as twice those that
+   chance leaves empty; a set that leaves more empty is also cut by a second and a third
+   hash order, where its partners of that kind meet it, and only one that all three
+   orders leave sparse is sent to the roots of its empty parts as well.
 3. Sets that meet at a root, directly or through others, form a region. A region's sets
    are sent once, in blocks of bounded size, and each block stores them in one prefix
    tree, commonest shingle first. A query walks all branches at once, sharing the overlap
@@ -15,7 +19,8 @@
 4. Every block first links the region's smallest document. Sets in the largest component
    of a block need no query of their own, as their links within it change nothing and
    links to other sets are found from those. Sets that are not connected with the
-   region's smallest document are then searched in the region's other blocks.
+   region's smallest document are then searched in those other blocks of the region that
+   hold a set with one of their roots.
 
 Defined results: null and empty texts, and texts without words, have an empty set, link
 with nothing and are their own component; equal rows share a component; a null doc_id
@@ -33,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, cut, in_batches, marked, spread
+from .tables import ROW, components, cut, in_batches, keyed, marked, spread
 from .textbytes import SPACES, blocks, combine, mix, texts, words
 
 SHINGLE = 3
 PERCENT = 90
 SPARE = 2
+ORDERS = 3
 BLOCK_ELEMENTS = 1 << 20
 
 
@@ -65,26 +71,51 @@ def intervals(limit: int, percent: int) -> np.ndarray:
     return np.array(lows, np.int64)
 
 
+def _cut(s: np.ndarray, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filled parts of a set in one of the hash orders, and a hash of the elements in each."""
+    by = s if not order else mix(s + np.uint64(order))
+    part = (((by >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    held = mix(s)
+    if order:
+        at = np.argsort(part, kind="stable")
+        part, held = part[at], held[at]
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    first = np.flatnonzero(new)
+    with np.errstate(over="ignore"):
+        return part[first], np.add.reduceat(held, first)
+
+
+def spare_parts(low: int, differ: int) -> int:
+    """Spare parts for sets of at least ``low`` elements: two, and twice the share that chance leaves empty."""
+    return SPARE + int(2 * (differ + 1) * np.exp(-low / (differ + 1)))
+
+
 def _keys(s: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the root paths of a set, for its own size interval and the one below."""
+    """Keys of the root paths of a set, for its own size interval and the one below.
+
+    Two linked sets agree on more parts than the spare ones. If one of them leaves no more than those empty, a
+    part they agree on has elements. If both leave more empty, both go on to the next hash order.
+    """
     if not len(s):
         return s
     own = int(np.searchsorted(lows, len(s), "right")) - 1
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(s))])
     keys = []
     for at in {max(0, own - 1), own}:
-        high = 100 * int(lows[at]) // percent
+        low = int(lows[at])
+        high = 100 * low // percent
         differ = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
         if not differ:
             continue  # equal sets only
-        parts = differ + 1 + SPARE
-        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        ends = np.searchsorted(part, np.arange(parts + 1))
-        filled = np.flatnonzero(ends[1:] > ends[:-1])
-        if parts - len(filled) > SPARE:
-            filled = np.arange(parts)
-        with np.errstate(over="ignore"):
-            keys.append(combine(total[ends[filled + 1]] - total[ends[filled]], filled, np.full(len(filled), at)))
+        spare = spare_parts(low, differ)
+        for order in range(ORDERS):
+            filled, total = _cut(s, differ + 1 + spare, order)
+            keys.append(combine(total, filled, np.full(len(filled), at * ORDERS + order)))
+            if differ + 1 <= len(filled):
+                break
+        else:
+            empty = np.setdiff1d(np.arange(differ + 1 + spare), filled)
+            keys.append(combine(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), at * ORDERS)))
     return np.concatenate(keys) if keys else s[:0]
 
 
@@ -302,16 +333,22 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
     placed = found.join(split, "region")
     first = placed.where("doc = region").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc", "elements")
     others = placed.where("doc <> region").select("region", own, "doc", "elements")
-    stars = cut(first.union(others).groupBy("region", "block").applyInPandas(_within(percent), "region long, block long, a long, b long"))
-
-    # sets not connected with their region's first document meet the region's other blocks
-    loose = placed.where("blocks > 1").join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi")
-    asks = loose.groupBy("region").agg(F.ceil(F.sum("n") / block_elements).alias("asks"))
+    # an exchange of its own: the partitioning by region that the join left would keep all blocks of a region in one task
+    stars = cut(first.union(others).repartition("region", "block").groupBy("region", "block").applyInPandas(_within(percent), "region long, block long, a long, b long"))
+
+    # sets not connected with their region's first document meet those blocks of the region that share a root with them
+    several = placed.where("blocks > 1").select("region", "doc", "n", own, "elements")
+    loose = several.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi")
+    roots_of = printed.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
+    rooted = cut(roots_of.join(several.select("region", "doc", "block"), "doc").select("region", "doc", "block", "key").distinct())
+    asking = rooted.join(loose.select("region", "doc"), ["region", "doc"], "left_semi").select("region", "doc", F.col("block").alias("home"), "key")
+    holding = rooted.select("region", "key", "block").distinct()
+    visits = cut(asking.join(holding, ["region", "key"]).where("block <> home").select("region", "doc", "block").distinct())
+    asks = visits.join(loose.select("region", "doc", "n"), ["region", "doc"]).groupBy("region", "block").agg(F.ceil(F.sum("n") / block_elements).alias("asks"))
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("asks"))
     place = ["region", "block", "turn"]
-    asked = loose.join(asks, "region").select("region", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda b: b != F.pmod(F.xxhash64("doc"), F.col("blocks")))).alias("block"), turn.alias("turn"), "doc", "elements")
-    asked = cut(asked)
-    held = placed.where("blocks > 1").join(asks, "region").select("region", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("turn"), "doc", "elements")
+    asked = cut(visits.join(asks, ["region", "block"]).join(loose.select("region", "doc", "elements"), ["region", "doc"]).select("region", "block", turn.alias("turn"), "doc", "elements"))
+    held = several.join(asks, ["region", "block"]).select("region", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("turn"), "doc", "elements")
     across = held.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(_across(percent), "a long, b long")
 
     grouped = components(stars.select("a", "b").union(across))
@@ -319,6 +356,18 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; equal rows stay as they are."""
-    rest = join(docs, size, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_other_id")).distinct()
-    return docs.join(rest, F.col("doc_id") == F.col("_other_id"), "left_anti")
+    """``docs`` with one row of each component: the one with the smallest id, null last, and of rows with one id the one read first.
+
+    Every row is a document of its own here, whatever its id. Only rows that go, and the few that a bitmap cannot
+    tell from them, are shuffled with their texts.
+    """
+    rows = keyed(docs)
+    joined = cut(join(rows.select(F.col(ROW).alias("doc_id"), "text"), size, percent).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")))
+    several = joined.groupBy("_component").agg(F.count("*").alias("n")).where("n > 1").select("_component")
+    named = joined.join(several, "_component").join(rows.select(F.col(ROW).alias("_row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)).alias("_place")), "_row")
+    named = cut(named)
+    first = named.groupBy("_component").agg(F.min("_place").alias("_first"))
+    rest = cut(named.join(first, "_component").where(F.col("_place") > F.col("_first")).select(F.col("_row").alias("_other_row")))
+    likely = marked(rows, ROW, rest)
+    stay = likely.where("_marked").join(rest, F.col(ROW) == F.col("_other_row"), "left_anti")
+    return likely.where("not _marked").select(*docs.columns).union(stay.select(*docs.columns))

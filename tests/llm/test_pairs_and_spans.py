@@ -3,10 +3,11 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from keyloom.llm import decontaminate, line_dedup, ngram_join, sentence_dedup
-from keyloom.llm.tables import components
+from keyloom.llm.tables import components, cut
 
 from .conftest import invented
 
@@ -52,6 +53,53 @@ def test_jaccard_components(make_docs, block):
     assert found == brute_components(rows)
 
 
+def test_jaccard_components_at_five_and_eighty(make_docs, monkeypatch):
+    """Sets whose parts are small, some empty; the blocks of one region are dealt out by an exchange on (region, block)."""
+    base, other = invented(1, 400), invented(2, 60)
+    boilerplate = invented(6, 30)
+    rows = list(enumerate([base, *near_copies(base, 20), other, *near_copies(other, 5), *[boilerplate + invented(100 + i, 25) for i in range(30)], *[invented(200 + i, 12) for i in range(30)], "a b c d e", "a b c d e f", ""]))
+    plans = []
+    monkeypatch.setattr(ngram_join, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    found = {r[0]: (r[1], r[2]) for r in ngram_join.join(make_docs(rows), 5, 80, block_elements=1_500).collect()}
+    assert found == brute_components(rows, 5, 80)
+    grouped = [p for p in plans if "FlatMapGroupsInPandas" in p]
+    assert len(grouped) == 1 and re.search(r"hashpartitioning\(region#\d+L?, block#\d+L?", grouped[0])
+
+
+@pytest.mark.parametrize(("percent", "sizes"), [(80, [6, 10, 30, 100, 1_000, 100_000]), (90, [12, 40, 300, 100_000])])
+def test_linked_sets_share_a_root(percent, sizes):
+    """Pairs at the threshold meet at a part that has elements, also sets that leave many parts empty."""
+    rng = np.random.default_rng(5)
+    lows = ngram_join.intervals(1 << 18, percent)
+    sparse = 0
+    for size in sizes:
+        for trial in range(200 if size < 1_000 else 4):
+            pool = rng.integers(0, 1 << 64, 2 * size, dtype=np.uint64)
+            if trial % 4 == 3:  # crowded in an eighth of the hash range: most parts of the first order are empty
+                pool >>= np.uint64(3)
+                sparse += 1
+            swap = size * (100 - percent) // (100 + percent)
+            a, b = np.unique(pool[:size]), np.unique(pool[swap:size + swap])
+            both = len(np.intersect1d(a, b))
+            if 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            ka, kb = ngram_join._keys(a, lows, percent), ngram_join._keys(b, lows, percent)
+            assert np.array_equal(a, b) or len(np.intersect1d(ka, kb)), (size, trial)
+            if trial % 4 < 3 and size >= 1_000:  # chance alone needs no second order
+                assert len(ka) <= 2 * size * (100 - percent) / 100 * 2.5
+    assert sparse
+
+
+def test_one_row_of_a_group_stays(make_docs):
+    """Near copies, repeated rows and rows that share an id or have none are rows of one group."""
+    base = invented(61, 120)
+    edits = near_copies(base, 3)
+    own = invented(62, 120)
+    kept = ngram_join.keep_one(make_docs([(5, edits[0]), (None, base), (4, base), (4, base), (None, edits[1]), (4, own), (None, ""), (None, None)]), 5, 80)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.text) == sorted([(4, base), (4, own)])
+    assert kept.where("doc_id is null").count() == 2
+
+
 def test_jaccard_edges(make_docs, edge_rows):
     rows = ngram_join.join(make_docs(edge_rows)).collect()
     assert len(rows) == len(edge_rows)
