@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ROW, components, cut, in_batches, keyed, marked, spread
+from .tables import ROW, components, cut, in_batches, kept, keyed, marked, scratch, spread
 from .textbytes import SPACES, blocks, combine, mix, texts, words
 
 SHINGLE = 3
@@ -315,14 +315,22 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs``."""
-    spark = docs.sparkSession
-    parts = spread(spark)
+    """(doc_id, n_shingles, component_id) per row of ``docs``, stored."""
+    with scratch(docs.sparkSession):
+        return kept(_joined(docs, size, percent, block_elements))
+
+
+def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> DataFrame:
+    parts = spread(docs.sparkSession)
     printed = cut(prints(docs, size, percent))
     same_set = ["n_shingles", "s1", "s2"]
     classes = printed.where("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"))
     members = printed.select("doc_id", *same_set).join(classes, same_set, "left")
-    roots = printed.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    # only copies of a set are shuffled to find out that they are not the first of their class
+    copies = cut(members.where("doc_id <> rep").select(F.col("doc_id").alias("_copy")).distinct())
+    told = marked(printed.select("doc_id", "keys"), "doc_id", copies)
+    firsts = told.where("not _marked").union(told.where("_marked").join(copies, F.col("doc_id") == F.col("_copy"), "left_anti"))
+    roots = firsts.where("doc_id is not null").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
     met = roots.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(_meetings, "a long, b long")
     regions = components(met).select(F.col("node").alias("doc"), F.col("component").alias("region"))
     regions = cut(regions)
@@ -355,19 +363,34 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
     return members.join(grouped, members["rep"] == grouped["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _ids_are_keys(docs: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own; the ids are pre-aggregated, as no id has many rows in such a table."""
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1")
+    return repeated.isEmpty()
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, null last, and of rows with one id the one read first.
 
-    Every row is a document of its own here, whatever its id. Only rows that go, and the few that a bitmap cannot
-    tell from them, are shuffled with their texts.
+    Every row is a document of its own here. Where ids are missing or repeated, rows get stored keys first. Only rows
+    that go, and the few that a bitmap cannot tell from them, are shuffled with their texts.
     """
-    rows = keyed(docs)
-    joined = cut(join(rows.select(F.col(ROW).alias("doc_id"), "text"), size, percent).where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component")))
-    several = joined.groupBy("_component").agg(F.count("*").alias("n")).where("n > 1").select("_component")
-    named = joined.join(several, "_component").join(rows.select(F.col(ROW).alias("_row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW)).alias("_place")), "_row")
-    named = cut(named)
-    first = named.groupBy("_component").agg(F.min("_place").alias("_first"))
-    rest = cut(named.join(first, "_component").where(F.col("_place") > F.col("_first")).select(F.col("_row").alias("_other_row")))
-    likely = marked(rows, ROW, rest)
-    stay = likely.where("_marked").join(rest, F.col(ROW) == F.col("_other_row"), "left_anti")
+    unique = _ids_are_keys(docs)
+    rows = docs if unique else keyed(docs)
+    key = "doc_id" if unique else ROW
+    with scratch(docs.sparkSession):
+        rest = kept(_others(rows, key, size, percent))
+    likely = marked(rows, key, rest)
+    stay = likely.where("_marked").join(rest, F.col(key) == F.col("_other_row"), "left_anti")
     return likely.where("not _marked").select(*docs.columns).union(stay.select(*docs.columns))
+
+
+def _others(rows: DataFrame, key: str, size: int, percent: int) -> DataFrame:
+    """The keys of all rows that are not the first of their component."""
+    joined = join(rows.select(F.col(key).cast("long").alias("doc_id"), "text"), size, percent).where("n_shingles > 0")
+    if key == "doc_id":  # a component's name is its smallest id
+        return joined.where("doc_id <> component_id").select(F.col("doc_id").alias("_other_row"))
+    place = rows.select(F.col(key).alias("row"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key)).alias("place"))
+    named = cut(joined.join(place, F.col("doc_id") == F.col("row")).select("row", "place", "component_id"))
+    first = named.groupBy("component_id").agg(F.min("place").alias("first"))
+    return named.join(first, "component_id").where(F.col("place") > F.col("first")).select(F.col("row").alias("_other_row"))

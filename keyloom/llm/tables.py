@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows as Parquet to the shared folder and go on from there: no lineage, no lost blocks."""
+_SCRATCH: list[list[str]] = []
+
+
+def _stored(df: DataFrame, level: int) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/keyloom-{uuid.uuid4().hex}"
+    if len(_SCRATCH) >= level:
+        _SCRATCH[-level].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet to the shared folder and go on from there: no lineage, no lost blocks."""
+    return _stored(df, 1)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """:func:`cut` for the result of a :func:`scratch` block: it outlives the block."""
+    return _stored(df, 2)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside the block are removed at its end; what it returns has to be :func:`kept`."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for path in map(jvm.org.apache.hadoop.fs.Path, _SCRATCH.pop()):
+            path.getFileSystem(conf).delete(path, True)
+
+
 ROW = "_row_key"
 
 
