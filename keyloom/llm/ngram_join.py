@@ -346,16 +346,17 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
 
     # sets not connected with their region's first document meet those blocks of the region that share a root with them
     several = placed.where("blocks > 1").select("region", "doc", "n", own, "elements")
-    loose = several.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi")
-    roots_of = printed.select(F.col("doc_id").alias("doc"), F.explode("keys").alias("key"))
-    rooted = cut(roots_of.join(several.select("region", "doc", "block"), "doc").select("region", "doc", "block", "key").distinct())
+    homes = cut(several.select("region", "doc", "n", "block"))
+    loose = cut(homes.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi"))
+    told = marked(printed.select(F.col("doc_id").alias("doc"), "keys"), "doc", homes.select("doc")).where("_marked")
+    rooted = cut(told.join(homes, "doc").select("region", "doc", "block", F.explode("keys").alias("key")))
     asking = rooted.join(loose.select("region", "doc"), ["region", "doc"], "left_semi").select("region", "doc", F.col("block").alias("home"), "key")
     holding = rooted.select("region", "key", "block").distinct()
     visits = cut(asking.join(holding, ["region", "key"]).where("block <> home").select("region", "doc", "block").distinct())
     asks = visits.join(loose.select("region", "doc", "n"), ["region", "doc"]).groupBy("region", "block").agg(F.ceil(F.sum("n") / block_elements).alias("asks"))
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("asks"))
     place = ["region", "block", "turn"]
-    asked = cut(visits.join(asks, ["region", "block"]).join(loose.select("region", "doc", "elements"), ["region", "doc"]).select("region", "block", turn.alias("turn"), "doc", "elements"))
+    asked = cut(visits.join(asks, ["region", "block"]).join(several.select("region", "doc", "elements"), ["region", "doc"]).select("region", "block", turn.alias("turn"), "doc", "elements"))
     held = several.join(asks, ["region", "block"]).select("region", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asks") - 1)).alias("turn"), "doc", "elements")
     across = held.groupBy(*place).cogroup(asked.groupBy(*place)).applyInPandas(_across(percent), "a long, b long")
 

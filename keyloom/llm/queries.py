@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as contamination
-from . import licenses, line_dedup, lm_score, ngram_join, packing, quality, sentence_dedup, site_style, toxicity
+from . import filter_audit, harmonic, licenses, line_dedup, lm_score, ngram_join, packing, quality, sentence_dedup, site_style, toxicity, whitening
 from .registry import ORACLES, QUERIES, query
 from .tables import read
 
@@ -75,3 +75,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_extraction")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style.extract(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op11_filter_interaction_audit", filter_audit.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_harmonic_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack(read(spark, sf_dir, "documents"))

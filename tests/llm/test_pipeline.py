@@ -32,7 +32,7 @@ def test_stages(spark, make_docs, tmp_path):
 
 
 def test_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
     assert set(registry.ORACLES) <= set(QUERIES)
 
 
