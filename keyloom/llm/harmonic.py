@@ -24,6 +24,7 @@ task that runs again gives the same ones.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,9 @@ CAPACITY = 4096
 END_ID = 2
 LOAD_TOKENS = 1 << 22
 KNOWN_RUNS = 1 << 20
+JOINED = 256
+# A special token of the vocabulary: the tokenizer takes what stands on its two sides as texts of their own.
+BETWEEN = "<|startoftext|>"
 
 
 def vocabulary_file() -> str:
@@ -55,7 +59,9 @@ class Encoder:
     def __init__(self, file: str, known_runs: int = KNOWN_RUNS):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core only
         self.tokenizer = Tokenizer.from_file(file)
+        self.between = self.tokenizer.token_to_id(BETWEEN)
         self.known_runs = known_runs
         self.forget()
 
@@ -66,14 +72,28 @@ class Encoder:
 
     def learn(self, names: np.ndarray, runs_of_text: list[str]) -> None:
         """Remember new runs, ``names`` in ascending order."""
-        coded = [e.ids for e in self.tokenizer.encode_batch(runs_of_text, add_special_tokens=False)]
-        length = np.array([len(c) for c in coded], np.int64)
+        coded, lengths = [], []
+        for at in range(0, len(runs_of_text), JOINED):
+            some = runs_of_text[at:at + JOINED]
+            if any(BETWEEN in x for x in some):
+                for x in some:
+                    coded.append(self.ids_of(x))
+                    lengths.append(np.array([len(coded[-1])]))
+                continue
+            ids = self.ids_of(BETWEEN.join(some))
+            cuts = np.flatnonzero(ids == self.between)
+            lengths.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            coded.append(ids[ids != self.between])
+        length = np.concatenate(lengths).astype(np.int64)
         first = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, np.array([i for c in coded for i in c], np.uint32)])
+        self.ids = np.concatenate([self.ids, *coded])
         at = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, at, names)
         self.first, self.length = np.insert(self.first, at, first), np.insert(self.length, at, length)
 
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def known(self, names: np.ndarray) -> np.ndarray:
         if not len(self.names):
             return np.zeros(len(names), bool)
