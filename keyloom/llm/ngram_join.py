@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import ROW, components, cut, in_batches, kept, keyed, marked, scratch, spread
+from .tables import ROW, components, cut, ids_are_keys, in_batches, kept, keyed, marked, scratch, spread
 from .textbytes import SPACES, blocks, combine, mix, texts, words
 
 SHINGLE = 3
@@ -119,32 +119,67 @@ def _keys(s: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys) if keys else s[:0]
 
 
-def prints(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys) of every document; (n, s1, s2) names the set."""
+def _texts_in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """(ids, shingle sets) of (id, text) rows, a block of texts at a time."""
+    for batch in batches:
+        data, offsets = texts(batch.column(1))
+        for first, last, part, bounds in blocks(data, offsets):
+            yield batch.column(0).slice(first, last - first), list(shingle_sets(part, bounds, size))
+
+
+def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2) of every document; (n, s1, s2) names the set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = intervals(1 << 10, percent)
+        for ids, sets in _texts_in_blocks(batches, size):
+            with np.errstate(over="ignore"):
+                s1 = [mix(s).sum(dtype=np.uint64) for s in sets]
+                s2 = [mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets]
+            yield pa.RecordBatch.from_arrays([
+                ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)),
+            ], names=["doc_id", "n_shingles", "s1", "s2"])
+
+    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long")
+
+
+class _Roots:
+    """Keys of sets, with size intervals that grow with the largest set met."""
+
+    def __init__(self, percent: int):
+        self.percent, self.lows = percent, intervals(1 << 10, percent)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        if len(s) >= self.lows[-1]:
+            self.lows = intervals(2 * len(s), self.percent)
+        return _keys(s, self.lows, self.percent)
+
+
+def _root_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, doc, block, key): every root of (region, doc, block, elements) rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = _Roots(percent)
         for batch in batches:
-            ids = batch.column(0)
-            data, offsets = texts(batch.column(1))
-            for first, last, part, bounds in blocks(data, offsets):
-                n, s1, s2, keys = [], [], [], []
-                for s in shingle_sets(part, bounds, size):
-                    if len(s) >= lows[-1]:
-                        lows = intervals(2 * len(s), percent)
-                    with np.errstate(over="ignore"):
-                        n.append(len(s))
-                        s1.append(mix(s).sum(dtype=np.uint64))
-                        s2.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                    keys.append(_keys(s, lows, percent))
-                flat = np.concatenate(keys).astype(np.uint64).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, last - first), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
-                    pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
+            keys = [roots(np.frombuffer(x, np.uint64)) for x in batch.column(3).to_pylist()]
+            again = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(flat)], names=["region", "doc", "block", "key"])
+
+    return sets.select("region", "doc", "block", "elements").mapInArrow(task, "region long, doc long, block long, key long")
+
 
-    return in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+def roots_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, doc): every root of every document, made from the texts and never stored with them."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roots = _Roots(percent)
+        for ids, sets in _texts_in_blocks(batches, size):
+            keys = [roots(s) for s in sets]
+            again = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), ids.take(again)], names=["key", "doc"])
+
+    return in_batches(docs).select(F.col("doc").cast("long"), "text").mapInArrow(task, "key long, doc long")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,15 +357,16 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, block_ele
 
 def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> DataFrame:
     parts = spread(docs.sparkSession)
-    printed = cut(prints(docs, size, percent))
+    printed = cut(prints(docs, size))
     same_set = ["n_shingles", "s1", "s2"]
     classes = printed.where("n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"))
     members = printed.select("doc_id", *same_set).join(classes, same_set, "left")
     # only copies of a set are shuffled to find out that they are not the first of their class
     copies = cut(members.where("doc_id <> rep").select(F.col("doc_id").alias("_copy")).distinct())
-    told = marked(printed.select("doc_id", "keys"), "doc_id", copies)
-    firsts = told.where("not _marked").union(told.where("_marked").join(copies, F.col("doc_id") == F.col("_copy"), "left_anti"))
-    roots = firsts.where("doc_id is not null").select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"))
+    own_texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null")
+    told = marked(own_texts, "doc", copies)
+    firsts = told.where("not _marked").union(told.where("_marked").join(copies, F.col("doc") == F.col("_copy"), "left_anti"))
+    roots = roots_of(firsts, size, percent)
     met = roots.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(_meetings, "a long, b long")
     regions = components(met).select(F.col("node").alias("doc"), F.col("component").alias("region"))
     regions = cut(regions)
@@ -348,8 +384,7 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     several = placed.where("blocks > 1").select("region", "doc", "n", own, "elements")
     homes = cut(several.select("region", "doc", "n", "block"))
     loose = cut(homes.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi"))
-    told = marked(printed.select(F.col("doc_id").alias("doc"), "keys"), "doc", homes.select("doc")).where("_marked")
-    rooted = cut(told.join(homes, "doc").select("region", "doc", "block", F.explode("keys").alias("key")))
+    rooted = cut(_root_rows(several, percent))
     asking = rooted.join(loose.select("region", "doc"), ["region", "doc"], "left_semi").select("region", "doc", F.col("block").alias("home"), "key")
     holding = rooted.select("region", "key", "block").distinct()
     visits = cut(asking.join(holding, ["region", "key"]).where("block <> home").select("region", "doc", "block").distinct())
@@ -364,19 +399,13 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     return members.join(grouped, members["rep"] == grouped["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def _ids_are_keys(docs: DataFrame) -> bool:
-    """Whether each row has a doc_id of its own; the ids are pre-aggregated, as no id has many rows in such a table."""
-    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1")
-    return repeated.isEmpty()
-
-
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, null last, and of rows with one id the one read first.
 
     Every row is a document of its own here. Where ids are missing or repeated, rows get stored keys first. Only rows
     that go, and the few that a bitmap cannot tell from them, are shuffled with their texts.
     """
-    unique = _ids_are_keys(docs)
+    unique = ids_are_keys(docs)
     rows = docs if unique else keyed(docs)
     key = "doc_id" if unique else ROW
     with scratch(docs.sparkSession):

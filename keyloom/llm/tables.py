@@ -74,6 +74,16 @@ def keyed(rows: DataFrame) -> DataFrame:
     return rows if ROW in rows.columns else cut(rows.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+def ids_are_keys(rows: DataFrame) -> bool:
+    """Whether each row has a doc_id that no other has; counts are pre-aggregated in the tasks."""
+    return rows.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty()
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """:func:`keyed`, but ids that are unique serve as keys, and nothing has to be stored."""
+    return rows.withColumn(ROW, F.col("doc_id").cast("long")) if ids_are_keys(rows) else keyed(rows)
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000
 
