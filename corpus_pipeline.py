@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import line_dedup, ngram_join, packing, quality
 from keyloom.llm.decontaminate import decontaminate
-from keyloom.llm.tables import cut, read
+from keyloom.llm.tables import cut, read, with_keys
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go, and with them documents of which nothing is left."""
-    kept = line_dedup.dedup(docs)
+    kept = line_dedup.dedup(with_keys(docs))
     changed = F.size("_removed") > 0
     return kept.where(~changed | (F.size(quality.words(F.col("text"))) > 0)).select(*docs.columns)
 
