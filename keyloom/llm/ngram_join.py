@@ -30,6 +30,7 @@ words than a shingle is one shingle. Columns other than doc_id and text are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ PERCENT = 90
 SPARE = 2
 ORDERS = 3
 BLOCK_ELEMENTS = 1 << 20
+BAND_BLOCKS = 1 << 30
+BAND_MARGIN = 1.000001  # a band is a little wider than the ratio of linked sizes, so rounding parts no pair by two
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -372,10 +375,14 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     regions = cut(regions)
     likely = marked(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc", regions.select("doc")).where("_marked")
     found = cut(_sets(likely.join(regions, "doc"), size))
+    # a region of several blocks is cut by size first: linked sets lie in one band of sizes or in two that touch
+    band = F.floor(F.log("n") / (math.log(100 / percent) * BAND_MARGIN)).cast("long")
     split = found.groupBy("region").agg(F.ceil(F.sum("n") / block_elements).alias("blocks"))
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")
-    placed = found.join(split, "region")
-    first = placed.where("doc = region").select("region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "doc", "elements")
+    bands = found.join(split.where("blocks > 1"), "region").groupBy("region", band.alias("band")).agg(F.ceil(F.sum("n") / block_elements).alias("shares"))
+    placed = found.join(split, "region").withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0)).join(bands, ["region", "band"], "left")
+    own = (F.col("band") * BAND_BLOCKS + F.pmod(F.xxhash64("doc"), F.coalesce("shares", F.lit(1)))).alias("block")
+    all_blocks = placed.select("region", own).distinct()
+    first = placed.where("doc = region").select("region", "doc", "elements").join(all_blocks, "region").select("region", "block", "doc", "elements")
     others = placed.where("doc <> region").select("region", own, "doc", "elements")
     # an exchange of its own: the partitioning by region that the join left would keep all blocks of a region in one task
     stars = cut(first.union(others).repartition("region", "block").groupBy("region", "block").applyInPandas(_within(percent), "region long, block long, a long, b long"))
@@ -385,9 +392,12 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     homes = cut(several.select("region", "doc", "n", "block"))
     loose = cut(homes.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi"))
     rooted = cut(_root_rows(several, percent))
-    asking = rooted.join(loose.select("region", "doc"), ["region", "doc"], "left_semi").select("region", "doc", F.col("block").alias("home"), "key")
-    holding = rooted.select("region", "key", "block").distinct()
-    visits = cut(asking.join(holding, ["region", "key"]).where("block <> home").select("region", "doc", "block").distinct())
+    told = rooted.join(loose.select("region", "doc", F.lit(True).alias("loose")), ["region", "doc"], "left")
+    asking = told.where("loose").select("region", "doc", F.col("block").alias("home"), "key")
+    holding = told.groupBy("region", "key", "block").agg(F.max(F.col("loose").isNull()).alias("firm"))
+    touching = F.abs(F.floor(F.col("block") / BAND_BLOCKS) - F.floor(F.col("home") / BAND_BLOCKS)) <= 1
+    # of two loose sets the one in the earlier block visits the other; one that is connected with the region's first makes no visits
+    visits = cut(asking.join(holding, ["region", "key"]).where((F.col("block") > F.col("home")) | ((F.col("block") != F.col("home")) & F.col("firm"))).where(touching).select("region", "doc", "block").distinct())
     asks = visits.join(loose.select("region", "doc", "n"), ["region", "doc"]).groupBy("region", "block").agg(F.ceil(F.sum("n") / block_elements).alias("asks"))
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("asks"))
     place = ["region", "block", "turn"]
