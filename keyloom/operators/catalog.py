@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.operators.joins import join_skewed
 from keyloom.functions.text import after_first, any_contains, trim
 from keyloom.operators.extract import to_lines
 from keyloom.sources.catalog import SERVICE_GROUPS
@@ -105,11 +106,11 @@ def selections(stacks: DataFrame) -> DataFrame:
 def resolve(selected: DataFrame, catalog_vars: DataFrame) -> DataFrame:
     """Variables of every stack; the first source of a variable wins.
 
-    First-wins is ``min_by`` on (stage, ord, pos, id): it combines before the shuffle, and
-    a component chosen by most stacks only makes the probe side of the join longer.
+    First-wins is ``min_by`` on (stage, ord, pos, id): it combines before the shuffle. A
+    component that most stacks choose is dealt over copies of its variables.
     """
     scope_ok = (F.col("source_kind") != "framework") | (F.col("language") == F.col("scope"))
-    joined = selected.join(catalog_vars, ["catalog_id", "source_kind", "source_id"]).filter(scope_ok)
+    joined = join_skewed(selected, catalog_vars, ["catalog_id", "source_kind", "source_id"]).filter(scope_ok)
     order = F.struct("stage", "ord", "pos", "source_id")
     # The stack leads the grouping keys: it tells rows apart best when they are sorted.
     first = joined.groupBy("stack_id", "var", "catalog_id").agg(F.min_by(F.struct(*_META), order).alias("_m"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.secrets import DEFAULT_DETECTORS, Detector, is_placeholder
 from keyloom.functions.text import WS_CLASS, after_first, ltrim, preview, trim
+from keyloom.operators.checkpoints import cut
 from keyloom.operators.extract import line_array, to_lines
 
 TOKEN_SPLIT = rf"""[{WS_CLASS}=:"']"""
@@ -149,9 +150,14 @@ def history(
     needle: str,
     by: tuple[str, ...] = ("file_id",),
     order: str = "ver",
-    bucket_size: int = 4096,
+    bucket_size: int | None = None,
 ) -> DataFrame:
-    """Versions that change how often ``needle`` occurs in a file; only the count travels."""
+    """Versions that change how often ``needle`` occurs in a file; only the count travels.
+
+    ``order`` is any column that sorts: numbers, however sparse, or times. ``bucket_size``
+    is the number of versions a partition of the scan holds; the session's shuffle width
+    decides it by default.
+    """
     count = (F.char_length("content") - F.char_length(F.replace("content", F.lit(needle), F.lit("")))) / len(needle)
     counted = versions.select(*by, order, count.cast("int").alias("occurrences"))
     with_previous = previous_value(counted, list(by), order, "occurrences", bucket_size)
@@ -162,32 +168,23 @@ def history(
     )
 
 
-def previous_value(
-    df: DataFrame, by: list[str], order: str, value: str, bucket_size: int, levels: int = 2
-) -> DataFrame:
+def previous_value(df: DataFrame, by: list[str], order: str, value: str, bucket_size: int | None = None) -> DataFrame:
     """``_previous``: the value of the row before in ``order``, for groups of any size.
 
-    A plain window would put a whole group in one task. Here windows run over
-    (group, bucket of the integer order); the first row of a bucket takes the last
-    value of the group's previous non-empty bucket, found in the same way one level
-    up, where there is one row per bucket.
+    A prefix scan over range partitions: rows are sorted into partitions by group and
+    order, so a large group lies in several partitions that follow each other. Inside a
+    partition the row before is at hand; the first row of a group there takes the last
+    value that an earlier partition holds of it, found among one row for each partition
+    and group. The sorted rows are stored once, so that both readings see the same partitions.
     """
-    if levels == 0:
-        whole = Window.partitionBy(*by).orderBy(order)
-        return df.withColumn("_previous", F.lag(value).over(whole))
-    bucket = f"_bucket{levels}"
-    inside = Window.partitionBy(*by, bucket).orderBy(order)
-    marked = (
-        df.withColumn(bucket, F.floor(F.col(order) / bucket_size))
-        .withColumn("_lag", F.lag(value).over(inside))
-        .withColumn("_first", F.row_number().over(inside) == 1)
-        .withColumn("_end", F.lead(F.lit(1)).over(inside).isNull())
-    )
-    # The same shuffle as above, which Spark can reuse.
-    ends = marked.filter(F.col("_end")).select(*by, bucket, F.col(value).alias("_last"))
-    carried = previous_value(ends, by, bucket, "_last", bucket_size, levels - 1).select(
-        *by, bucket, F.col("_previous").alias("_carry")
-    )
-    joined = marked.join(carried, [*by, bucket], "left")
-    previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))
-    return joined.select(*df.columns, previous.alias("_previous"))
+    parts = max(1, -(-df.count() // bucket_size)) if bucket_size else None
+    places = [F.col(c) for c in (*by, order)]
+    ranged = df.repartitionByRange(parts, *places) if parts else df.repartitionByRange(*places)
+    placed = cut(ranged.withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*by, "_part").orderBy(order)
+    told = placed.withColumn("_lag", F.lag(value).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
+    ends = placed.groupBy(*by, "_part").agg(F.max_by(value, order).alias("_last"))
+    # a group has as many rows here as partitions
+    carry = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*by).orderBy("_part"))).select(*by, "_part", "_carry")
+    joined = told.join(carry, [*by, "_part"], "left")
+    return joined.select(*df.columns, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")).alias("_previous"))

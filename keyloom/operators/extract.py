@@ -11,11 +11,8 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.checks import is_valid_key
 from keyloom.functions.text import WS_CLASS, after_first, any_contains, ltrim, rtrim, trim, unescape
+from keyloom.operators.stitch import OPENS, QUOTES, line_values
 
-QUOTES = ["\"", "'", "`"]
-# A line that starts a quoted value and does not close it: the text after the
-# opening quote does not end in the same quote.
-_OPENS = rf"""(?s)\A[{WS_CLASS}]*(?:export[{WS_CLASS}]+)?[A-Za-z][A-Za-z0-9_]*[{WS_CLASS}]*=[{WS_CLASS}]*(["'`])(?!.*\1[{WS_CLASS}]*\z)"""
 _SPANS = "array<struct<first:int,last:int>>"
 
 
@@ -80,7 +77,7 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
         marks = F.transform(
             F.col("_lines"),
             lambda line, i: F.struct(
-                i.alias("i"), rtrim(line).alias("text"), F.when(any_contains(line, QUOTES), F.regexp_extract(line, _OPENS, 1)).otherwise("").alias("q"),
+                i.alias("i"), rtrim(line).alias("text"), F.when(any_contains(line, QUOTES), F.regexp_extract(line, OPENS, 1)).otherwise("").alias("q"),
             ),
         )
         zero = F.struct(
@@ -109,7 +106,7 @@ def _statements(files: DataFrame, multiline: bool) -> DataFrame:
             dangling = F.array(F.struct(acc["open"].alias("first"), F.lit(None).cast("int").alias("last")))
             return F.when(acc["open"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], dangling))
 
-        needs_fold = F.col("_quoted") & F.exists("_lines", lambda line: any_contains(line, QUOTES) & line.rlike(_OPENS))
+        needs_fold = F.col("_quoted") & F.exists("_lines", lambda line: any_contains(line, QUOTES) & line.rlike(OPENS))
         rows = rows.withColumn("_marks", F.when(needs_fold, marks)).withColumn(
             "_spans",
             F.when(F.col("_marks").isNull(), F.array().cast(_SPANS)).otherwise(
@@ -173,9 +170,24 @@ def parse_rows(
     unless ``loose_export`` (which strips the bare word too).
     """
     others = [c for c in files.columns if c != "content"]
+    return _parsed(_statements(files, multiline), others, strict, inline_comments, trim_values, loose_export)
+
+
+def parse_lines(
+    lines: DataFrame, by: list[str], strict: bool = False, inline_comments: bool = True, trim_values: bool = True,
+    loose_export: bool = False, levels: int = 2,
+) -> DataFrame:
+    """:func:`parse_rows` of files that come as lines ``(by, line_no, line)``, in any order and spread over any tasks.
+
+    No row holds a file: values that span lines are stitched from blocks (``stitch.line_values``).
+    """
+    return _parsed(line_values(lines, by, levels), by, strict, inline_comments, trim_values, loose_export)
+
+
+def _parsed(statements: DataFrame, others: list[str], strict: bool, inline_comments: bool, trim_values: bool, loose_export: bool) -> DataFrame:
     gap = "*" if loose_export else "+"
     rows = (
-        _statements(files, multiline)
+        statements
         .withColumn("_text", trim("text"))
         .withColumn(
             "_body",

@@ -133,7 +133,8 @@ def export(
     """Document rows ``(file_id, format, section, pos, text)`` for several formats at once.
 
     Each variable explodes into one entry per format (a fixed, short list), so the
-    variables are read once and there is no cross join. JSON objects hold a key once
+    variables are read once and there is no cross join. ``salts`` is accepted for callers
+    of earlier versions; nothing is copied any more. JSON objects hold a key once
     (last value); line formats repeat colliding keys, as the formats' users expect.
     """
     names = list(dict.fromkeys(format_name(f) for f in formats))
@@ -157,7 +158,6 @@ def export(
         header=payload_header(F.col("format"), base64),
         separator=F.when(is_json, ",").otherwise(""),
         footer=F.when(is_json, "}").otherwise(""),
-        salts=salts,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.checks import follows_naming
 from keyloom.functions.placeholders import DEFAULT_PLACEHOLDER, is_placeholder_value, make_placeholder
-from keyloom.operators.joins import join_per_group
+from keyloom.operators.joins import join_skewed
 
 PLAN_COLUMNS = [
     "project_id", "target", "action", "key", "old_value", "new_value", "is_placeholder", "naming_violation",
@@ -66,7 +66,7 @@ def reverse(
         env.select("project_id", "key"), ["project_id", "key"], "left_anti"
     )
     known = env.select("project_id").distinct().withColumn("_has_env", F.lit(True))
-    rows = join_per_group(absent, known, "project_id", "left")
+    rows = join_skewed(absent, known, "project_id", "left", frequencies=example)
     has_env = F.coalesce("_has_env", F.lit(False))
     value = F.when(has_env & F.lit(placeholders), make_placeholder("key", "value")).otherwise(F.col("value"))
     flag = F.when(has_env, F.lit(placeholders)).otherwise(is_placeholder_value("value", default))

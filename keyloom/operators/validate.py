@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import checks
 from keyloom.functions.text import any_contains, trim
 from keyloom.operators.extract import to_lines
-from keyloom.operators.joins import join_per_group
+from keyloom.operators.joins import join_skewed
 
 # Files that mark a project as containerised.
 CONTAINER_FILES = ["docker-compose.yml", "docker-compose.yaml", "Dockerfile", "Containerfile"]
@@ -110,7 +110,7 @@ def validate(
     if containers is not None and "localhost_in_docker" in checks_:
         cond, issue = checks_["localhost_in_docker"]
         rows = env.filter(cond).select("project_id", F.col("key").alias("variable"), issue.alias("i"))
-        inside = join_per_group(rows, containers, "project_id", "left_semi")
+        inside = join_skewed(rows, containers, "project_id", "left_semi")
         parts.append(inside.select("project_id", "variable", "i.*"))
 
     want_missing = "missing_variable" not in ignore
@@ -247,16 +247,39 @@ def rewrite_lines(files: DataFrame, values: DataFrame) -> DataFrame:
         "file_id", F.lit(0).alias("section"), "line_no",
         F.when(F.col("_v").isNull(), line).otherwise(assignment).alias("text"),
     )
-    # Values without a line of their own are few; only these are looked up in the whole text.
+    lost = both.filter(F.col("line_no").isNull()).select("file_id", "_k", "_v", "_p")
+    present = assigned_names(files, lost)
+    known = files.filter(F.col("content").isNotNull()).select("file_id")
     appended = (
-        both.filter(F.col("line_no").isNull())
-        .join(files.select("file_id", "content"), "file_id")
-        .filter(~F.contains(F.col("content"), F.concat("_k", F.lit("="))))
+        lost.join(known, "file_id", "left_semi").join(present, ["file_id", "_k"], "left_anti")
         .select("file_id", F.lit(1).alias("section"), F.col("_p").alias("line_no"), assignment.alias("text"))
     )
     return kept.unionByName(appended)
 
 
+def assigned_names(files: DataFrame, names: DataFrame) -> DataFrame:
+    """``(file_id, _k)`` of the ``names`` that stand right before a ``=`` anywhere in their file's text.
+
+    A file's text is met once, whatever the number of its names: what precedes each ``=`` is
+    cut to the lengths that the file's names have, and the pieces meet the names in a join.
+    Names that hold a ``=`` themselves cannot come from a line; the few that there may be
+    are looked up one by one.
+    """
+    plain = names.filter(~F.col("_k").contains("="))
+    # a file's distinct lengths, not its names
+    lengths = plain.groupBy("file_id").agg(F.collect_set(F.char_length("_k")).alias("_lengths"))
+    texts = files.select("file_id", "content").join(lengths, "file_id")
+    before = F.split("content", "=")
+    pieces = texts.select("file_id", "_lengths", F.explode(F.slice(before, F.lit(1), F.size(before) - 1)).alias("_before"))
+    tail = pieces.withColumn("_before", F.right("_before", F.array_max("_lengths")))
+    ends = F.transform(F.filter("_lengths", lambda n: n <= F.char_length("_before")), lambda n: F.right("_before", n))
+    found = tail.select("file_id", F.explode(ends).alias("_k")).distinct()
+    odd = names.filter(F.col("_k").contains("=")).select("file_id", "_k").join(files.select("file_id", "content"), "file_id").filter(
+        F.contains("content", F.concat("_k", F.lit("=")))
+    )
+    return found.unionByName(odd.select("file_id", "_k"))
+
+
 def summarise(
     issues: DataFrame, env: DataFrame, example: DataFrame, fixes: DataFrame | None = None
 ) -> DataFrame:

@@ -23,6 +23,12 @@ def parse_rows(spark, sf):
     return _rows(spark, sf).select("file_id", "line_no", "key", "raw_value", "value", "quote", "error")
 
 
+@query("parse_line_rows", f"{_PARSED} SELECT file_id, line_no, key, raw_value, value, quote, error FROM parsed")
+def parse_line_rows(spark, sf):
+    lines = E.to_lines(I.CONFIGS.df(spark, sf).select("file_id", "content"), keep="all")
+    return E.parse_lines(lines, ["file_id"]).select("file_id", "line_no", "key", "raw_value", "value", "quote", "error")
+
+
 @query("parse_errors", f"{_PARSED} SELECT project_id, file_id, line_no, error, key FROM parsed WHERE error IS NOT NULL")
 def parse_errors(spark, sf):
     return E.parse_errors(_rows(spark, sf))

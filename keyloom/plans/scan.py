@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import secrets, text
-from keyloom.operators import detect
+from keyloom.operators import detect, rule_table
 from keyloom.operators.extract import to_lines
 from keyloom.plans import inputs as I
 from keyloom.plans import oracle as O
@@ -215,3 +215,31 @@ l AS (SELECT *, coalesce(lag(occurrences) OVER (PARTITION BY file_id ORDER BY ve
 SELECT file_id, ver, previous, occurrences FROM l WHERE occurrences <> previous""")
 def history_pickaxe(spark, sf):
     return detect.history(I.VERSIONS.df(spark, sf), "en")
+
+
+# As many rules as suppliers: some with a literal that no value has, some without any.
+_S = "s_suppkey"
+RULE_TABLE = I.Derived("supplier", {
+    "name": f"concat('rule', {I.text(_S)})",
+    "regex": I.pick(_S, [f"concat('^sk_live_[0-9a-f]*', substr(md5({I.text(_S)}), 1, 1), '$')", f"concat('ghp_', substr(md5({I.text(_S)}), 1, 2))", f"concat('never', {I.text(_S)}, '[a-z]+')",
+                         f"concat('(pw|sk)[-_]?[0-9a-f]', substr(md5({I.text(_S)}), 1, 2))", f"concat('example', {I.text(_S)}, '?$')"]),
+    "confidence": I.pick(_S, ["'high'", "'medium'", "'low'"]), "action_url": "s_name", "prio": "cast(s_suppkey % 11 as int)",
+})
+
+
+@query("rule_table_findings", f"""SELECT doc_id, pattern, confidence, action_url FROM (
+SELECT v.doc_id, r.name AS pattern, r.confidence, r.action_url, row_number() OVER (PARTITION BY v.doc_id ORDER BY r.prio, r.name, r.regex) AS place
+FROM ({I.SECRET_VALUES.sql()}) v JOIN ({RULE_TABLE.sql()}) r ON regexp_matches(v.secret_value, r.regex)) WHERE place = 1""")
+def rule_table_findings(spark, sf):
+    values = I.SECRET_VALUES.df(spark, sf).select("doc_id", F.col("secret_value").alias("value"))
+    return rule_table.scan_rules(values, RULE_TABLE.df(spark, sf), ["doc_id"])
+
+
+@query("history_by_time", """WITH c AS (SELECT user_id, ts, event_id, CAST((length(event_type) - length(replace(event_type, 'e', ''))) AS INTEGER) AS occurrences FROM events),
+u AS (SELECT user_id, ts, max(occurrences) AS occurrences FROM c GROUP BY user_id, ts),
+l AS (SELECT *, coalesce(lag(occurrences) OVER (PARTITION BY user_id ORDER BY ts), 0) AS previous FROM u)
+SELECT user_id, ts, previous, occurrences FROM l WHERE occurrences <> previous""")
+def history_by_time(spark, sf):
+    count = F.char_length("event_type") - F.char_length(F.replace("event_type", F.lit("e"), F.lit("")))
+    events = I.table(spark, sf, "events").groupBy("user_id", "ts").agg(F.max(count.cast("int")).alias("n"))
+    return detect.history(events.select("user_id", "ts", F.repeat(F.lit("e"), F.col("n")).alias("content")), "e", by=("user_id",), order="ts")

@@ -43,7 +43,7 @@ def sarif_rows(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.select(*keys, to_json(result).alias("result"))
 
 
-def sarif_documents(findings: DataFrame, by: str = "project_id", salts: int | None = None) -> DataFrame:
+def sarif_documents(findings: DataFrame, by: str = "project_id") -> DataFrame:
     """One SARIF document per group as rows ``(by, section, file_id, line_no, text)``.
 
     The rows in order concatenate to the document, however many results it has.
@@ -53,7 +53,7 @@ def sarif_documents(findings: DataFrame, by: str = "project_id", salts: int | No
         '"runs":[{"tool":{"driver":{"name":"keyloom scan","version":"1"}},"results":['
     )
     rows = sarif_rows(findings, [by, "file_id", "line_no"])
-    return document_rows(rows, [by], ["file_id", "line_no"], "result", F.lit(head), ",", F.lit("]}]}"), salts)
+    return document_rows(rows, [by], ["file_id", "line_no"], "result", F.lit(head), ",", F.lit("]}]}"))
 
 
 def annotations(issues: DataFrame, fixes: DataFrame | None = None, env_path: str = ".env") -> DataFrame:
