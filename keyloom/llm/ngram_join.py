@@ -392,7 +392,10 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     homes = cut(several.select("region", "doc", "n", "block"))
     loose = cut(homes.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi"))
     rooted = cut(_root_rows(several, percent))
-    told = rooted.join(loose.select("region", "doc", F.lit(True).alias("loose")), ["region", "doc"], "left")
+    # most roots stay in one block: one pre-aggregated look at the keys keeps them out of the joins
+    shared = rooted.groupBy("region", "key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
+    in_several = marked(rooted, "key", shared).where("_marked").drop("_marked")
+    told = in_several.join(loose.select("region", "doc", F.lit(True).alias("loose")), ["region", "doc"], "left")
     asking = told.where("loose").select("region", "doc", F.col("block").alias("home"), "key")
     holding = told.groupBy("region", "key", "block").agg(F.max(F.col("loose").isNull()).alias("firm"))
     touching = F.abs(F.floor(F.col("block") / BAND_BLOCKS) - F.floor(F.col("home") / BAND_BLOCKS)) <= 1
