@@ -1,13 +1,16 @@
 """Quality rules: text counts, and cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space runs to one space) and
-hashed; a line that stands in more than ``max_docs`` documents of one host is removed,
-and a document that keeps less than ``min_share`` of its words is rejected, as are those
-that fail the base rules. ``documents`` name their host in ``source``.
+hashed; a line is removed where more distinct texts of one host hold it than ``max_docs``
+and than ``max_share`` of the host's distinct texts, and a document that keeps less than
+``min_share`` of its words is rejected, as are those that fail the base rules. Copies of a
+text count once: a document is not boilerplate because it was stored often. ``documents``
+name their host in ``source``.
 
 Defined results: a null or empty text has no words and fails the base rules; a null host
-is the host ""; every row is a document of its own, repeated ids and rows included; lines
-without a word are neither counted nor removed. All other columns pass through.
+is the host ""; every row is judged on its own, repeated ids and rows included (rows that
+share an id, or have none, get a stored key); lines without a word are neither counted nor
+removed, texts without one are no texts of their host. All other columns pass through.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, marked
+from .tables import ROW, cut, marked, with_keys
 
 MAX_DOCS = 50
+MAX_SHARE = 0.01
 MIN_SHARE = 0.3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -77,16 +81,26 @@ def measured(docs: DataFrame) -> DataFrame:
     return step.withColumn("_q_failed", (F.col("_q_n") < MIN_WORDS) | (100 * F.col("_q_repeat") > MAX_REPEAT_PERCENT * F.col("_q_n"))).drop("_q_words", "_q_lines", "_q_windows")
 
 
-def frequent_lines(rows: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
-    """(_q_row, h, n): the lines of each row that too many documents of its host hold, with their words."""
-    line = F.explode(F.transform(_lines(F.coalesce("text", F.lit(""))), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(words(x)).alias("n"))))
-    lines = cut(rows.select("_q_row", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), line.alias("line")).select("_q_row", "host", "line.h", "line.n"))
-    frequent = lines.groupBy("host", "h").agg(F.count_distinct("_q_row").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
+def frequent_lines(rows: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(_q_row, h, n): the lines of each row that too many texts of its host hold, with their words.
+
+    Only hosts of so many texts that their share is above ``max_docs`` are joined, and only
+    to lines above ``max_docs``; distinct texts are pre-aggregated in the tasks.
+    """
+    text = F.coalesce("text", F.lit(""))
+    line = F.explode(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(words(x)).alias("n"))))
+    lines = cut(
+        rows.select("_q_row", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("t"), line.alias("line"))
+        .select("_q_row", "host", "t", "line.h", "line.n")
+    )
+    large = lines.groupBy("host").agg(F.count_distinct("t").alias("texts")).where(F.col("texts") * max_share > max_docs)
+    often = lines.groupBy("host", "h").agg(F.count_distinct("t").alias("docs")).where(F.col("docs") > max_docs)
+    frequent = often.join(large, "host", "left").where(F.col("docs") > F.coalesce(F.col("texts") * max_share, F.lit(0.0))).select("host", "h")
     return lines.join(frequent, ["host", "h"]).select("_q_row", "h", "n")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_q_row", F.monotonically_increasing_id())
+    return with_keys(docs).withColumnRenamed(ROW, "_q_row")
 
 
 def _kept(min_share: float) -> Column:
@@ -94,30 +108,30 @@ def _kept(min_share: float) -> Column:
     return ~F.col("_q_failed") & (left >= min_share * F.col("_q_n"))
 
 
-def _judged(rows: DataFrame, host: str, max_docs: int, min_share: float) -> DataFrame:
+def _judged(rows: DataFrame, host: str, max_docs: int, min_share: float, max_share: float) -> DataFrame:
     """The counts and the verdict of each row, and the hashes of its frequent lines (null for none)."""
-    removed = frequent_lines(rows, host, max_docs).groupBy("_q_row").agg(F.sum("n").alias("_q_removed"), F.collect_set("h").alias("_q_hashes"))
+    removed = frequent_lines(rows, host, max_docs, max_share).groupBy("_q_row").agg(F.sum("n").alias("_q_removed"), F.collect_set("h").alias("_q_hashes"))
     digest = measured(rows.select("_q_row", "doc_id", "text")).drop("text")
     return digest.join(removed, "_q_row", "left").withColumn("_q_kept", _kept(min_share))
 
 
-def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """One row per document: the counts, base_failed and kept."""
-    return _judged(_numbered(docs), host, max_docs, min_share).select(
+    return _judged(_numbered(docs), host, max_docs, min_share, max_share).select(
         "doc_id", F.col("_q_n").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"),
         F.col("_q_dup_lines").alias("n_dup_lines"), F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_failed").alias("base_failed"),
         F.col("_q_kept").alias("kept"), F.coalesce("_q_removed", F.lit(0)).cast("long").alias("n_removed_words"),
     )
 
 
-def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """The kept documents without their frequent lines; ``n_chars``, where there is one, is counted anew.
 
     The verdicts are stored first: a filter on them would be pushed below the steps that
     share the words of a text. Only documents that go or change are shuffled.
     """
     rows = _numbered(docs)
-    touched = cut(_judged(rows, host, max_docs, min_share).select("_q_row", "_q_kept", "_q_hashes")).where("not _q_kept or _q_hashes is not null")
+    touched = cut(_judged(rows, host, max_docs, min_share, max_share).select("_q_row", "_q_kept", "_q_hashes")).where("not _q_kept or _q_hashes is not null")
     likely = marked(rows, "_q_row", touched.select("_q_row"))
     changed = likely.where("_marked").join(touched, "_q_row", "left").where("_q_kept is null or _q_kept")
     hashes = F.col("_q_hashes")
@@ -142,12 +156,15 @@ WITH d AS (
 ), repeated AS (
   SELECT r, count(DISTINCT p + k) AS n FROM again, (SELECT unnest(range(0, 3)) AS k) GROUP BY r
 ), lines AS (
-  SELECT r, host, translate(array_to_string(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' '),
+  SELECT r, host, t, translate(array_to_string(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' '),
     '{_UPPER}{_DIGITS}', '{_LOWER}{_ZEROS}') AS line,
     len(list_filter(regexp_split_to_array(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
-  FROM (SELECT r, host, unnest(ls) AS l FROM w)
+  FROM (SELECT r, host, t, unnest(ls) AS l FROM w)
+), hosts AS (
+  SELECT host, count(DISTINCT t) AS texts FROM lines GROUP BY host
 ), frequent AS (
-  SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT r) > {MAX_DOCS}
+  SELECT host, line FROM lines JOIN hosts USING (host) GROUP BY host, line, texts
+  HAVING count(DISTINCT t) > {MAX_DOCS} AND count(DISTINCT t) > texts * CAST({MAX_SHARE} AS double)
 ), removed AS (
   SELECT r, sum(n) AS n FROM lines JOIN frequent USING (host, line) GROUP BY r
 ), x AS (

@@ -155,6 +155,17 @@ def test_quality(make_docs, edge_rows):
     assert quality.clean(make_docs(edge_rows)).count() == 4 and quality.clean(make_docs([])).count() == 0
 
 
+def test_copies_are_one_text_of_their_host(make_docs):
+    """Fifty-one copies are no boilerplate; a line of fifty-one texts is, unless these are a small share of the host."""
+    shared = "this line stands in fifty-one texts"
+    rows = [(i, invented(1, 80), "h") for i in range(51)] + [(100 + i, f"{shared}\n{invented(100 + i, 60)}", "h") for i in range(51)] + [(None, invented(1, 80), "h")]
+    judged = [(r.doc_id, r.kept, r.n_removed_words) for r in quality.judge(make_docs(rows)).collect()]
+    assert sorted((i, n) for i, kept, n in judged if kept and i is not None) == [(i, 0) for i in range(51)] + [(100 + i, 6) for i in range(51)]
+    assert (None, True, 0) in judged and len(judged) == len(rows)
+    assert {r.n_removed_words for r in quality.judge(make_docs(rows), max_share=0.99).collect()} == {0}
+    assert {r.n_removed_words for r in quality.judge(make_docs(rows), max_share=0.97).collect()} == {0, 6}
+
+
 def test_repeated_windows(make_docs):
     text = "a b c d a b c e a b c d x"
     assert quality.judge(make_docs([(1, text)])).first().n_repeat_words == 11
