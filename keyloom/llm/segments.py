@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .tables import ROW, cut, in_batches, keyed, marked
 from .textbytes import SPACES, blocks, combine, hashes, runs, texts
 
-LONG_SENTENCE = 12
 NULL_DOC = (1 << 63) - 1  # a null doc_id comes last
 
 # (start byte, row, hash, words) of each segment; a segment reaches to the next one's start
@@ -48,21 +47,12 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences: they end with a word that ends in . ! or ?, or with the line.
-
-    One of over ``LONG_SENTENCE`` words is also parted after words whose hash is a multiple
-    of 8, so that equal passages are parted alike wherever they begin.
-    """
+    """Sentences: they end with a word that ends in . ! or ?, or with the line; however long, each is whole."""
     start, end, row = runs(data, offsets, SPACES)
-    h = hashes(data, start, end)
     new = _after_newline(data, start)
     closing = np.isin(data[end - 1], [0x21, 0x2E, 0x3F]) if len(end) else np.zeros(0, bool)
     new[1:] |= (row[1:] != row[:-1]) | closing[:-1]
-    if len(h):
-        first = np.flatnonzero(new)
-        long = np.diff(np.append(first, len(h)))[np.cumsum(new) - 1] > LONG_SENTENCE
-        new[1:] |= long[1:] & ((h[:-1] & np.uint64(7)) == 0)
-    return _of_words(start, row, h, new)
+    return _of_words(start, row, hashes(data, start, end), new)
 
 
 def found(docs: DataFrame, finder: Finder, emit: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
