@@ -1,5 +1,6 @@
 """Joins, deduplication and decontamination against brute force."""
 
+import random
 import re
 from itertools import combinations
 
@@ -183,6 +184,65 @@ def test_line_runs(make_docs, edge_rows):
     assert depths == [3, 1]
 
 
+def brute_runs(rows, min_words=8, min_line_words=20):
+    """The lines of every run that stands earlier too, in documents by id and places in order."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = [" ".join(SPACE.findall(lower)) for lower in (text or "").lower().split("\n") if SPACE.findall(lower)]
+        gone = set()
+        for start in range(len(lines)):
+            new = []
+            for end in range(start + 1, len(lines) + 1):
+                run = tuple(lines[start:end])
+                n = sum(len(x.split()) for x in run)
+                if run in seen and (n >= min_line_words if len(run) == 1 else n >= min_words):
+                    gone |= set(range(start, end))
+                new.append(run)
+            seen |= set(new)
+        out[i] = gone
+    return out
+
+
+def test_runs_of_every_length(make_docs):
+    """Few lines in many orders: the lines of all repeated runs go, and no others. Three lines of three words are one run."""
+    rnd = random.Random(11)
+    pool = ["a", "b b", "c c c", "D d d", "e " * 9, "f " * 21, "g", "h h"]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))) for i in range(60)]
+    rows += [(100, "p q r\ns t u\nv w x\nown of it"), (101, "before it\np q r\ns t u\nv w x"), (102, "p q r\ns t u")]
+    rows += [(110, "\n".join("jklmnopq")), (111, "x1\n" + "\n".join("jklmnopq") + "\nx2"), (112, "\n".join("jklmnop"))]
+    out = {r.doc_id: {k for x in r["_removed"] for k in range(x["first"], x["last"] + 1)} for r in line_dedup.dedup(make_docs(rows)).collect()}
+    assert out == brute_runs(rows)
+    assert out[101] == {1, 2, 3} and out[111] == set(range(1, 9)) and out[102] == out[112] == set()
+
+
+def brute_spans(rows, least=2, min_words=10):
+    """The sentences of every shortest run from a sentence on that stands earlier too."""
+    first, spans, out = {}, [], {}
+    for i, text in sorted(rows):
+        sentences = [s for line in (text or "").lower().split("\n") for s in re.findall(r"(?:[^ ]*[^ .!?] +|[^ ]*[^ .!?]$)*(?:[^ ]*[.!?](?= |$))?", line) if s.strip()]
+        out[i] = (sentences, set())
+        for start in range(len(sentences)):
+            for end in range(start + least, len(sentences) + 1):
+                if sum(len(s.split()) for s in sentences[start:end]) >= min_words:
+                    run = tuple(" ".join(s.split()) for s in sentences[start:end])
+                    if first.setdefault(run, (i, start)) != (i, start):
+                        out[i][1].update(range(start, end))
+                    break
+    return {i: gone for i, (_, gone) in out.items()}
+
+
+def test_spans_of_whole_sentences(make_docs):
+    """All repeated spans, by brute force; a long sentence is never cut inside."""
+    rnd = random.Random(12)
+    pool = ["One two.", "Three four five six!", "Seven eight nine ten eleven twelve?", "And no end of it", "Short.", "long " * 30 + "end."]
+    rows = [(i, "".join(rnd.choice(pool) + rnd.choice([" ", "\n"]) for _ in range(rnd.randint(0, 9)))) for i in range(50)]
+    whole = " ".join(f"w{k}" for k in range(120))
+    rows += [(100, whole + "."), (101, f"Other {whole} ends."), (102, " ".join(whole.split()[20:100]))]
+    out = {r.doc_id: {k for x in r["_removed"] for k in range(x["first"], x["last"] + 1)} for r in sentence_dedup.dedup(make_docs(rows)).collect()}
+    assert out == brute_spans(rows)
+    assert not out[101] and not out[102]
+
+
 @pytest.mark.parametrize("same_id", [None, 9])
 def test_rows_without_an_id_of_their_own(spark, make_docs, same_id):
     """Null and shared ids name no row: what one row repeats is cut there, and only there."""
