@@ -8,7 +8,11 @@ filter), and after its first match at place i of T there remain enough words
 (positional filter); what passes is counted exactly. The templates are a parameter and
 travel with the tasks; documents stay in their task, so the join shuffles no text.
 
-A block is a line, or a paragraph of several lines where blank lines part paragraphs.
+A block is a line; a paragraph of several lines, where blank lines part the text; or, for
+a template of n words, a run of lines of one paragraph that begins with any line and goes
+on until the lines after its first one hold n - 1 words or the paragraph ends. A wrapped
+passage of a template therefore lies whole in a run, wherever in a line it begins, and
+a long text without blank lines is not one block that holds every common word.
 
 Defined results: null and empty texts have no words, no label and score 0; repeated
 phrases count at each place, overlapping ones too; a template without words matches
@@ -55,8 +59,8 @@ THRESHOLD = 0.8
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, template_labels array<string>, containment double"
 
 
-def _block_rows(data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-    """Block number of every word, once by lines and once by paragraphs."""
+def _block_rows(data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line and paragraph number of every word, and of those in a text that blank lines part, the paragraph again (else -1)."""
     feed = np.flatnonzero(data == 0x0A)
     line = np.searchsorted(feed, starts)
     before = np.zeros(len(starts), np.int64)
@@ -66,15 +70,26 @@ def _block_rows(data: np.ndarray, starts: np.ndarray, row: np.ndarray) -> list[n
     by_line = np.cumsum(other_row | (before > 0)) - 1
     by_paragraph = np.cumsum(other_row | (before > 1)) - 1
     parted = np.zeros(int(row.max()) + 1 if len(row) else 0, bool)
-    parted[row[~other_row & (before > 1)]] = True  # only texts that blank lines part have paragraphs
-    return [by_line, np.where(parted[row], by_paragraph, -1)] if parted.any() else [by_line]
+    parted[row[~other_row & (before > 1)]] = True
+    return by_line, by_paragraph, np.where(parted[row], by_paragraph, -1)
 
 
-def _word_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _word_blocks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     starts, ends, row = runs(data, offsets, NON_ALNUM)
     return row, hashes(data, starts, ends), _block_rows(data, starts, row)
 
 
+def _last_lines(by_line: np.ndarray, by_paragraph: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per line: the last line of its run for a template of ``n_words`` words, and the runs' first and last words + 1."""
+    lines = int(by_line[-1]) + 1
+    first = np.searchsorted(by_line, np.arange(lines))
+    after = np.append(first[1:], len(by_line))
+    end = np.searchsorted(by_paragraph, by_paragraph[first], "right")  # of the paragraph
+    wanted = np.minimum(after + max(n_words - 1, 0), end)
+    last = np.maximum(by_line[np.maximum(wanted, 1) - 1], np.arange(lines))
+    return last, first, after[last]
+
+
 def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, np.ndarray]]:
     return [(label, np.unique(word_hashes(text, NON_ALNUM))) for label, text in templates]
 
@@ -114,13 +129,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         needed = math.ceil(threshold * len(rank) - 1e-9)
         if rank:
             ordered.append((label, np.array(rank, np.uint64), needed))
+    lengths = {label: len(word_hashes(text, NON_ALNUM)) for label, text in templates}
     vocabulary = np.unique(np.concatenate([w for _, w, _ in ordered])) if ordered else np.zeros(0, np.uint64)
     # word of the vocabulary -> its place in each template (-1: not in it)
     places = np.full((len(ordered), len(vocabulary) + 1), -1, np.int64)
     for t, (_, words, _) in enumerate(ordered):
         places[t, np.searchsorted(vocabulary, words)] = np.arange(len(words))
 
-    def joined(row: np.ndarray, h: np.ndarray, block: np.ndarray, rows: int, labels: list[set[str]], best: np.ndarray) -> None:
+    def joined(row: np.ndarray, h: np.ndarray, block: np.ndarray, labels: list[set[str]], best: np.ndarray) -> None:
         at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
         known = np.flatnonzero((vocabulary[at] == h) & (block >= 0))
         if not len(known):
@@ -131,20 +147,46 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
         owner = np.zeros(int(block.max()) + 1, np.int64)
         owner[block[block >= 0]] = row[block >= 0]
         for t, (label, words, needed) in enumerate(ordered):
-            place = places[t, word]
-            member = place >= 0
-            first = np.full(len(size), len(words), np.int64)
-            np.minimum.at(first, in_block[member], place[member])
-            prefix = first <= len(words) - needed
-            candidate = prefix & (size >= needed) & (len(words) - first >= needed)
-            overlap = np.bincount(in_block[member & candidate[in_block]], minlength=len(size))
-            for b in np.flatnonzero(candidate & (overlap >= needed)).tolist():
-                labels[owner[b]].add(label)
-                best[owner[b]] = max(best[owner[b]], overlap[b] / len(words))
+            met(in_block, places[t, word], size, owner, (label, words, needed), labels, best)
+
+    def met(in_block: np.ndarray, place: np.ndarray, size: np.ndarray, owner: np.ndarray, template: tuple, labels: list[set[str]], best: np.ndarray) -> None:
+        """Label the owners of blocks that meet a template; (in_block, place) are distinct, a place below 0 is none."""
+        label, words, needed = template
+        member = place >= 0
+        first = np.full(len(size), len(words), np.int64)
+        np.minimum.at(first, in_block[member], place[member])
+        prefix = first <= len(words) - needed
+        candidate = prefix & (size >= needed) & (len(words) - first >= needed)
+        overlap = np.bincount(in_block[member & candidate[in_block]], minlength=len(size))
+        for b in np.flatnonzero(candidate & (overlap >= needed)).tolist():
+            labels[owner[b]].add(label)
+            best[owner[b]] = max(best[owner[b]], overlap[b] / len(words))
+
+    def joined_runs(row: np.ndarray, h: np.ndarray, by_line: np.ndarray, by_paragraph: np.ndarray, labels: list[set[str]], best: np.ndarray) -> None:
+        """The same for runs of lines; only those of several lines, and a word counts for all runs that its line is in."""
+        if not len(h):
+            return
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        known = vocabulary[at] == h
+        for t, template in enumerate(ordered):
+            last, first, end = _last_lines(by_line, by_paragraph, lengths[template[0]])
+            place = np.where(known, places[t, at], -1)
+            own = np.flatnonzero(place >= 0)
+            # a run with fewer words of the template than needed, repeats included, can't meet it
+            count = np.concatenate([[0], np.cumsum(place >= 0)])
+            likely = (count[end] - count[first] >= template[2]) & (last > np.arange(len(last)))
+            if not likely.any():
+                continue
+            earliest = np.searchsorted(last, by_line[own])  # last never falls from line to line
+            n = by_line[own] - earliest + 1
+            runs_of = np.repeat(earliest - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            there = likely[runs_of]
+            pair = np.unique(runs_of[there] * len(template[1]) + np.repeat(place[own], n)[there])
+            met(pair // len(template[1]), pair % len(template[1]), end - first, row[first], template, labels, best)
 
     def shard(ids: list, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         rows = len(offsets) - 1
-        row, h, block_rows = _word_blocks(data, offsets)
+        row, h, (by_line, by_paragraph, parted) = _word_blocks(data, offsets)
         n_words = per_row(row, rows)
         begins = np.cumsum(n_words) - n_words
         n_base, base = np.zeros(rows, np.int64), [set() for _ in range(rows)]
@@ -161,8 +203,9 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
                 base[r].add(label)
         more, best = [set() for _ in range(rows)], np.zeros(rows)
         if len(vocabulary):
-            for block in block_rows:
-                joined(row, h, block, rows, more, best)
+            for block in (by_line, parted):
+                joined(row, h, block, more, best)
+            joined_runs(row, h, by_line, by_paragraph, more, best)
         none = n_base == 0
         strings = pa.list_(pa.string())
         return pa.RecordBatch.from_arrays([

@@ -1,6 +1,7 @@
 """Scores, labels, extraction, quality and packing against brute force and held-out accuracy."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -130,14 +131,52 @@ def test_licenses(make_docs, edge_rows):
     assert licenses.scan(make_docs(edge_rows)).count() == len(edge_rows) and licenses.scan(make_docs([])).count() == 0
 
 
+def brute_blocks(text, n_words):
+    """The blocks of a text for a template of ``n_words`` words, as sets of words."""
+    paragraphs = [[]]
+    for line in text.lower().split("\n"):
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", line)
+        if words:
+            paragraphs[-1].append(words)
+        elif paragraphs[-1]:
+            paragraphs.append([])
+    paragraphs = [p for p in paragraphs if p]
+    for lines in paragraphs:
+        for i, line in enumerate(lines):
+            yield set(line)
+            j, after = i, 0
+            while after < n_words - 1 and j + 1 < len(lines):
+                j += 1
+                after += len(lines[j])
+            yield {w for x in lines[i:j + 1] for w in x}
+        if len(paragraphs) > 1:
+            yield {w for x in lines for w in x}
+
+
 def test_similarity_join_is_exact(make_docs):
-    """Every line's containment against every template, counted directly."""
-    templates = [("one", "a b c d e f g h i j"), ("two", "c d x"), ("none", "")]
+    """The containment of every template in every line, run of lines and paragraph, counted directly."""
+    templates = [("one", "a b c d e f g h i j"), ("two", "c d x"), ("none", ""), ("twice", "x a x b x c")]
     rows = [(i, "\n".join(" ".join("abcdefghijxyz"[(i * k + j * j) % 13] for j in range(k + 3)) for k in range(12))) for i in range(40)]
-    found = {r.doc_id: set(r.template_labels) for r in licenses.scan(make_docs(rows), {}, templates).collect()}
+    rnd = random.Random(3)
+    rows += [(100 + i, "".join(rnd.choice("abcdefghijxyz") + rnd.choice(" " * sparse + "\n\n") for _ in range(rnd.randint(1, 60)))) for i in range(300) for sparse in [rnd.choice([1, 4, 12])]]
+    found = {r.doc_id: (set(r.template_labels), r.containment) for r in licenses.scan(make_docs(rows), {}, templates).collect()}
+    several = 0
     for i, text in rows:
-        wanted = {label for label, t in templates if t and any(len(set(t.split()) & set(line.split())) >= math.ceil(0.8 * len(set(t.split()))) for line in text.split("\n"))}
-        assert found[i] == wanted
+        share = {label: max(len(set(t.split()) & b) / len(set(t.split())) for b in brute_blocks(text, len(t.split()))) for label, t in templates if t}
+        wanted = {label: s for label, s in share.items() if s >= math.ceil(0.8 * len(set(dict(templates)[label].split()))) / len(set(dict(templates)[label].split()))}
+        several += 0 < len(wanted) < 3
+        assert found[i] == (set(wanted), pytest.approx(max(wanted.values(), default=0.0)))
+    assert several > 50
+
+
+def test_wrapped_passages(make_docs):
+    """A passage wrapped over lines of a text without blank lines, beginning inside a line; common words far apart are no passage."""
+    passage = licenses.TEMPLATES[0][1]
+    wrapped = re.sub(r"((?:\S+ ){6})", r"\1\n", passage)
+    far = "\n".join(f"{w} {invented(i, 30).split(chr(10))[0]} {invented(50 + i, 40).split(chr(10))[0]}" for i, w in enumerate(passage.split()))
+    docs = make_docs([(1, f"{invented(5, 60)}some words before {wrapped}\n{invented(6, 60)}"), (2, wrapped), (3, far), (4, passage)])
+    found = {r.doc_id: (r.template_labels, r.containment) for r in licenses.scan(docs).collect()}
+    assert found == {1: (["mit-permission"], 1.0), 2: (["mit-permission"], 1.0), 3: ([], 0.0), 4: (["mit-permission"], 1.0)}
 
 
 def test_quality(make_docs, edge_rows):
