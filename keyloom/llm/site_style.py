@@ -10,11 +10,17 @@ page. Nodes that fewer than ``MIN_PAGES`` pages of the host have are judged by t
 all hosts, at every size of host; nodes that as few pages of all hosts have stay.
 
 Elements whose tag, role, class or id says what they are (menus, adverts, scripts ...) are
-cut on every page; text inside ``article`` or ``main`` is preferred to text outside. Should
-nothing be left, the low-importance branches stay.
+cut on every page; text inside ``article`` or ``main`` is preferred to text outside. A class
+or id of several parts says so only if one part names such an element and all others are
+words of layout: ``cookie-notice`` and ``footer-links`` are cut, ``share-price`` and
+``side-effects`` are not. Should nothing be left, the low-importance branches stay.
+
+A page is read once from start to end, at a cost in proportion to its length however broken
+it is: a quote that is never closed is an ordinary character, and where quotes leave no end
+for a tag they count no more from there on.
 
 Defined results: null or empty html gives the empty text; a null url is the host "";
-unclosed and stray tags are read as browsers do; repeated pages each get their row; the
+unclosed and stray tags are read much as browsers do; repeated pages each get their row; the
 columns besides page_id, url and html are ignored.
 """
 
@@ -38,7 +44,7 @@ LOW = 0.3
 # Kinds of HTML elements, and names that say what an element is for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-CUT_TAGS = RAW | frozenset("head nav footer aside form button select option svg canvas object dialog menu audio video map figcaption label fieldset input datalist".split())
+CUT_TAGS = RAW | frozenset("head nav footer aside form button select option svg canvas object dialog menu audio video map label fieldset input datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote body center details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 SAME_CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tbody thead tfoot tr td th", "tfoot": "tbody thead tfoot tr td th"}
@@ -47,14 +53,71 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 CUT_NAMES = frozenset(
     "ad ads adv advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "sidebar side aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login "
-    "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations widget widgets search form copyright legal skip hidden tags meta byline".split()
+    "comment comments commentlist respond reply replies disqus discussion share sharing social related recommended recommendations widget widgets search form copyright skip hidden tags".split()
+)
+LAYOUT = frozenset(
+    "area bar block body bottom box button buttons container content global group heading holder icon icons inner item items layer left link links list "
+    "main mobile module outer page panel primary region right row secondary section site slot sticky text title top unit wrap wrapper".split()
 )
 KEEP_TAGS = frozenset("html body article main #root".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[A-Za-z][^\s/>]*")
+_END_OR_QUOTE = re.compile("[>\"']")
+_PARTS = re.compile(r"[-_0-9]+")
 _ATTRIBUTE = re.compile(r"([^\s/>][^\s/=>]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 
 
+def _says_cut(name: str) -> bool:
+    """Whether a class or id says that its element is none of the article."""
+    if name in CUT_NAMES:
+        return True
+    parts = {p for p in _PARTS.split(name) if p}
+    return bool(parts & CUT_NAMES) and parts <= CUT_NAMES | LAYOUT
+
+
+class _Tokens:
+    """The markup of a page in order: (start, end, "/" or "", tag, attributes); the tag of a comment is empty."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes, self.last = html, True, html.rfind(">")
+        self.open_ended: set[str] = set()  # quotes that are not closed any more
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            name = _NAME.match(html, start + 1)
+            if name:
+                end = self._end(name.end())
+                if end < 0:
+                    return None
+                tag = name[0].lower()
+                slash = tag[0] == "/"
+                return start, end + 1, "/" if slash else "", tag[slash:], html[name.end():end]
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), "", "", ""
+            if html[start + 1:start + 2] in ("!", "?", "/") and start < self.last:
+                return start, html.find(">", start) + 1, "", "", ""
+            at = start + 1
+        return None
+
+    def _end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag, quoted ones left out; -1 if there is none."""
+        place = at
+        while self.quotes and (found := _END_OR_QUOTE.search(self.html, place)):
+            place = found.end()
+            if found[0] == ">":
+                return found.start()
+            if found[0] not in self.open_ended:
+                closed = self.html.find(found[0], place)
+                if closed < 0:
+                    self.open_ended.add(found[0])
+                else:
+                    place = closed + 1
+        self.quotes = False
+        return self.html.find(">", at) if at <= self.last else -1
+
+
 class Page:
     """Elements (parent, key, tag, whether cut, whether inside the main part) and texts (element, block, raw text)."""
 
@@ -62,48 +125,55 @@ class Page:
         self.parent, self.key, self.tag, self.cut, self.main = [-1], ["#root"], ["#root"], [False], [False]
         self.children: list[list[str]] = [[]]
         self.texts: list[tuple[int, int, str]] = []
-        stack, block, at = [0], 0, 0
+        self.stack = [0]
+        self.depths: dict[str, list[int]] = {"#root": [0]}  # where in the stack each tag is open
+        self.scopes = [0]  # where tags of SCOPE are
+        tokens, block, at = _Tokens(html), 0, 0
         while at < len(html):
-            found = _TOKEN.search(html, at)
+            found = tokens.next(at)
             if found is None:
-                self.texts.append((stack[-1], block, html[at:]))
+                self.texts.append((self.stack[-1], block, html[at:]))
                 break
-            if found.start() > at:
-                self.texts.append((stack[-1], block, html[at:found.start()]))
-            at = found.end()
-            tag = (found[2] or "").lower()
+            start, end, closing, tag, attributes = found
+            if start > at:
+                self.texts.append((self.stack[-1], block, html[at:start]))
+            at = end
             if not tag:
                 continue
             if tag not in INLINE:
                 block += 1
-            if found[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[depth]] == tag:
-                        del stack[depth:]
-                        break
-                    if self.tag[stack[depth]] in SCOPE and tag not in SCOPE:
-                        break
+            if closing:
+                depth = self.depths.get(tag) or [0]
+                if depth[-1] > 0 and (tag in SCOPE or depth[-1] > self.scopes[-1]):
+                    self._close_to(depth[-1])
                 continue
-            self._close(stack, tag)
-            attributes = found[3]
-            self._open(stack, tag, attributes)
+            # an open paragraph, or an item or cell of the same list or row, ends
+            ends = [*SAME_CLOSES.get(tag, "").split(), *(["p"] if tag in CLOSES_P else [])]
+            depth = max((self.depths[t][-1] for t in ends if self.depths.get(t)), default=0)
+            if depth > 0 and depth >= self.scopes[-1]:
+                self._close_to(depth)
+            self._open(self.stack, tag, attributes)
+            self.depths.setdefault(tag, []).append(len(self.stack) - 1)
+            if tag in SCOPE:
+                self.scopes.append(len(self.stack) - 1)
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                stack.pop()
+                at = self._raw_end(html, tag, at)
+                self._close_to(len(self.stack) - 1)
             elif tag in VOID:
-                stack.pop()
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        """What a start tag ends: an open paragraph, or an item or cell of the same list or row."""
-        ends = set(SAME_CLOSES.get(tag, "").split()) | ({"p"} if tag in CLOSES_P else set())
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = self.tag[stack[depth]]
-            if open_tag in ends:
-                del stack[depth:]
-                return
-            if open_tag in SCOPE:
-                return
+                self._close_to(len(self.stack) - 1)
+
+    @staticmethod
+    def _raw_end(html: str, tag: str, at: int) -> int:
+        closing = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
+        end = html.find(">", closing.end()) if closing else -1
+        return end + 1 if end >= 0 else len(html)
+
+    def _close_to(self, depth: int) -> None:
+        """Close the elements from this depth of the stack on."""
+        while len(self.stack) > depth:
+            self.depths[self.tag[self.stack.pop()]].pop()
+        while self.scopes[-1] >= depth:
+            self.scopes.pop()
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
         above = stack[-1]
@@ -118,9 +188,8 @@ class Page:
                     role = value.strip("\"'").lower()
                 elif name in ("class", "id"):
                     names += value.strip("\"'").lower().split()
-        words = {w for n in names for w in (n, *re.split(r"[-_0-9]+", n))}
-        drop = tag in CUT_TAGS or hidden or role in CUT_ROLES or bool(words & CUT_NAMES) and tag not in KEEP_TAGS or tag == "header" and not self.main[above]
-        if tag == "article" and "comment" in words:
+        drop = tag in CUT_TAGS or hidden or role in CUT_ROLES or tag not in KEEP_TAGS and any(map(_says_cut, names)) or tag == "header" and not self.main[above]
+        if tag == "article" and any("comment" in _PARTS.split(n) for n in names):
             drop = True
         self.parent.append(above)
         self.key.append(f"{tag}.{'.'.join(sorted(re.sub(r'[0-9]+', '0', n) for n in names))}")

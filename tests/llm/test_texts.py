@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -104,6 +105,51 @@ def test_attributes_are_whole(attributes, kept):
     assert site_style.Page(f"<body><div {attributes}><p>Some text</p></div></body>").text() == ("Some text" if kept else "")
 
 
+@pytest.mark.parametrize(("name", "kept"), [
+    *((n, True) for n in ("share-price", "side-effects", "tags-story", "ad-hoc", "legal", "meta", "header-image", "byline", "promotion-of-health", "search-for-truth", "story", "s1")),
+    *((n, False) for n in ("cookie-notice", "footer-links", "left_sidebar", "ad-slot-3", "related-list", "share-buttons", "comments", "nav-main", "ad1", "newsletter-signup")),
+])
+def test_class_names_are_read_whole(name, kept):
+    """A part of a name that says something else too cuts nothing; captions and bylines are text."""
+    page = f"<article><p>One</p><div class='{name}'><p>Two</p></div><figure><img><figcaption>Three</figcaption></figure></article>"
+    assert site_style.Page(page).text() == ("One Two Three" if kept else "One Three")
+
+
+def test_broken_markup():
+    """Defined results for what never ends."""
+    cases = {
+        "<p>a <b>b<p>c": "a b c", "a < b and c > d": "a < b and c > d", '<p title="x>a</p><p>b': "a b", "<p>a<!-- never": "a", "<p>a<script>x": "a", "a <b": "a <b",
+        "<ul><li>a<ul><li>b</ul><li>c</ul>": "a b c", "<table><tr><td>a<td>b<tr><td>c</table>d": "a b c d", "</p>a</div>b": "a b", "<p>a</p x='>'>b": "a b",
+        "<div><p>a</div>b": "a b", "<p a='>'>x": "x", "<?pi?>a<!x>b</>c": "abc", "<span>a<div>b</span>c</div>d": "a bc d", "<h1>a</h1 <p>b": "a b",
+    }
+    assert {html: site_style.Page(html).text() for html in cases} == cases
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<a href=\"", "<a ", "<!", "</script ", "<td><ul><b>", "<div>", "<p><b><table>", "</x>", "<a b='\"", "<", "<script", "<li><i>", "<p title='x>y</p>", "&amp", "<!--"])
+def test_long_broken_pages(piece):
+    """A megabyte of anything takes time in proportion."""
+    began = time.process_time()
+    page = site_style.Page(piece * (1_000_000 // len(piece)))
+    page.paths()
+    page.text()
+    assert time.process_time() - began < 6
+
+
+def test_boxes_without_telling_names(spark):
+    """Generated sites: the article of every page is found though boxes, tags and classes are chosen at random."""
+    rnd, rows, wanted = random.Random(8), [], {}
+    for site in range(3):
+        boxes = [(f"<{tag} class=x{rnd.randrange(10**6)}>{invented(500 + 10 * site + k, 8)}</{tag}>") for k, tag in enumerate(rnd.choices(["div", "section", "p"], k=4))]
+        body = f"c{rnd.randrange(10**6)}"
+        for i in range(40):
+            n = 100 * site + i
+            parts = [f"<p>{invented(n, 12 + n % 5)}</p>" for n in (1000 + n, 2000 + n)]
+            rows.append((n, f"https://h{site}.x/{n}", f"<body>{boxes[0]}{boxes[1]}<div class={body}>{parts[0]}{boxes[2]}{parts[1]}</div>{boxes[3]}</body>"))
+            wanted[n] = " ".join(" ".join(re.sub("<[^>]*>", " ", p) for p in parts).split())
+    found = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == wanted
+
+
 def test_site_style_cuts_repeated_branches(spark):
     """A box without a telling name goes when all pages of the host repeat it; articles stay."""
     rows = [(i, f"http://h.x/{i}", f"<body><article><p>{invented(i, 30)}</p><div class=q7>Always the same words</div></article></body>") for i in range(30)]
