@@ -46,7 +46,8 @@ SHINGLE = 3
 PERCENT = 90
 SPARE = 2
 ORDERS = 3
-BLOCK_ELEMENTS = 1 << 20
+BLOCK_ELEMENTS = 1 << 19
+TURN_BLOCKS = 2  # sets that visit a block come in turns of so many blocks' elements: a tree takes some ten times the memory of its sets
 BAND_BLOCKS = 1 << 30
 BAND_MARGIN = 1.000001  # a band is a little wider than the ratio of linked sizes, so rounding parts no pair by two
 
@@ -208,11 +209,12 @@ class PrefixTree:
     def __init__(self, sets: list[np.ndarray]):
         flat = np.concatenate(sets)
         self.values, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
-        rank = np.empty(len(count), np.int64)
+        rank = np.empty(len(count), np.int32)  # a block has fewer elements
         rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
         self.rank = rank
         ends = np.cumsum([len(s) for s in sets])
         ranked = [np.sort(x) for x in np.split(rank[inverse], ends[:-1])]
+        del flat, inverse, count
         order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
         start, end, owner, parent, depth, smallest, largest, sets_at = [], [], [], [], [], [], [], []
 
@@ -401,7 +403,7 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     touching = F.abs(F.floor(F.col("block") / BAND_BLOCKS) - F.floor(F.col("home") / BAND_BLOCKS)) <= 1
     # of two loose sets the one in the earlier block visits the other; one that is connected with the region's first makes no visits
     visits = cut(asking.join(holding, ["region", "key"]).where((F.col("block") > F.col("home")) | ((F.col("block") != F.col("home")) & F.col("firm"))).where(touching).select("region", "doc", "block").distinct())
-    asks = visits.join(loose.select("region", "doc", "n"), ["region", "doc"]).groupBy("region", "block").agg(F.ceil(F.sum("n") / block_elements).alias("asks"))
+    asks = visits.join(loose.select("region", "doc", "n"), ["region", "doc"]).groupBy("region", "block").agg(F.ceil(F.sum("n") / (TURN_BLOCKS * block_elements)).alias("asks"))
     turn = F.pmod(F.xxhash64("doc", F.lit(1)), F.col("asks"))
     place = ["region", "block", "turn"]
     asked = cut(visits.join(asks, ["region", "block"]).join(several.select("region", "doc", "elements"), ["region", "doc"]).select("region", "block", turn.alias("turn"), "doc", "elements"))
