@@ -37,8 +37,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), "")
 
 
+def _joined(tokens: Column) -> Column:
+    return F.translate(F.array_join(tokens, " "), _UPPER + _DIGITS, _LOWER + _ZEROS)
+
+
 def _normal(line: Column) -> Column:
-    return F.translate(F.array_join(words(line), " "), _UPPER + _DIGITS, _LOWER + _ZEROS)
+    return _joined(words(line))
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -88,7 +92,8 @@ def frequent_lines(rows: DataFrame, host: str = "source", max_docs: int = MAX_DO
     to lines above ``max_docs``; distinct texts are pre-aggregated in the tasks.
     """
     text = F.coalesce("text", F.lit(""))
-    line = F.explode(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(_normal(x)).alias("h"), F.size(words(x)).alias("n"))))
+    found = F.filter(F.transform(F.split(text, "\n"), words), lambda w: F.size(w) > 0)  # each line is split once
+    line = F.explode(F.transform(found, lambda w: F.struct(F.xxhash64(_joined(w)).alias("h"), F.size(w).alias("n"))))
     lines = cut(
         rows.select("_q_row", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("t"), line.alias("line"))
         .select("_q_row", "host", "t", "line.h", "line.n")
