@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.operators.joins import join_skewed
 from keyloom.functions.text import after_first, any_contains, trim
+from keyloom.operators import pattern_table
 from keyloom.operators.extract import to_lines
+from keyloom.operators.joins import join_skewed
 from keyloom.sources.catalog import SERVICE_GROUPS
 
 _META = ["source_kind", "source_id", "example_value", "description", "category", "required"]
@@ -153,8 +154,8 @@ SEARCH_TITLES = {
 }
 
 
-def search_services(components: DataFrame, terms: list[str]) -> DataFrame:
-    """Case-insensitive search in id, display name and category, for a few terms at once."""
+def search_services(components: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
+    """Case-insensitive search in id, display name and category, for a few terms or a table ``(term)`` of any length."""
     titles = F.when(F.lit(False), F.array().cast("array<string>"))
     for group, names in SEARCH_TITLES.items():
         titles = titles.when(F.col("scope") == group, F.array(*map(F.lit, names)))
@@ -164,13 +165,15 @@ def search_services(components: DataFrame, terms: list[str]) -> DataFrame:
     )
 
 
-def search_frameworks(components: DataFrame, language: str, terms: list[str]) -> DataFrame:
+def search_frameworks(components: DataFrame, language: str, terms: list[str] | DataFrame) -> DataFrame:
     rows = components.filter((F.col("kind") == "framework") & (F.col("scope") == language))
     return _matches(rows, terms, with_category=False).select("catalog_id", "term", "component_id", "display_name")
 
 
-def _matches(rows: DataFrame, terms: list[str], with_category: bool) -> DataFrame:
+def _matches(rows: DataFrame, terms: list[str] | DataFrame, with_category: bool) -> DataFrame:
     fields = ["component_id", "display_name"] + (["category"] if with_category else [])
+    if isinstance(terms, DataFrame):
+        return pattern_table.search(rows, ["catalog_id", "scope", "component_id", "display_name"], fields, terms)
     text = F.array(*[F.lower(F.coalesce(f, F.lit(""))) for f in fields])
 
     def has(term: str) -> Column:

@@ -126,6 +126,29 @@ def resolve_stacks(spark, sf):
     return _resolved(spark, sf).drop("catalog_id")
 
 
+def _stack_texts(spark, sf) -> DataFrame:
+    """Catalog documents of one stack each: the components of an order, nested as a catalog file has them."""
+    chosen = _stacks(spark, sf)
+    kind, source_id = F.col("source_kind"), F.col("source_id")
+    # an order has at most seven lines
+    services = F.transform(F.array_sort(F.collect_list(F.when(kind == "service", F.struct("ord", source_id.alias("id"))))), lambda x: x["id"])
+    parts = chosen.groupBy("catalog_id", "stack_id").agg(
+        F.max(F.when(kind == "framework", F.col("language"))).alias("language"), F.max(F.when(kind == "framework", source_id)).alias("framework"),
+        services.alias("services"), F.max(F.when(kind == "infrastructure", source_id)).alias("infra"),
+    )
+    components = F.struct("language", "framework", "services", F.array_compact(F.array("infra")).alias("infrastructure"))
+    stack = F.create_map("stack_id", F.struct(F.concat(F.lit("Stack "), "stack_id").alias("name"), components.alias("components")))
+    return parts.select("catalog_id", F.to_json(F.struct(stack.alias("stacks"))).alias("json"))
+
+
+@query("resolve_nested", f"WITH {_vars_sql()}, {_SEL} SELECT * FROM res")
+def resolve_nested(spark, sf):
+    """From nested catalog documents: stacks, their selections, and the variables of both kinds of components."""
+    catalogs = source.parse_catalogs(_texts(spark, sf).unionByName(_stack_texts(spark, sf)))
+    flat = C.flatten(C.first_groups(source.components(catalogs)))
+    return C.resolve(C.selections(source.stacks(catalogs)), flat).drop("catalog_id")
+
+
 @query("source_rollup", f"WITH {_vars_sql()}, {_SEL} SELECT stack_id, source_kind, CAST(count(*) AS BIGINT) AS n_vars FROM res GROUP BY stack_id, source_kind")
 def source_rollup(spark, sf):
     return C.rollup_sources(_resolved(spark, sf)).drop("catalog_id")
@@ -182,6 +205,17 @@ def framework_search(spark, sf):
     return C.search_frameworks(_components(spark, sf), "lang1", ["2", "NATION_1"]).drop("catalog_id")
 
 
+# As many terms as suppliers; some are short, empty, or differ in case only.
+_TERMS = I.Derived("supplier", {"term": I.pick("s_suppkey", ["upper(s_name)", I.text("s_suppkey"), "'s'", "'S'", "concat('group ', cast(s_nationkey as string))", "''", "concat('dis', cast(s_nationkey as string))"])})
+
+
+@query("catalog_search_table", f"""WITH t AS (SELECT DISTINCT term FROM ({_TERMS.sql()})), s AS ({I.SERVICES.sql()})
+SELECT term, id AS component_id, display AS display_name, unnest({_TITLES}[scope]) AS group_title FROM s JOIN t
+ON contains(lower(id), lower(term)) OR contains(lower(display), lower(term)) OR contains(lower(coalesce(category, '')), lower(term))""")
+def catalog_search_table(spark, sf):
+    return C.search_services(C.first_groups(_components(spark, sf)).withColumn("kind", F.lit("service")), _TERMS.df(spark, sf)).drop("catalog_id")
+
+
 @query("service_listing", f"""SELECT id AS component_id, display AS display_name, CAST(list_position({GROUPS}, scope) - 1 AS INTEGER) AS group_rank,
 {list(source.SERVICE_GROUPS.values())}[list_position({GROUPS}, scope)] AS group_title FROM ({I.SERVICES.sql()})""")
 def service_listing(spark, sf):

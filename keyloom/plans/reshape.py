@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions.placeholders import is_placeholder_value, make_placeholder
+from keyloom.operators import pattern_table
 from keyloom.operators import reshape as R
 from keyloom.operators import sync as S
 from keyloom.operators import upsert as U
@@ -84,6 +85,23 @@ def filter_key_lists(spark, sf):
     return R.select_keys_any(I.EXAMPLE.df(spark, sf), ["OPT_?", "*_URL", "S*KEY"], ["OPT_?", "API*"]).select("project_id", "key")
 
 
+# As many key patterns as nations, with the regex that means the same.
+_WANTED = I.Derived("nation", {
+    "pattern": I.pick("n_nationkey", ["concat('OPT_', cast(n_nationkey as string), '*')", "'*_URL'", "'S*KEY'", "'???????'", "concat('A*', substr(n_name, 1, 1))"]),
+    "regex": I.pick("n_nationkey", ["concat('OPT_', cast(n_nationkey as string), '.*')", "'.*_URL'", "'S.*KEY'", "'.{7}'", "concat('A.*', substr(n_name, 1, 1))"]),
+})
+_UNWANTED = I.Derived("nation", {
+    "pattern": I.pick("n_nationkey", ["concat('OPT_', cast(n_nationkey as string), '?')", "concat(n_name, '*')", "concat('*T_', cast(n_nationkey as string))"]),
+    "regex": I.pick("n_nationkey", ["concat('OPT_', cast(n_nationkey as string), '.')", "concat(n_name, '.*')", "concat('.*T_', cast(n_nationkey as string))"]),
+})
+
+
+@query("filter_key_table", f"""SELECT project_id, key FROM ({I.EXAMPLE.sql()}) e WHERE EXISTS (SELECT 1 FROM ({_WANTED.sql()}) WHERE regexp_full_match(e.key, regex))
+AND NOT EXISTS (SELECT 1 FROM ({_UNWANTED.sql()}) WHERE regexp_full_match(e.key, regex))""")
+def filter_key_table(spark, sf):
+    return pattern_table.select_keys(I.EXAMPLE.df(spark, sf), _WANTED.df(spark, sf), _UNWANTED.df(spark, sf)).select("project_id", "key")
+
+
 def _camel(k: str) -> str:
     parts = f"string_split({k}, '_')"
     tail = f"list_transform(list_filter({parts}[2:], lambda p: p <> ''), lambda p: upper(left(p, 1)) || lower(substr(p, 2)))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions import secrets, text
-from keyloom.operators import detect, rule_table
+from keyloom.operators import detect, pattern_table, rule_table
 from keyloom.operators.extract import to_lines
 from keyloom.plans import inputs as I
 from keyloom.plans import oracle as O
@@ -188,6 +188,26 @@ def path_filter(spark, sf):
     )
 
 
+# As many exclude patterns as suppliers, globs and plain parts, beside the regex that means the same.
+_N = I.text("s_suppkey")
+EXCLUDES = I.Derived("supplier", {
+    "pattern": I.pick("s_suppkey", [f"concat('*', {_N}, '/src/*')", f"concat('*', {_N}, '?/*.y[am]*')", f"concat({_N}, '/docs')", f"concat('*', {_N}, '/**/a.json')", f"concat('*', {_N}, '/notes.??')", f"concat({_N}, '/*[!a-z]*')"]),
+    "regex": I.pick("s_suppkey", [f"concat('^.*', {_N}, '/src/.*$')", f"concat('^.*', {_N}, './.*[.]y[am].*$')", f"concat({_N}, '/docs')", f"concat('^.*', {_N}, '/(.*/)?a[.]json$')", f"concat('^.*', {_N}, '/notes[.]..$')", f"concat('^', {_N}, '/.*[^a-z].*$')"]),
+})
+_IN_FOLDERS = I.Derived(I.INVENTORY, {"file_id": "file_id", "path": "concat(file_id, '/', path)"})
+
+
+@query("exclude_table", f"""SELECT DISTINCT path, pattern FROM ({_IN_FOLDERS.sql()}) JOIN ({EXCLUDES.sql()}) ON regexp_matches(path, regex)""")
+def exclude_table(spark, sf):
+    return pattern_table.excluded_paths(_IN_FOLDERS.df(spark, sf), EXCLUDES.df(spark, sf))
+
+
+@query("exclude_table_targets", f"""SELECT file_id, path FROM ({_IN_FOLDERS.sql()}) i WHERE NOT {O.any_in('path', _BUILT_IN)}
+AND NOT EXISTS (SELECT 1 FROM ({EXCLUDES.sql()}) WHERE regexp_matches(i.path, regex))""")
+def exclude_table_targets(spark, sf):
+    return pattern_table.without_excluded(_IN_FOLDERS.df(spark, sf), EXCLUDES.df(spark, sf)).select("file_id", "path")
+
+
 @query("scan_targets", f"""SELECT file_id FROM ({I.INVENTORY.sql()}) WHERE regexp_matches(path, '(^|/)(\\.env|Dockerfile|Makefile|[^/]+\\.(json|yml|yaml|toml|txt|py|js))$')
 AND NOT {O.any_in('path', _BUILT_IN)}""")
 def scan_targets(spark, sf):
