@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyloom.llm import licenses, lm_score, packing, quality, site_style, toxicity
@@ -52,6 +53,26 @@ def test_base_scores_and_model(make_docs, edge_rows):
     assert lm_score.score(make_docs([])).count() == 0
 
 
+def test_tables_grow_with_the_vocabulary():
+    sizes = [lm_score.table_bits(n) for n in (0, 1, 1 << 13, (1 << 13) + 1, 1 << 15, 1 << 16, 1 << 30)]
+    assert sizes == [18, 18, 18, 19, 20, 21, lm_score.MOST_BITS] and lm_score.MOST_BITS == 21
+    words = pa.array([b"\x01abc", b"\x01"], pa.binary())
+    for bits in (18, 20):
+        slots = [s for _, _, _, each in lm_score.Bits(words, bits).each() for s in each]
+        assert len(slots) == 8 * lm_score.ORDERS and all(0 <= s.min() and s.max() < 1 << bits for s in slots)
+
+
+def test_larger_tables_predict_unseen_texts_better(make_docs, monkeypatch):
+    docs = make_docs([(i, invented(i, 60)) for i in range(300)])
+    found = {}
+    for bits in (8, 18):
+        monkeypatch.setattr(lm_score, "LEAST_BITS", bits)
+        monkeypatch.setattr(lm_score, "MOST_BITS", bits)
+        rows = lm_score.score(docs).where("held_out").collect()
+        found[bits] = sum(r.bits_per_byte for r in rows) / len(rows)
+    assert found[18] < found[8]
+
+
 def test_toxicity(spark, make_docs, edge_rows):
     bad = ["moron", "scumbag", "vilou"]
     rows, labels = [], []
