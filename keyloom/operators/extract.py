@@ -175,7 +175,7 @@ def parse_rows(
 
 def parse_lines(
     lines: DataFrame, by: list[str], strict: bool = False, inline_comments: bool = True, trim_values: bool = True,
-    loose_export: bool = False, levels: int = 2,
+    loose_export: bool = False, levels: int = 1,
 ) -> DataFrame:
     """:func:`parse_rows` of files that come as lines ``(by, line_no, line)``, in any order and spread over any tasks.
 

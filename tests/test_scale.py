@@ -136,6 +136,15 @@ def test_stitched_lines_parse_like_whole_files(spark, make_files):
     assert [tuple(r) for r in by_lines.orderBy("line_no").collect()] == whole
 
 
+def test_stitching_takes_marked_lines_only_and_keeps_files_without_a_name(spark):
+    text = ["A=1", "B='x", "y", "z' ", "C=2", 'D="never', "E=3"]
+    lines = spark.createDataFrame([(f, i + 1, t) for f in (None, "f") for i, t in enumerate(text)], "file_id string, line_no int, line string")
+    states = stitch.entry_states(stitch._marked(lines, ["file_id"]), ["file_id"], 1, 2).where("file_id = 'f'").orderBy("i")
+    assert [(r.i, r.state, r.after) for r in states.collect()] == [(1, 0, 2), (3, 2, 0), (5, 0, 1)]
+    got = stitch.line_values(lines, ["file_id"], 1, 2).where("file_id is null").orderBy("line_no").collect()
+    assert [(r.line_no, r.text, r.ended) for r in got] == [(1, "A=1", True), (2, "B='x\ny\nz' ", True), (5, "C=2", True), (6, 'D="never\nE=3', False)]
+
+
 @pytest.mark.parametrize(("regex", "literal"), [
     ("sk_live_[0-9a-z]{24}", "sk_live_"), ("(?:a|b)token=[0-9]+", "token="), ("ab?cde", "cde"), ("abc{0,2}de", "ab"), ("abc+def", "abc"), ("x|abcdef", ""),
     (r"\bghp_\w{36}\b", "ghp_"), (r"[abc]def[]x]gh", "def"), (r"a\.b\.c", "a.b.c"), ("(?i)SECRET", ""), ("(abc)", ""), (r"\x41BCD", "bcd"), (r"\Qa.b\E", ""), ("a", ""),
