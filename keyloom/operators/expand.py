@@ -1,8 +1,10 @@
 """Expansion of ``${NAME}`` / ``$NAME`` inside a file's own variables.
 
-Only values that hold a reference take part. A value is a list of segments; each
-round joins the open references on (file, name) and splices in the segments of the
-named value, so the number of rounds is the nesting depth, not the number of keys.
+Only values that hold a reference take part. A value is a list of pieces, each a literal
+text with at most one open reference behind it; a piece is a row of its own. Each round
+joins the open references on (file, name) and puts the pieces of the named value in their
+place, so the number of rounds is the nesting depth, not the number of keys. A round is one
+exchange of pieces; they are put together once, at the end.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 10
 # Plain runs, ${..} (to the end of the text if unclosed), $name, lone $.
 _SEGMENTS = r"(?s)[^$]+|\$\{[^}]*\}?|\$[A-Za-z0-9_]+|\$"
+# A literal (lone $ included) and the reference behind it.
+_REF = r"\$\{[^}]*\}?|\$[A-Za-z0-9_]+"
+_PIECES = rf"(?s)(?:[^$]++|\$(?![{{A-Za-z0-9_]))*+(?:{_REF})?"
 _FILE = ["project_id", "file_id"]
 
 
@@ -52,10 +57,13 @@ def undefined_references(vars_: DataFrame) -> DataFrame:
     )
 
 
-def _cut_after_error(parts: Column) -> Column:
-    """Nothing behind the first error matters: a reader stops there."""
-    at = F.array_position(F.transform(parts, lambda s: s["kind"] == "err"), True)
-    return F.when(at > 0, F.slice(parts, F.lit(1), at.cast("int"))).otherwise(parts)
+def _pieces(value: Column) -> Column:
+    """Pieces of a raw value, in text order: literal ``text``, and its open reference ``ref`` or null."""
+    ref = lambda p: F.regexp_extract(p, rf"(?s)({_REF})\z", 1)
+    return F.transform(
+        F.filter(F.regexp_extract_all(value, F.lit(_PIECES), F.lit(0)), lambda p: p != ""),
+        lambda p: F.struct(F.left(p, F.char_length(p) - F.char_length(ref(p))).alias("text"), F.nullif(ref(p), F.lit("")).alias("ref")),
+    )
 
 
 def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -71,68 +79,54 @@ def expand(vars_: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     no_text = F.lit(None).cast("string")
     base = vars_.select(*keys, "value")
     plain = base.filter(~has_ref).select(*keys, "value", no_text.alias("error"), no_text.alias("detail"))
-    state = base.filter(has_ref).select(*keys, segments("value").alias("parts"))
-    table = base.select(*_FILE, F.col("key").alias("_k"), segments("value").alias("target"))
-    deeper, last = _splice(False), _splice(True)
+    # Without expressions on the value, so that Spark sees the same exchange in every round.
+    table = base.select(*_FILE, F.col("key").alias("_k"), F.col("value").alias("target"))
+    state = base.filter(has_ref).select(*keys, F.posexplode(_pieces(F.col("value"))).alias("_at", "_p")).select(
+        *keys, F.array("_at").alias("place"), "_p.text", "_p.ref", F.array().cast("array<string>").alias("path"),
+        no_text.alias("error"), no_text.alias("detail"),
+    )
     for depth in range(max_depth + 1):
-        state = _round(state, table, keys, last if depth == max_depth else deeper)
-    first_error = F.get(F.filter("parts", lambda s: s["kind"] == "err"), F.lit(0))
-    resolved = state.select(
+        state = _round(state, table, keys, depth == max_depth)
+    # The group is one value's own pieces, never a file or a project.
+    gathered = state.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "text", "error", "detail"))).alias("_g"))
+    first_error = F.get(F.filter("_g", lambda p: p["error"].isNotNull()), F.lit(0))
+    resolved = gathered.select(
         *keys,
-        F.when(first_error.isNull(), F.array_join(F.col("parts.text"), "")).alias("value"),
-        first_error["name"].alias("error"), first_error["text"].alias("detail"),
+        F.when(first_error.isNull(), F.array_join(F.col("_g.text"), "")).alias("value"),
+        first_error["error"].alias("error"), first_error["detail"].alias("detail"),
     )
     return plain.unionByName(resolved)
 
 
-def _splice(last: bool) -> Column:
-    """What a joined reference becomes: an error, a literal, or its target's segments."""
-    path, name, text, target = F.col("path"), F.col("name"), F.col("text"), F.col("target")
+def _round(state: DataFrame, table: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """Replace every open reference by what it stands for: an error, a literal, or its target's pieces."""
+    ref, path, text, place = F.col("ref"), F.col("path"), F.col("text"), F.col("place")
+    # A closed piece has a key no variable can have, so it neither matches nor piles up under null.
+    own = F.concat(F.lit("\n"), F.col("key"), F.lit("\n"), F.array_join(place.cast("array<string>"), ","))
+    joined = state.withColumn("_k", F.coalesce(_name(ref), own)).join(table, [*_FILE, "_k"], "left").withColumn("_t", _pieces(F.col("target")))
+    name, target, none = F.col("_k"), F.col("target"), F.lit(None).cast("string")
 
-    def one(kind: str, text_: Column, name_: Column) -> Column:
-        return F.array(
-            F.struct(F.lit(kind).alias("kind"), text_.alias("text"), name_.alias("name"), path.alias("path"))
-        )
+    def one(text_: Column, error: Column = none, detail: Column = none) -> Column:
+        return F.array(F.struct(place.alias("place"), text_.alias("text"), none.alias("ref"), path.alias("path"), error.alias("error"), detail.alias("detail")))
 
     def err(kind: str, detail: Column) -> Column:
-        return one("err", detail, F.lit(kind))
+        return one(text, F.lit(kind), detail)
 
     cycle = F.concat(F.array_join(path, " → "), F.lit(" → "), name)
     spliced = F.transform(
-        target,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["text"].alias("text"), s["name"].alias("name"),
-            F.concat(path, F.array(name)).alias("path"),
+        "_t",
+        lambda p, i: F.struct(
+            F.when(F.size("_t") > 1, F.concat(place, F.array(i))).otherwise(place).alias("place"),
+            F.when(i == 0, F.concat(text, p["text"])).otherwise(p["text"]).alias("text"), p["ref"].alias("ref"),
+            F.concat(path, F.array(name)).alias("path"), none.alias("error"), none.alias("detail"),
         ),
     )
-    return (
-        F.when(F.array_contains(path, name), err("CircularExpansion", cycle))
-        .when(target.isNull() & text.startswith("${"), err("UndefinedVariable", name))
-        .when(target.isNull(), one("lit", text, F.lit(None).cast("string")))
-        .otherwise(err("ExpansionDepthExceeded", name) if last else spliced)
-    )
-
-
-def _merged(parts: Column) -> Column:
-    """A value without references or errors is one literal."""
-    none = F.lit(None).cast("string")
-    whole = F.struct(
-        F.lit("lit").alias("kind"), F.array_join(F.transform(parts, lambda s: s["text"]), "").alias("text"),
-        none.alias("name"), F.array().cast("array<string>").alias("path"),
-    )
-    return F.when(F.forall(parts, lambda s: s["kind"] == "lit"), F.array(whole)).otherwise(parts)
-
-
-def _round(state: DataFrame, table: DataFrame, keys: list[str], spliced: Column) -> DataFrame:
-    """Replace every open reference by what it stands for."""
-    flat = state.select(*keys, F.posexplode("parts").alias("at", "s")).select(*keys, "at", "s.*")
-    # A literal has a key no variable can have, so it neither matches nor piles up under null.
-    is_ref = F.col("kind") == "ref"
-    own = F.concat(F.lit("\n"), F.col("key"), F.lit("\n"), F.col("at").cast("string"))
-    joined = flat.withColumn("_k", F.when(is_ref, F.col("name")).otherwise(own)).join(table, [*_FILE, "_k"], "left")
-    new = F.when(is_ref, spliced).otherwise(F.array(F.struct("kind", "text", "name", "path")))
-    # The group is one value's own segments, never a file or a project.
-    gathered = joined.select(*keys, "at", new.alias("new")).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("at", "new"))).alias("_g")
+    kept = F.array(F.struct("place", "text", "ref", "path", "error", "detail"))
+    new = (
+        F.when(ref.isNull(), kept)
+        .when(F.array_contains(path, name), err("CircularExpansion", cycle))
+        .when(target.isNull() & ref.startswith("${"), err("UndefinedVariable", name))
+        .when(target.isNull(), one(F.concat(text, ref)))
+        .otherwise(err("ExpansionDepthExceeded", name) if last else F.when(target == "", one(text)).otherwise(spliced))
     )
-    return gathered.select(*keys, _merged(_cut_after_error(F.flatten(F.col("_g.new")))).alias("parts"))
+    return joined.select(*keys, F.explode(new).alias("_p")).select(*keys, "_p.*")

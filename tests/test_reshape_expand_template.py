@@ -183,3 +183,13 @@ def test_undefined_names(spark, make_vars):
     t = templates(spark, "${B} {{A|upper}} $C {{D}} $B")
     got = template.undefined(t, make_vars({"p": {"A": "1"}})).orderBy("pos").collect()
     assert [r.name for r in got] == ["B", "C", "D"]
+
+
+def test_pieces_are_put_together_once(make_vars):
+    chain = {f"K{i}": f"{i}/${{K{i - 1}}}" for i in range(1, 9)}
+    out = expand.expand(make_vars({"p": {"K0": "", "L": "$ $$K0|$NO.${K2", "M": "${K3}-${GONE}${K4}", **chain}}))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+    rows = {r.key: (r.value, r.error, r.detail) for r in out.collect()}
+    assert rows["K8"] == ("8/7/6/5/4/3/2/1/", None, None) and rows["K0"] == ("", None, None)
+    assert rows["L"] == ("$ $|$NO.2/1/", None, None)
+    assert rows["M"] == (None, "UndefinedVariable", "GONE")
