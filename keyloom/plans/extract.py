@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keyloom.operators import expand as X
 from keyloom.operators import extract as E
 from keyloom.operators import template as T
+from keyloom.operators.checkpoints import cut
 from keyloom.plans import inputs as I
 from keyloom.plans import oracle as O
 from keyloom.plans.registry import query
@@ -137,7 +138,9 @@ def expand_vars(spark, sf):
 @query("expand_configs", f"""{_PARSED}, {_VARS} SELECT v.file_id, v.key, replace(replace(v.value, '${{ORDER_ID}}', i.value), '$STATUS', coalesce(s.value, '$STATUS')) AS value
 FROM vars v LEFT JOIN vars i ON i.file_id = v.file_id AND i.key = 'ORDER_ID' LEFT JOIN vars s ON s.file_id = v.file_id AND s.key = 'STATUS'""")
 def expand_configs(spark, sf):
-    return X.expand(E.parse_vars(I.CONFIGS.df(spark, sf))).select("file_id", "key", "value")
+    # Every round looks the variables up: they are parsed and written once.
+    vars_ = cut(E.parse_vars(I.CONFIGS.df(spark, sf)).select("project_id", "file_id", "key", "line_no", "value"))
+    return X.expand(vars_).select("file_id", "key", "value")
 
 
 @query("undefined_refs", f"""WITH v AS ({I.CHAINS.sql()}), r AS (SELECT file_id, key, regexp_extract(value, '\\$\\{{?([A-Za-z0-9_]+)\\}}?$', 1) AS name, contains(value, '{{') AS braced FROM v)

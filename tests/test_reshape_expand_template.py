@@ -193,3 +193,10 @@ def test_pieces_are_put_together_once(make_vars):
     assert rows["K8"] == ("8/7/6/5/4/3/2/1/", None, None) and rows["K0"] == ("", None, None)
     assert rows["L"] == ("$ $|$NO.2/1/", None, None)
     assert rows["M"] == (None, "UndefinedVariable", "GONE")
+
+
+def test_configs_are_parsed_once_for_all_rounds(spark):
+    from __spark_entry__ import queries
+
+    plan = queries()["expand_configs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan
