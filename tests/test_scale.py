@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import detect, extract, joins, rule_table, stitch, template, validate
+from keyloom.operators import catalog, detect, extract, joins, rule_table, stitch, template, validate
 from keyloom.operators.documents import document_rows
 from keyloom.sources import reports
 
@@ -174,3 +174,25 @@ def test_rule_table_equals_running_all(spark):
     pairs = rule_table.candidates(units.withColumn("_unit", F.col("id")), rule_table.numbered(table))
     assert pairs.count() < 0.1 * len(values) * len(rules)
     assert rule_table.scan_rules(units, table.limit(0), ["id"]).count() == 0
+
+
+def test_resolve_shuffles_names_only(spark, no_broadcast):
+    rng = random.Random(11)
+    texts = [("c", "service", "", f"s{i}", p, f"V{rng.randrange(40)}", f"{i}-{p}" + "x" * 500, None, "Service", p == 1) for i in range(30) for p in range(4)]
+    texts += [("c", "framework", f"l{i}", "f", 0, f"V{i}", f"f{i}", "d", None, True) for i in range(3)]
+    flat = spark.createDataFrame(texts, "catalog_id string, source_kind string, scope string, source_id string, pos int, var string, example_value string, description string, category string, required boolean")
+    picks = [("c", f"t{t}", 2, o, "service", None, f"s{rng.randrange(33)}") for t in range(200) for o in range(rng.randint(0, 9))]
+    picks += [("c", f"t{t}", 1, 0, "framework", rng.choice(["l0", "l1", "l9", None]), "f") for t in range(0, 200, 2)] + [("c", None, 2, 0, "service", "l1", "s1")]
+    selected = spark.createDataFrame(picks, "catalog_id string, stack_id string, stage int, ord int, source_kind string, language string, source_id string")
+    expected = {}
+    for _, stack, stage, o, kind, language, source in picks:
+        for _, k, scope, s, pos, var, *meta in texts:
+            if (k, s) == (kind, source) and (kind != "framework" or scope == language):
+                order = (stage, o, pos, source)
+                expected[stack, var] = min(expected.get((stack, var), (order, kind, source, *meta)), (order, kind, source, *meta), key=lambda e: e[0])
+    resolved = catalog.resolve(selected, flat)
+    got = {(r.stack_id, r["var"]): r[3:] for r in resolved.collect()}
+    assert got == {k: tuple(v[1:]) for k, v in expected.items()} and resolved.count() == len(expected)
+    plan = resolved._jdf.queryExecution().executedPlan().toString()
+    by_stack = [line for line in plan.split("\n") if "hashpartitioning(catalog_id" in line and "stack_id" in line]
+    assert len(by_stack) == 1 and "var#" not in by_stack[0]
