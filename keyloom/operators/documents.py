@@ -25,11 +25,12 @@ def document_rows(
     with equal order, the one without a separator comes first. No task gathers a document
     and nothing is copied: equal entries are counted, and the first of a document, which
     alone has no separator before it, is found by a join on its whole place, which is not
-    hot however long the document. Header and footer rows have null order columns; empty
-    ones are left out.
+    hot however long the document. Rows are dealt by their place before they are counted:
+    most are unique, and counts beside the reader would hold a whole split of them in one
+    task. Header and footer rows have null order columns; empty ones are left out.
     """
     place = list(dict.fromkeys([*order, text]))
-    counted = rows.groupBy(*keys, *place).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.repartition(*keys, *place).groupBy(*keys, *place).agg(F.count(F.lit(1)).alias("_n"))
     first = counted.groupBy(*keys).agg(F.min(F.struct(*place)).alias("_first"))
     sep = F.lit(separator) if isinstance(separator, str) else separator
     named = first.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[F.col(f"_first.{c}").alias(f"_at_{c}") for c in place], F.lit(True).alias("_is_first"))

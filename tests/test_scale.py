@@ -196,3 +196,12 @@ def test_resolve_shuffles_names_only(spark, no_broadcast):
     plan = resolved._jdf.queryExecution().executedPlan().toString()
     by_stack = [line for line in plan.split("\n") if "hashpartitioning(catalog_id" in line and "stack_id" in line]
     assert len(by_stack) == 1 and "var#" not in by_stack[0]
+
+
+def test_entries_are_dealt_before_they_are_counted(spark, no_broadcast):
+    rows = spark.range(1000).selectExpr("'d' as k", "id % 500 as pos", "concat('r', id % 500) as text").coalesce(1)
+    out = document_rows(rows, ["k"], ["pos"], separator=",")
+    assert sorted(r.text for r in out.collect()) == sorted(["r0"] + [",r0"] + [f",r{i}" for i in range(1, 500)] * 2)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    counts = [i for i, line in enumerate(plan) if "partial_count" in line]
+    assert counts and all("Exchange hashpartitioning" in plan[i + 1] for i in counts)
