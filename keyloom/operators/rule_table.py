@@ -4,8 +4,10 @@
    (:func:`required_literal`). The literals of the whole table make one Aho-Corasick
    automaton, built once in a task, that finds all of them in one pass over a value.
 2. A value is then a candidate of the rules whose literals it holds, and of those without
-   a literal. Candidates meet their regexes in a join by rule, and Spark's own ``rlike``
-   decides, so the result is that of running every rule on every value.
+   a literal. Candidates meet their regexes in the same task, and Spark's own ``rlike``
+   decides, so the result is that of running every rule on every value. Of rules with one
+   regex only the first can be a hit, so a regex runs once on a value. Candidates are never
+   shuffled: only each task's best hits of a unit are.
 
 The rules are read in chunks of at most ``CHUNK_BYTES``: what a task holds and the driver
 sends is bounded, and a larger table takes more passes over the values.
@@ -16,11 +18,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 CHUNK_BYTES = 32 << 20
 MIN_LITERAL = 2
+PIECE = 1 << 16  # candidates that a task holds at once
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
 
@@ -102,17 +106,17 @@ def required_literal(regex: str) -> str:
     return folded(best) if len(best) >= MIN_LITERAL else ""
 
 
-def _chunks(rules: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """(rule, literal) of the whole table in lists of at most ``limit`` bytes; one list reaches the driver at a time."""
+def _chunks(rules: DataFrame, limit: int) -> Iterator[tuple[list[tuple[int, str]], DataFrame]]:
+    """(rule, literal) of the whole table in lists of at most ``limit`` bytes, with their rows; one list reaches the driver at a time."""
     size = rules.agg(F.coalesce(F.sum(F.octet_length("regex") + 64), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-int(size) * 2 // limit))
     for part in range(parts):
-        some = rules.where(F.pmod(F.xxhash64("_rule"), F.lit(parts)) == part).select("_rule", "regex")
-        yield [(r["_rule"], required_literal(r["regex"])) for r in some.toLocalIterator()]
+        some = rules.where(F.pmod(F.xxhash64("_rule"), F.lit(parts)) == part)
+        yield [(r["_rule"], required_literal(r["regex"])) for r in some.select("_rule", "regex").toLocalIterator()], some
 
 
 def _finder(literals: list[tuple[int, str]]):
-    """Per batch: the rules that each value is a candidate of."""
+    """Per batch: the rules that each value, the last column, is a candidate of, as lists of at most ``PIECE`` rules."""
     by_literal: dict[str, list[int]] = {}
     for rule, literal in literals:
         by_literal.setdefault(literal, []).append(rule)
@@ -126,16 +130,28 @@ def _finder(literals: list[tuple[int, str]]):
             automaton.add_word(literal, rules)
         if by_literal:
             automaton.make_automaton()
+
+        def piece(batch: pa.RecordBatch, rows: list[int], lists: list[list[int]]) -> pa.RecordBatch:
+            taken = batch.take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([*taken.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*batch.schema.names, "_rules"])
+
         for batch in batches:
-            units, found = [], []
-            for unit, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            rows, lists, held = [], [], 0
+            for row, value in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 met = set(always)
                 if by_literal:
                     for _, rules in automaton.iter(folded(value)):
                         met.update(rules)
-                units += [unit] * len(met)
-                found += met
-            yield pa.RecordBatch.from_arrays([pa.array(units, pa.int64()), pa.array(found, pa.int64())], names=["_unit", "_rule"])
+                found = list(met)
+                for i in range(0, len(found), PIECE):
+                    rows.append(row)
+                    lists.append(found[i:i + PIECE])
+                    held += len(lists[-1])
+                    if held >= PIECE:
+                        yield piece(batch, rows, lists)
+                        rows, lists, held = [], [], 0
+            if rows:
+                yield piece(batch, rows, lists)
 
     return task
 
@@ -145,12 +161,19 @@ def numbered(rules: DataFrame) -> DataFrame:
     return rules.withColumn("_rule", F.xxhash64("name", "regex", "confidence", "action_url", "prio"))
 
 
+def _asked(units: DataFrame, literals: list[tuple[int, str]]) -> DataFrame:
+    """``units``, whose last column is the value, with ``_rule`` for each candidate."""
+    schema = StructType([*units.schema.fields, StructField("_rules", ArrayType(LongType()))])
+    found = units.mapInArrow(_finder(literals), schema)
+    return found.select(*units.columns, F.explode("_rules").alias("_rule"))
+
+
 def candidates(units: DataFrame, rules: DataFrame, value: str = "value", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(_unit, _rule)``: the rules of the table that a unit has to run."""
     out = units.sparkSession.createDataFrame([], "_unit long, _rule long")
     asked = units.where(F.col(value).isNotNull()).select("_unit", value)
-    for literals in _chunks(rules, chunk_bytes):
-        out = out.unionByName(asked.mapInArrow(_finder(literals), "_unit long, _rule long"))
+    for literals, _ in _chunks(rules, chunk_bytes):
+        out = out.unionByName(_asked(asked, literals).select("_unit", "_rule"))
     return out
 
 
@@ -161,10 +184,16 @@ def scan_rules(units: DataFrame, rules: DataFrame, unit: list[str], value: str =
     ``(name, regex, confidence, action_url, prio)``. Rows with the same ``unit`` columns
     are one unit with several values.
     """
-    named = numbered(rules).dropDuplicates(["_rule"])
-    asked = units.where(F.col(value).isNotNull()).withColumn("_unit", F.xxhash64(*unit, value)).select("_unit", *unit, value)
-    pairs = candidates(asked.select("_unit", value).distinct(), named, value, chunk_bytes)
-    met = asked.distinct().join(pairs, "_unit").join(named, "_rule").where(F.rlike(F.col(value), F.col("regex")))
-    best = F.min_by(F.struct(F.col("name").alias("pattern"), "confidence", "action_url"), F.struct("prio", "name", "regex"))
-    return met.groupBy(*unit).agg(best.alias("_b")).select(*unit, "_b.*")
-
+    order, hit = ["prio", "name", "regex"], ["name", "confidence", "action_url"]
+    first = rules.where(F.col("regex").isNotNull()).groupBy("regex").agg(F.min(F.struct("prio", *hit)).alias("_b"))
+    named = numbered(first.select("_b.*", "regex"))
+    asked = units.where(F.col(value).isNotNull()).select(*unit, F.col(value).alias("_value"))
+    met = None
+    for literals, some in _chunks(named, chunk_bytes):
+        # A chunk is bounded, so one task may order it and its rows may go to every task.
+        placed = some.withColumn("_place", F.row_number().over(Window.orderBy(*order)))
+        hits = _asked(asked, literals).join(F.broadcast(placed.select("_rule", "regex", "_place")), "_rule").where(F.rlike(F.col("_value"), F.col("regex")))
+        best = hits.groupBy(*unit).agg(F.min("_place").alias("_place")).join(F.broadcast(placed), "_place")
+        best = best.select(*unit, F.struct(*order, *hit[1:]).alias("_b"))
+        met = best if met is None else met.unionByName(best)
+    return met.groupBy(*unit).agg(F.min("_b").alias("_b")).select(*unit, F.col("_b.name").alias("pattern"), "_b.confidence", "_b.action_url")

@@ -205,3 +205,15 @@ def test_entries_are_dealt_before_they_are_counted(spark, no_broadcast):
     plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
     counts = [i for i, line in enumerate(plan) if "partial_count" in line]
     assert counts and all("Exchange hashpartitioning" in plan[i + 1] for i in counts)
+
+
+def test_rule_candidates_are_not_shuffled(spark, no_broadcast):
+    rules = spark.createDataFrame([(f"r{i}", f"[a-z]{i % 7}{i % 3}", "low" if i % 2 else None, None, None if i == 41 else i % 5) for i in range(300)] + [("none", None, None, None, 0)],
+                                  "name string, regex string, confidence string, action_url string, prio int")
+    units = spark.createDataFrame([(i, f"{i % 7}{i % 3}a{i % 7}{i % 3}") for i in range(400)] + [(9, None), (None, "a00")], "id long, value string")
+    out = rule_table.scan_rules(units, rules, ["id"])
+    rows = [(-1 if p is None else p, n, r, c) for n, r, c, _, p in rules.collect() if r]
+    expected = {u: min((p, n, c) for p, n, r, c in rows if v and re.search(r, v)) for u, v in units.collect() if v}
+    assert {r.id: (r.pattern, r.confidence) for r in out.collect()} == {u: (n, c) for u, (p, n, c) in expected.items()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert not any("hashpartitioning(_rule" in line or "hashpartitioning(_unit" in line for line in plan)
