@@ -73,6 +73,34 @@ def test_larger_tables_predict_unseen_texts_better(make_docs, monkeypatch):
     assert found[18] < found[8]
 
 
+def test_scores_read_running_bytes(make_docs, monkeypatch):
+    pairs = [("red", "fox"), ("blue", "sky"), ("cold", "sea"), ("wet", "dog"), ("old", "oak"), ("big", "map")]
+
+    def text(seed, shuffled=False):
+        rnd = random.Random(seed)
+        words = [w for _ in range(40) for w in rnd.choice(pairs)]
+        if shuffled:
+            rnd.shuffle(words)
+        return " ".join(words)
+
+    held = next(i for i in range(10_000, 11_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs = make_docs([(i, text(i)) for i in range(200)] + [(held, text(1)), (None, text(1, True))])
+    found = {r.doc_id: r for r in lm_score.score(docs).where("doc_id is null or doc_id >= 10000").collect()}
+    assert found[held].base_score == pytest.approx(found[None].base_score)
+    assert found[held].score > found[None].score + 10  # the same words in another order
+    monkeypatch.setattr(lm_score, "PIECE_BYTES", 50)
+    texts = pa.array([text(3), text(4) + " d\u00e9 \u0431" + " x" * 80 + " " + text(5).upper(), "", None, "w" * 120 + " " + "v" * 90 + " end "], pa.string())
+    data, offsets = lm_score.texts(texts)
+    slots = {}
+    for limit in (50, 1 << 20):
+        monkeypatch.setattr(lm_score, "PIECE_BYTES", limit)
+        parts, skips, rows = lm_score._streams(data, offsets, *runs(data, offsets, SPACES))
+        bits = lm_score.Bits(pa.array(parts, pa.binary()), 18, np.array(skips))
+        slots[limit] = (np.array(rows)[bits.word], bits.byte, *bits.first, *bits.second)
+        assert (len(parts) > len(texts)) == (limit == 50)
+    assert all((a == b).all() for a, b in zip(*slots.values(), strict=True))
+
+
 def test_toxicity(spark, make_docs, edge_rows):
     bad = ["moron", "scumbag", "vilou"]
     rows, labels = [], []
