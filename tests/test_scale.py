@@ -198,6 +198,19 @@ def test_resolve_shuffles_names_only(spark, no_broadcast):
     assert len(by_stack) == 1 and "var#" not in by_stack[0]
 
 
+def test_winners_travel_as_one_row_for_each_component(spark, no_broadcast):
+    texts = [("c", "service", "", s, p, v, f"{s}{v}", None, "Service", False) for s, names in (("a", "PQRQ"), ("b", "SPT"), ("d", "PQ"), ("e", "")) for p, v in enumerate(names)]
+    flat = spark.createDataFrame(texts, "catalog_id string, source_kind string, scope string, source_id string, pos int, var string, example_value string, description string, category string, required boolean")
+    picks = [("c", t, 2, o, "service", None, s) for t, order in (("t", "abd"), ("u", "dba"), ("v", "aa"), ("w", "e")) for o, s in enumerate(order)]
+    resolved = catalog.resolve(spark.createDataFrame(picks, "catalog_id string, stack_id string, stage int, ord int, source_kind string, language string, source_id string"), flat)
+    expected = {("t", "P", "a"), ("t", "Q", "a"), ("t", "R", "a"), ("t", "S", "b"), ("t", "T", "b"), ("u", "P", "d"), ("u", "Q", "d"), ("u", "R", "a"), ("u", "S", "b"), ("u", "T", "b")} | {("v", x, "a") for x in "PQR"}
+    rows = [(r.stack_id, r["var"], r.source_id) for r in resolved.collect()]
+    assert sorted(rows) == sorted(expected) and {r.example_value for r in resolved.where("stack_id = 'u'").collect()} == {"dP", "dQ", "aR", "bS", "bT"}
+    plan = resolved._jdf.queryExecution().executedPlan().toString().split("\n")
+    by_component = [line for line in plan if "hashpartitioning" in line and "_copy" in line]
+    assert by_component and not any("_at#" in line for line in plan) and any("_ats#" in line for line in plan)
+
+
 def test_entries_are_dealt_before_they_are_counted(spark, no_broadcast):
     rows = spark.range(1000).selectExpr("'d' as k", "id % 500 as pos", "concat('r', id % 500) as text").coalesce(1)
     out = document_rows(rows, ["k"], ["pos"], separator=",")
