@@ -2,13 +2,14 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 
 from keyloom.llm import decontaminate, line_dedup, ngram_join, sentence_dedup
-from keyloom.llm.tables import components, cut
+from keyloom.llm.tables import DONE_SHUFFLES, components, cut
 
 from .conftest import invented
 
@@ -266,3 +267,17 @@ def test_null_ids_do_not_multiply(make_docs):
     docs = make_docs([(None, run)] * 12)
     assert [level.where("place = 0").count() for level in line_dedup.intervals(docs)] == [12, 12, 12]
     assert sum(r.text != "" for r in line_dedup.dedup(docs).collect()) == 1
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(held.size()) if (name := held.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    stored = cut(spark.range(20_000).repartition(4, "id").groupBy("id").count())
+    deadline = time.monotonic() + 20
+    while (left := files() - before) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not left and stored.count() == 20_000
+    assert spark.conf.get(DONE_SHUFFLES) == "false"
