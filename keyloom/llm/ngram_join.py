@@ -7,10 +7,13 @@
    its hash is the key that sends a set to that tree. Sets that share a root with no
    other set have no link. A set size belongs to an interval, and a set serves its own
    interval and the one below, so both sets of a link use the same number of parts.
-   A part without elements is no root. There are as many spare parts as twice those that
+   A part without elements is no root. There are spare parts, more than twice those that
    chance leaves empty; a set that leaves more empty is also cut by a second and a third
    hash order, where its partners of that kind meet it, and only one that all three
-   orders leave sparse is sent to the roots of its empty parts as well.
+   orders leave sparse is sent to the roots of its empty parts as well. Linked sets agree
+   on more parts than the spare ones, so each set leaves out as many of its commonest
+   roots as it has spare parts with elements: the rarest root of a link always stays, and
+   passages that many texts share bring nobody together.
 3. Sets that meet at a root, directly or through others, form a region. A region's sets
    are sent once, in blocks of bounded size, and each block stores them in one prefix
    tree, commonest shingle first. A query walks all branches at once, sharing the overlap
@@ -36,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import ROW, components, cut, ids_are_keys, in_batches, kept, keyed, marked, scratch, spread
@@ -45,10 +48,12 @@ from .textbytes import SPACES, blocks, combine, mix, texts, words
 SHINGLE = 3
 PERCENT = 90
 SPARE = 2
+SPARE_SHARE = 0.25  # spare parts for each part that may differ: so many common roots can be left out
 ORDERS = 3
 BLOCK_ELEMENTS = 1 << 19
 TURN_BLOCKS = 2  # sets that visit a block come in turns of so many blocks' elements: a tree takes some ten times the memory of its sets
 BAND_BLOCKS = 1 << 30
+CUT_BITS = 32
 BAND_MARGIN = 1.000001  # a band is a little wider than the ratio of linked sizes, so rounding parts no pair by two
 
 
@@ -91,21 +96,22 @@ def _cut(s: np.ndarray, parts: int, order: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def spare_parts(low: int, differ: int) -> int:
-    """Spare parts for sets of at least ``low`` elements: two, and twice the share that chance leaves empty."""
-    return SPARE + int(2 * (differ + 1) * np.exp(-low / (differ + 1)))
+    """Spare parts for sets of at least ``low`` elements: two, a share of those that may differ, and twice what chance leaves empty."""
+    parts = differ + 1 + int(SPARE_SHARE * differ)
+    return SPARE + int(SPARE_SHARE * differ) + int(2 * parts * np.exp(-low / parts))
 
 
-def _keys(s: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the root paths of a set, for its own size interval and the one below.
+def _cuts(s: np.ndarray, lows: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(keys, number, spare) of each cut of a set into root paths, for its own size interval and the one below.
 
     Two linked sets agree on more parts than the spare ones. If one of them leaves no more than those empty, a
-    part they agree on has elements. If both leave more empty, both go on to the next hash order.
+    part they agree on has elements. If both leave more empty, both go on to the next hash order. Of the parts
+    with elements in a cut that both have, linked sets agree on more than either set's ``spare``.
     """
     if not len(s):
-        return s
+        return
     own = int(np.searchsorted(lows, len(s), "right")) - 1
-    keys = []
-    for at in {max(0, own - 1), own}:
+    for at in sorted({max(0, own - 1), own}):
         low = int(lows[at])
         high = 100 * low // percent
         differ = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
@@ -114,13 +120,17 @@ def _keys(s: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
         spare = spare_parts(low, differ)
         for order in range(ORDERS):
             filled, total = _cut(s, differ + 1 + spare, order)
-            keys.append(combine(total, filled, np.full(len(filled), at * ORDERS + order)))
+            yield combine(total, filled, np.full(len(filled), at * ORDERS + order)), at * ORDERS + order, max(0, len(filled) - differ - 1)
             if differ + 1 <= len(filled):
                 break
         else:
             empty = np.setdiff1d(np.arange(differ + 1 + spare), filled)
-            keys.append(combine(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), at * ORDERS)))
-    return np.concatenate(keys) if keys else s[:0]
+            yield combine(np.zeros(len(empty), np.uint64), empty, np.full(len(empty), at * ORDERS)), at * ORDERS, 0
+
+
+def _keys(s: np.ndarray, lows: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of all root paths of a set."""
+    return np.concatenate([s[:0], *[keys for keys, _, _ in _cuts(s, lows, percent)]])
 
 
 def _texts_in_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
@@ -147,43 +157,45 @@ def prints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 class _Roots:
-    """Keys of sets, with size intervals that grow with the largest set met."""
+    """Keys of sets and their cuts, with size intervals that grow with the largest set met."""
 
     def __init__(self, percent: int):
         self.percent, self.lows = percent, intervals(1 << 10, percent)
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(s) >= self.lows[-1]:
             self.lows = intervals(2 * len(s), self.percent)
-        return _keys(s, self.lows, self.percent)
+        cuts = list(_cuts(s, self.lows, self.percent))
+        of = np.array([(number << CUT_BITS) + spare for _, number, spare in cuts], np.int64)
+        return np.concatenate([s[:0], *[keys for keys, _, _ in cuts]]), np.repeat(of, [len(keys) for keys, _, _ in cuts])
 
 
-def _root_rows(sets: DataFrame, percent: int) -> DataFrame:
-    """(region, doc, block, key): every root of (region, doc, block, elements) rows."""
+def roots_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, doc, cut): every root of every document, made from the texts and never stored with them.
+
+    ``cut`` is the cut's number, and in the lower ``CUT_BITS`` how many of its roots can be left out.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = _Roots(percent)
-        for batch in batches:
-            keys = [roots(np.frombuffer(x, np.uint64)) for x in batch.column(3).to_pylist()]
+        for ids, sets in _texts_in_blocks(batches, size):
+            keys, of = zip(*map(roots, sets), strict=True)
             again = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(again) for i in range(3)), pa.array(flat)], names=["region", "doc", "block", "key"])
-
-    return sets.select("region", "doc", "block", "elements").mapInArrow(task, "region long, doc long, block long, key long")
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), ids.take(again), pa.array(np.concatenate(of))], names=["key", "doc", "cut"])
 
+    return in_batches(docs).select(F.col("doc").cast("long"), "text").mapInArrow(task, "key long, doc long, cut long")
 
-def roots_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, doc): every root of every document, made from the texts and never stored with them."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = _Roots(percent)
-        for ids, sets in _texts_in_blocks(batches, size):
-            keys = [roots(s) for s in sets]
-            again = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            flat = np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), ids.take(again)], names=["key", "doc"])
+def rare_roots(roots: DataFrame) -> DataFrame:
+    """(key, doc) of the roots that other documents have too, without the commonest ones that each cut can spare; stored.
 
-    return in_batches(docs).select(F.col("doc").cast("long"), "text").mapInArrow(task, "key long, doc long")
+    All sets rank roots alike, and linked sets share more roots of a cut than either leaves out, so the rarest
+    of those stays with both.
+    """
+    counted = roots.repartition(spread(roots.sparkSession), "key").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    met = cut(counted.where("n > 1"))
+    place = F.row_number().over(Window.partitionBy("doc", "cut").orderBy(F.desc("n"), "key"))
+    return cut(met.withColumn("place", place).where(F.col("place") > F.col("cut").bitwiseAND(F.lit((1 << CUT_BITS) - 1))).select("key", "doc"))
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +383,7 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     own_texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc is not null")
     told = marked(own_texts, "doc", copies)
     firsts = told.where("not _marked").union(told.where("_marked").join(copies, F.col("doc") == F.col("_copy"), "left_anti"))
-    roots = roots_of(firsts, size, percent)
+    roots = rare_roots(roots_of(firsts, size, percent))
     met = roots.repartition(parts, "key").sortWithinPartitions("key", "doc").mapInArrow(_meetings, "a long, b long")
     regions = components(met).select(F.col("node").alias("doc"), F.col("component").alias("region"))
     regions = cut(regions)
@@ -393,11 +405,8 @@ def _joined(docs: DataFrame, size: int, percent: int, block_elements: int) -> Da
     several = placed.where("blocks > 1").select("region", "doc", "n", own, "elements")
     homes = cut(several.select("region", "doc", "n", "block"))
     loose = cut(homes.join(stars.where("a <> region").select("region", F.col("b").alias("doc")), ["region", "doc"], "left_semi"))
-    rooted = cut(_root_rows(several, percent))
-    # most roots stay in one block: one pre-aggregated look at the keys keeps them out of the joins
-    shared = rooted.groupBy("region", "key").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select("key")
-    in_several = marked(rooted, "key", shared).where("_marked").drop("_marked")
-    told = in_several.join(loose.select("region", "doc", F.lit(True).alias("loose")), ["region", "doc"], "left")
+    rooted = roots.join(homes.select("region", "doc", "block"), "doc")
+    told = rooted.join(loose.select("region", "doc", F.lit(True).alias("loose")), ["region", "doc"], "left")
     asking = told.where("loose").select("region", "doc", F.col("block").alias("home"), "key")
     holding = told.groupBy("region", "key", "block").agg(F.max(F.col("loose").isNull()).alias("firm"))
     touching = F.abs(F.floor(F.col("block") / BAND_BLOCKS) - F.floor(F.col("home") / BAND_BLOCKS)) <= 1

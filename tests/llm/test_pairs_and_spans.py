@@ -92,6 +92,40 @@ def test_linked_sets_share_a_root(percent, sizes):
     assert sparse
 
 
+def test_common_passages_make_no_region(make_docs, monkeypatch):
+    """Texts that share a passage, but are not alike, are left alone; near copies among them still meet."""
+    common = invented(7, 40)
+    texts = [invented(300 + i, 150) + common + invented(400 + i, 150) for i in range(60)]
+    copies = near_copies(texts[0], 3)
+    rows = list(enumerate([*texts, *copies], 1))
+    sets, stored = [], ngram_join.cut
+
+    def watched(df):
+        out = stored(df)
+        if out.columns == ["region", "doc", "n", "elements"]:
+            sets.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", watched)
+    found = {r[0]: (r[1], r[2]) for r in ngram_join.join(make_docs(rows), 5, 80).collect()}
+    assert found == brute_components(rows, 5, 80)
+    assert sets == [1 + len(copies)]  # 54 met at roots of the passage before
+
+
+@pytest.mark.parametrize(("percent", "sizes"), [(80, [8, 30, 300]), (90, [12, 40, 400])])
+def test_linked_sets_share_more_roots_than_they_leave_out(percent, sizes):
+    """Whatever order roots are ranked in, the last one that a linked pair shares stays with both sets."""
+    rng = np.random.default_rng(6)
+    lows = ngram_join.intervals(1 << 12, percent)
+    for size in sizes:
+        for trial in range(100):
+            pool = rng.integers(0, 1 << 64, 2 * size, dtype=np.uint64) >> np.uint64(3 if trial % 4 == 3 else 0)
+            swap = size * (100 - percent) // (100 + percent)
+            a, b = np.unique(pool[:size]), np.unique(pool[swap:size + swap])
+            stay = [np.concatenate([np.sort(keys)[spare:] for keys, _, spare in ngram_join._cuts(s, lows, percent)]) for s in (a, b)]
+            assert np.array_equal(a, b) or len(np.intersect1d(*stay)), (size, trial)
+
+
 def test_one_row_of_a_group_stays(make_docs):
     """Near copies, repeated rows and rows that share an id or have none are rows of one group."""
     base = invented(61, 120)
