@@ -15,6 +15,10 @@ marked lines of one file are walked in blocks by many tasks:
 A block is a run of sorted rows that a task reads one by one: no row and no task holds a
 block, and sorts may spill. What comes out are the spans of values, met by their lines in
 a join on the line's whole place.
+
+Spans, their lines and the lengths of files grow with the input, while Spark estimates
+them by the scan that they are exploded from. Both joins therefore ask for a merge of
+sorted rows: a broadcast would gather a row for each such line or file on the driver.
 """
 
 from __future__ import annotations
@@ -184,7 +188,7 @@ def _spans(lines: DataFrame, by: list[str], levels: int, block: int) -> DataFram
     spans = turns.groupBy(*by, F.coalesce("since", "i").alias("first")).agg(F.max(F.when(F.col("after") == 0, F.col("i"))).alias("last"))
     lengths = lines.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg((F.max("line_no").cast("long") - 1).alias("_end"))
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
-    dangling = spans.where("last is null").join(lengths, same).select(*by, "first", F.col("_end").alias("last"), F.lit(False).alias("ended"))
+    dangling = spans.where("last is null").join(lengths.hint("merge"), same).select(*by, "first", F.col("_end").alias("last"), F.lit(False).alias("ended"))
     return spans.where("last is not null").withColumn("ended", F.lit(True)).unionByName(dangling)
 
 
@@ -204,7 +208,7 @@ def line_values(lines: DataFrame, by: list[str], levels: int = 1, block: int = B
         *[F.col(c).alias(f"_in_{c}") for c in by], (F.col("first") + 1).alias("_first"), F.col("ended").alias("_ended"), F.explode(within).alias("_in_line")
     )
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in by])
-    told = lines.join(inside, same & (F.col("line_no").cast("long") == F.col("_in_line")), "left")
+    told = lines.join(inside.hint("merge"), same & (F.col("line_no").cast("long") == F.col("_in_line")), "left")
     text = trim("line")
     single = told.where(F.col("_first").isNull() & (text != "") & ~text.startswith("#")).select(
         *by, F.col("line_no").cast("int").alias("line_no"), F.col("line").alias("text"), F.lit(False).alias("multi"), F.lit(True).alias("ended")

@@ -145,6 +145,14 @@ def test_stitching_takes_marked_lines_only_and_keeps_files_without_a_name(spark)
     assert [(r.line_no, r.text, r.ended) for r in got] == [(1, "A=1", True), (2, "B='x\ny\nz' ", True), (5, "C=2", True), (6, 'D="never\nE=3', False)]
 
 
+def test_stitching_gathers_nothing_on_the_driver(spark, tmp_path):
+    text = ["A=1", "B='x", "y", "z' ", 'D="never', "E=3"]
+    spark.createDataFrame([("f", "\n".join(text))], "file_id string, content string").write.parquet(f"{tmp_path}/files")
+    lines = extract.to_lines(spark.read.parquet(f"{tmp_path}/files"), keep="all")  # its size is estimated by the small scan
+    plan = stitch.line_values(lines, ["file_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 @pytest.mark.parametrize(("regex", "literal"), [
     ("sk_live_[0-9a-z]{24}", "sk_live_"), ("(?:a|b)token=[0-9]+", "token="), ("ab?cde", "cde"), ("abc{0,2}de", "ab"), ("abc+def", "abc"), ("x|abcdef", ""),
     (r"\bghp_\w{36}\b", "ghp_"), (r"[abc]def[]x]gh", "def"), (r"a\.b\.c", "a.b.c"), ("(?i)SECRET", ""), ("(abc)", ""), (r"\x41BCD", "bcd"), (r"\Qa.b\E", ""), ("a", ""),
