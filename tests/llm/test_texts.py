@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +102,74 @@ def test_scores_read_running_bytes(make_docs, monkeypatch):
     assert all((a == b).all() for a, b in zip(*slots.values(), strict=True))
 
 
+def _bit_by_bit(pieces, width):
+    """Counts, weights, map and scores of the model as it is defined: every bit on its own."""
+    bits, shape = lm_score.Bits(pieces, width), (lm_score.ORDERS, 1 << width)
+    zeros, ones = np.zeros(shape), np.zeros(shape)
+    for _, bit, _, slots in bits.each():
+        for k, slot in enumerate(slots):
+            np.add.at(ones[k], slot[bit], 1)
+            np.add.at(zeros[k], slot[~bit], 1)
+    weights, hits, scores = np.full((lm_score.GATES, lm_score.ORDERS), 0.2), np.zeros((2, 256 * lm_score.BUCKETS)), np.zeros(len(bits.byte))
+    step, squash = (lambda x, steps: np.searchsorted(steps, x)), (lambda x: 1 / (1 + np.exp(-np.clip(x, -15, 15))))
+    seen = np.zeros(lm_score.GATES)
+    for own in (True, False):
+        refine = np.clip((hits[1] + 4 * squash((np.arange(hits.shape[1]) % 33 - 16) / 2)) / (hits.sum(0) + 4), 1e-6, 1 - 1e-6)
+        before = weights.astype(np.float32)
+        for position, bit, node, slots in bits.each():
+            up, down = (np.array([t[k][s] for k, s in enumerate(slots)]) for t in (ones, zeros))
+            if own:
+                up, down = np.maximum(up - bit, 0), np.maximum(down - ~bit, 0)
+            inputs = np.log((up + lm_score.LEAST) / (down + lm_score.LEAST))
+            gate = position * 18 + 3 * step((up + down)[-1], [0.5, 2, 8, 64, 1024]) + step((up + down)[-2], [2, 1024])
+            mixed = (before[gate].T * inputs).sum(0)
+            p, cell = squash(mixed), node * 33 + np.rint(np.clip(mixed, -8, 8) * 2).astype(int) + 16
+            if not own:
+                p = p / 2 + refine[cell] / 2
+                scores += np.log10(np.where(bit, p, 1 - p))
+                continue
+            np.add.at(hits, (bit.astype(int), cell), 1)
+            for g in np.unique(gate):
+                x, at = inputs[:, gate == g], gate == g
+                weights[g] += np.linalg.solve(20 * np.eye(lm_score.ORDERS) + (x * (p * (1 - p))[at]) @ x.T, x @ (bit - p)[at])
+                seen[g] = at.sum()
+    return zeros, ones, weights * seen[:, None], hits, np.bincount(bits.word, scores)
+
+
+def test_half_bytes_count_and_score_like_bits(monkeypatch):
+    width, rows = 14, [invented(i, 30) + " d\u00e9j\u00e0 \u0431\u0443\u043a" * (i % 3) for i in range(12)] + ["", None, "w" * 300, "a"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"])]
+    monkeypatch.setattr(lm_score, "TUNE_FIRST", 1 << 16)  # all in one turn
+    (pieces, skip), = lm_score._pieces(iter(batches), 1 << 16)
+    zeros, ones, weights, hits, scores = _bit_by_bit(pieces, width)
+
+    def added(chunks, sizes):
+        kinds = [np.zeros(n) for n in sizes]
+        for b in chunks:
+            for c, sums in zip(b["chunk"].to_pylist(), b["sums"].to_pylist(), strict=True):
+                part, at = np.frombuffer(sums, np.float32), (c & ((1 << 20) - 1)) * lm_score.CHUNK
+                kinds[c >> 20][at:at + len(part)] += part
+        return kinds
+
+    for part, flush in ((1 << 16, 1 << 30), (32, 100)):  # small parts cut pieces and let counts leave early
+        monkeypatch.setattr(lm_score, "PART_BYTES", part)
+        monkeypatch.setattr(lm_score, "FLUSH_BYTES", flush)
+        counts = added(lm_score._fill(width)(iter(batches)), [lm_score.ORDERS << width])[0].reshape(lm_score.ORDERS, -1)
+        for level in range(4):
+            at = (np.arange(0, 1 << width, 16)[:, None] + (1 << level) + np.arange(1 << level)).ravel()
+            for found, wanted in zip(lm_score.nodes(counts, level), (zeros, ones), strict=True):
+                assert (found.reshape(lm_score.ORDERS, -1) == wanted[:, at]).all()
+        packed = [lm_score._packed(c.astype(np.float32)) for c in counts]
+        tuned = added(
+            lm_score._tune(SimpleNamespace(value={"counts": list(packed)}), width)(iter(batches)),
+            [lm_score.GATES * lm_score.ORDERS, lm_score.GATES, 2 * 256 * lm_score.BUCKETS],
+        )
+        assert tuned[0] == pytest.approx(weights.ravel(), rel=1e-3, abs=1e-2)
+        assert np.abs(tuned[2] - hits.ravel()).sum() <= 4  # a rounding may fall on the other side
+        score = lm_score._scorer(lm_score.model(list(packed), tuned))
+        assert score(pieces, skip) == pytest.approx(scores, rel=1e-3, abs=1e-3)
+
+
 def test_toxicity(spark, make_docs, edge_rows):
     bad = ["moron", "scumbag", "vilou"]
     rows, labels = [], []
